@@ -54,7 +54,7 @@ def build_index(docs: DataFrame, wanted: DataFrame | None = None) -> Index:
     if wanted is None:
         wanted = key.select("term").filter("term <> ''")
     numbered = wanted.select("term").filter("term <> ''").distinct().withColumn("t", F.xxhash64("term").bitwiseAND(F.lit((1 << 62) - 1)))
-    terms = store.materialize(numbered.unionAll(docs.sparkSession.createDataFrame([("", -1)], "term string, t long")), "terms")
+    terms = store.materialize(numbered.unionAll(docs.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(-1).cast("long").alias("t"))), "terms")
     return Index(store.materialize(key.join(small(terms), "term").select("t", "doc_id", "h", "p"), "postings"), terms)
 
 
@@ -147,6 +147,7 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = 10) -> DataFr
     """
     index, got = _hits(docs, items, length)
     ends = index.postings.filter("t = -1").select("doc_id", "h", F.col("p").cast("long").alias("n_words"))
+    same = (F.col("h") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))
     out = ends.join(small(got), same, "left")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 

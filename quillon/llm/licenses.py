@@ -14,7 +14,7 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import store
@@ -65,6 +65,11 @@ def needed(unit: dict[str, dict[str, float]], least: float) -> list[str]:
     return sorted(out)
 
 
+def _table(spark: SparkSession, rows: list[Column]) -> DataFrame:
+    """A small table of literal rows."""
+    return spark.range(1).select(F.inline(F.array(*rows)))
+
+
 def matches(files: DataFrame, least: float = LEAST, templates: dict[str, str] | None = None) -> DataFrame:
     """``path``, ``license``, ``cosine`` of each file that has a license of its own: its best line or whole text.
 
@@ -83,13 +88,13 @@ def matches(files: DataFrame, least: float = LEAST, templates: dict[str, str] |
     part = files.filter(F.col("text").isNotNull()).select("path", F.posexplode(F.concat(F.split("text", "\n"), whole)).alias("k", "line"))
     part = part.select("path", "k", tokens(F.col("line")).alias("w")).filter(F.arrays_overlap("w", must))
     words = part.select("path", "k", F.size("w").alias("n"), F.explode("w").alias("term"))
-    table = spark.createDataFrame([(w, x) for w, x in idf.items()], "term string, idf double")
+    table = _table(spark, [F.struct(F.lit(w).alias("term"), F.lit(x).alias("idf")) for w, x in idf.items()])
     # Broadcast: the words of the templates.
     tf = words.join(F.broadcast(table), "term").groupBy("path", "k", "n", "term", "idf").agg(F.count("*").alias("tf"))
     weight = F.col("tf") * F.col("idf")
     norm = tf.groupBy("path", "k", "n").agg(F.sum(weight * weight).alias("squares"), F.sum("tf").alias("known"), F.collect_list(F.struct("term", weight.alias("x"))).alias("v"))
     length = F.sqrt(F.col("squares") + (F.col("n") - F.col("known")) * F.lit(other * other))
-    entries = spark.createDataFrame([(k, w, x) for k, v in unit.items() for w, x in v.items()], "license string, term string, y double")
+    entries = _table(spark, [F.struct(F.lit(k).alias("license"), F.lit(w).alias("term"), F.lit(x).alias("y")) for k, v in unit.items() for w, x in v.items()])
     flat = norm.select("path", "k", length.alias("length"), F.explode("v").alias("e")).select("path", "k", "length", "e.term", "e.x")
     cosine = F.round(F.sum(F.col("x") * F.col("y")) / F.first("length"), 6)
     scored = flat.join(F.broadcast(entries), "term").groupBy("path", "k", "license").agg(cosine.alias("cosine")).filter(F.col("cosine") >= least)

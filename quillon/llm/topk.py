@@ -99,7 +99,7 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, query_bl
     candidates = store.materialize(candidates.select("vec_id", "v"), "candidates")
     nq, nc = -(-queries.count() // query_block), max(-(-candidates.count() // block), spark.sparkContext.defaultParallelism)
     if not nq:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return spark.range(0).select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score"))
     cell = lambda c, n, seed: F.pmod(F.xxhash64(F.lit(seed), c), F.lit(n)).cast("int")
     right = candidates.select("vec_id", "v", cell("vec_id", nc, 1).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb")).groupBy("cb", "qb")
 
