@@ -1,4 +1,5 @@
 """All queries of the engine by name, and the SQL that each one equals."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quillon.plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
