@@ -155,5 +155,5 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = 10) -> DataFr
 def clean(docs: DataFrame, items: DataFrame, length: int = 10) -> DataFrame:
     """The rows of ``docs`` in which no window of ``items`` occurs."""
     bad = _hits(docs, items, length)[1]
-    same = (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("k")) & F.col("doc_id").cast("long").eqNullSafe(F.col("d"))
-    return docs.join(small(bad.select("d", "k")), same, "left_anti")
+    same = (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__k")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__d"))
+    return docs.join(small(bad.select(F.col("d").alias("__d"), F.col("k").alias("__k"))), same, "left_anti")

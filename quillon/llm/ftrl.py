@@ -117,8 +117,8 @@ def hash_of(x: int) -> int:
     return (x * 0x9E3779B97F4A7C15 ^ (x >> 7)) * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1
 
 
-def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], features: Features, columns: tuple[str, ...] = ("doc_id",), least: float | None = None) -> DataFrame:
-    """``columns`` and ``score``, the sparse dot product through the logistic function, for each row of ``docs``.
+def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], features: Features, columns: tuple[str, ...] = ("doc_id",), least: float | None = None, name: str = "score") -> DataFrame:
+    """``columns`` and ``name``, the sparse dot product through the logistic function, for each row of ``docs``.
 
     ``least``: leave out rows with a lower score.  The rows pass through the scoring task
     whole, so that no join is needed to go on with them.
@@ -127,7 +127,7 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], features: Fea
     store.workers(spark)
     shared = spark.sparkContext.broadcast((weights[0].astype(np.int32), weights[1].astype(np.float32)))
     docs = docs.select(*dict.fromkeys([*columns, "text"]))
-    schema = T.StructType([docs.schema[c] for c in columns]).add("score", "double")
+    schema = T.StructType([docs.schema[c] for c in columns]).add(name, "double")
 
     def run(batches):
         w = np.zeros(1 << BITS)
@@ -139,7 +139,7 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], features: Fea
                 i, x = features(t.as_py() or b"", live)
                 s[k] = w[i] @ x
             s = 1 / (1 + np.exp(-np.clip(s, -35, 35)))
-            out = pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(s)], [*columns, "score"])
+            out = pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(s)], [*columns, name])
             yield out if least is None else out.filter(pa.array(s >= least))
 
     return docs.mapInArrow(run, schema)

@@ -108,7 +108,7 @@ def directory(path: Column) -> Column:
 
 
 def scan(files: DataFrame, least: float = LEAST, templates: dict[str, str] | None = None) -> DataFrame:
-    """The columns of ``files`` but ``text``, with ``license``, ``cosine`` and ``origin`` for each row.
+    """The columns of ``files`` but ``text`` (and any named like the three results), with ``license``, ``cosine`` and ``origin`` for each row.
 
     ``origin``: ``own``, the directory that the license comes from, or null where there is
     no license.  Null and empty texts have no license of their own.  Files of one path
@@ -126,10 +126,10 @@ def scan(files: DataFrame, least: float = LEAST, templates: dict[str, str] | Non
     ups = ups.select("dir", "depth", F.array_join(F.slice(split, 1, F.col("depth")), "/").alias("up"))
     near = ups.join(small(given), "up").groupBy("dir").agg(F.max(F.struct("depth", "l", "c", "up")).alias("g")).select("dir", "g.l", "g.c", "g.up")
     near = store.materialize(near, "license-inheritance")
-    rest = [c for c in files.columns if c != "text"]
-    mine = own.select(F.col("path").alias("_path"), "license", "cosine")
-    out = files.select(*rest, directory(F.col("path")).alias("_dir")).join(mine, F.col("path") == F.col("_path"), "left").join(small(near), F.col("_dir") == F.col("dir"), "left")
-    return out.select(*rest, F.coalesce("license", "l").alias("license"), F.coalesce("cosine", "c").alias("cosine"), F.when(F.col("license").isNotNull(), "own").otherwise(F.col("up")).alias("origin"))
+    rest = [c for c in files.columns if c not in ("text", "license", "cosine", "origin")]
+    mine = own.select(F.col("path").alias("__path"), F.col("license").alias("__l"), F.col("cosine").alias("__c"))
+    out = files.select(*rest, directory(F.col("path")).alias("__dir")).join(mine, F.col("path") == F.col("__path"), "left").join(small(near.select(*[F.col(c).alias(f"__up_{c}") for c in near.columns])), F.col("__dir") == F.col("__up_dir"), "left")
+    return out.select(*rest, F.coalesce("__l", "__up_l").alias("license"), F.coalesce("__c", "__up_c").alias("cosine"), F.when(F.col("__l").isNotNull(), "own").otherwise(F.col("__up_up")).alias("origin"))
 
 
 def small(df: DataFrame) -> DataFrame:

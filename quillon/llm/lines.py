@@ -58,9 +58,9 @@ def dedup(docs: DataFrame, sites: int = SITES) -> DataFrame:
     the places that any of them loses.
     """
     found = occurrences(exploded(docs), sites).filter(~F.col("doc_id").eqNullSafe(F.col("keep_doc")))
-    gone = found.select("doc_id", "k").distinct().groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("k").alias("_gone"))
+    gone = found.select("doc_id", "k").distinct().groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("k").alias("__gone"))
     # A shuffle by id at any size: the list of lines grows with the documents.
-    out = docs.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left")
-    left = F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains("_gone", k))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.concat_ws("\n", left))
-    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    out = docs.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left")
+    left = F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains("__gone", k))
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.concat_ws("\n", left))
+    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))

@@ -67,4 +67,4 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column | None = None,
 def accepted(docs: DataFrame, labels: DataFrame, settings: ftrl.Settings = SETTINGS, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` with a score of ``threshold`` or more, learnt from all of ``labels``."""
     w = ftrl.train(docs, labels, features, settings)
-    return ftrl.score(docs, w, features, tuple(docs.columns), threshold).drop("score")
+    return ftrl.score(docs, w, features, tuple(docs.columns), threshold, "__score").drop("__score")

@@ -208,8 +208,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
 
 def deduplicate(docs: DataFrame, shingle: int, radius: int = 4) -> DataFrame:
     """The row of the least ``doc_id`` of each component; of rows that repeat it, one."""
-    stay = near_duplicates(docs, shingle, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left_semi").dropDuplicates(["doc_id"])
+    stay = near_duplicates(docs, shingle, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__doc")).distinct()
+    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left_semi").dropDuplicates(["doc_id"])
 
 
 def hex16(fp: Column) -> Column:
