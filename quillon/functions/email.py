@@ -73,3 +73,26 @@ def candidates(first: Column, last: Column, domain: Column) -> Column:
 def contact_label(method: Column, email: Column) -> Column:
     web = method.isin("send_message_button", "contact_form") | email.startswith("http")
     return F.when(F.coalesce(web, F.lit(False)), "contact on website").otherwise(F.coalesce(email, F.lit("")))
+
+
+def spelt_out(text: Column, compat: bool = False) -> Column:
+    """Spelt-out addresses of a page's text: array of ``email`` and ``before``, the 200 characters in front.
+
+    "at" and "dot" need brackets or white space on both sides; with ``compat`` bare letters do.
+    """
+    form = rules.SPELT_OUT if compat else rules.SPELT_OUT_STRICT
+    hits = F.regexp_extract_all(text, F.lit(f"({form})"), F.lit(1))
+    # The pieces between hits give the hits' places.
+    step = F.transform(F.arrays_zip(F.slice(F.split(text, form), 1, F.size(hits)).alias("piece"), hits.alias("hit")), lambda x: F.struct(F.length(x["piece"]).alias("gap"), F.length(x["hit"]).alias("n"), x["hit"].alias("hit")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<hit:string,at:int>>").alias("out"))
+    placed = F.aggregate(step, start, lambda a, x: F.struct((a["at"] + x["gap"] + x["n"]).alias("at"), F.concat(a["out"], F.array(F.struct(x["hit"].alias("hit"), (a["at"] + x["gap"]).alias("at")))).alias("out")))["out"]
+    if compat:
+        mail = lambda h: F.regexp_replace(F.regexp_replace(h, r"(?iU)\s*\[?at\]?\s*", "@"), r"(?iU)\s*\[?dot\]?\s*", ".")
+    else:
+        mail = lambda h: F.regexp_replace(F.regexp_replace(h, r"(?iU)\s*[\[(]at[\])]\s*|\s+at\s+", "@"), r"(?iU)\s*[\[(]dot[\])]\s*|\s+dot\s+", ".")
+    return F.transform(placed, lambda x: F.struct(mail(x["hit"]).alias("email"), F.substring(text, F.greatest(x["at"] - 199, F.lit(1)), F.least(x["at"], F.lit(200))).alias("before")))
+
+
+def align(emails: Column, rows: Column) -> Column:
+    """The addresses where there is one for each row, else a null for each."""
+    return F.when(F.size(emails) == F.size(rows), emails).otherwise(F.transform(rows, lambda _: F.lit(None).cast("string")))

@@ -31,6 +31,13 @@ CMS = [
 ]
 SEARCH_FORM = r"""<form\b[^>]*>(?:(?!</form>).)*?(?:type=["']search["']|name=["']q["']|role=["']search["'])"""
 FORM_ACTION = r"""<form\b[^>]*\baction=["']([^"']*)["']"""
+# Texts of contact buttons, and addresses that are spelt out.
+MESSAGE_TO = r"(?i)send\s*message\s*to\s+(.+)$"
+CONTACT_TEXT = r"(?i)send\s*a?\s*message|contact\s*me|email\s*me|message\s*me|send\s*email|reach\s*out|get\s*in\s*touch|connect\s*with"
+SPELT_OUT = r"(?iU)[\w._%+\-]+\s*\[?at\]?\s*[\w.\-]+\s*\[?dot\]?\s*[a-z]{2,}"
+SPELT_OUT_STRICT = r"(?iU)[\w._%+\-]+(?:\s*[\[(]at[\])]\s*|\s+at\s+)[\w.\-]+(?:\s*[\[(]dot[\])]\s*|\s+dot\s+)[a-z]{2,}"
+# Sources whose addresses other schools of a district may take over.
+SHARED_SOURCES = ["sitemap", "cms:blackboard", "cms:finalsite", "cms:edlio", "cms:apptegy", "cms:schoolmessenger", "cms:wordpress"]
 PAGE_PARAM = r"[?&](page_no|page|p)=(\d+)"
 LETTER_LINK = r">\s*([A-Za-z])\s*<"
 # Words of menus and notices that no person's name has.

@@ -127,3 +127,13 @@ def bot_challenge(status: Column, text: Column) -> Column:
 
 def site_queries(host: Column) -> Column:
     return F.array(F.concat(F.lit("site:"), host, F.lit(" staff directory")), F.concat(F.lit("site:"), host, F.lit(" faculty")))
+
+
+def preferred_base(url: Column, https_status: Column) -> Column:
+    """The https variant of a plain address where that one answered below 400."""
+    return F.when(url.startswith("http://") & F.coalesce(https_status < 400, F.lit(False)), F.regexp_replace(url, "^http://", "https://")).otherwise(url)
+
+
+def arts_page(text: Column) -> Column:
+    """Whether a text is about arts and has an address or a word for staff."""
+    return F.coalesce(text.rlike(f"(?i){rules.ARTS_WORD}") & (text.rlike(rules.EMAIL) | text.rlike(f"(?i){rules.STAFF_WORD}")), F.lit(False))

@@ -10,10 +10,11 @@ from quillon.functions import classify, email, rules, text, web
 from quillon.operators.merge import first_wins
 
 
-def discover(sites: DataFrame, pages: DataFrame) -> DataFrame:
+def discover(sites: DataFrame, pages: DataFrame, searched: DataFrame | None = None) -> DataFrame:
     """Ranked directory candidates of each site: ``site``, ``url``, ``source``, ``priority``, ``ord``.
 
-    ``sites``: ``site``, ``base``; ``pages``: ``site``, ``kind`` (sitemap, home) and ``body``.
+    ``sites``: ``site``, ``base``; ``pages``: ``site``, ``kind`` (sitemap, home) and ``body``;
+    ``searched``: results of an outside search, ``site``, ``url``, ``ord``.
     Of an address found twice, the better source counts.
     """
     home = sites.join(pages.filter("kind = 'home'").select("site", "body"), "site")
@@ -30,12 +31,31 @@ def discover(sites: DataFrame, pages: DataFrame) -> DataFrame:
         rows(sites, F.array(*map(F.lit, rules.DEPARTMENT_PATHS)), "department", 6),
         rows(sites, F.array(F.col("base")), "homepage", 7),
     ]
+    if searched is not None:
+        found.append(searched.select("site", "url", F.lit("site_search").alias("source"), F.lit(4).alias("priority"), F.col("ord").cast("int").alias("ord")))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
     return first_wins(out, ["site", "url"], ["priority", "ord"])
 
 
+def district_directories(visits: DataFrame) -> DataFrame:
+    """``visits`` with ``shared_url``: the directory that a school may take over from the schools of its district before it.
+
+    ``visits``: ``district``, ``ord``, ``directory_url``, ``source``, ``records``.  Only an
+    address that gave records and came from a source worth sharing is passed on.  If the
+    same address gives a later school nothing, it is passed on no more, until it or
+    another one is proven again.  A null district shares nothing.
+    """
+    w = Window.partitionBy("district").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    proven = (F.col("records") > 0) & F.col("source").isin(rules.SHARED_SOURCES)
+    # The last visit that says something: a proof, or a failure of the address proven last.
+    last = F.last(F.when(proven, F.col("directory_url")), ignorenulls=True).over(w)
+    out = visits.withColumn("_last", last).withColumn("_says", F.when(proven, F.struct(F.lit(True).alias("ok"), F.col("directory_url").alias("url"))).when((F.col("records") == 0) & (F.col("directory_url") == F.col("_last")), F.struct(F.lit(False).alias("ok"), F.col("directory_url").alias("url"))))
+    out = out.withColumn("_says", F.last("_says", ignorenulls=True).over(w))
+    return out.withColumn("shared_url", F.when(F.col("district").isNotNull() & F.col("_says.ok"), F.col("_says.url"))).drop("_last", "_says")
+
+
 def first_match(candidates: DataFrame) -> DataFrame:
     """Each site's first candidate that matches (``ok``), and the JSON log of the attempts up to it.
 

@@ -5,6 +5,8 @@ Spark has no row order of its own: all of these take explicit order columns.
 
 from __future__ import annotations
 
+from datetime import UTC, datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,3 +44,26 @@ def context(lines: DataFrame, keys: list[str], at: str, before: int, after: int)
     """``context``: each line with those around it, joined by line feeds."""
     w = Window.partitionBy(*keys).orderBy(at).rowsBetween(-before, after)
     return lines.withColumn("context", F.array_join(F.collect_list("line").over(w), "\n"))
+
+
+def added_cutoff(value: str | None, now: datetime) -> str | None:
+    """The least ``added_at`` text for today, week, month or a date; None (no filter) for anything else."""
+    now = now.astimezone(UTC)
+    if value == "today":
+        at = now.replace(hour=0, minute=0, second=0, microsecond=0)
+    elif value in ("week", "month"):
+        at = now - timedelta(days=7 if value == "week" else 30)
+    else:
+        try:
+            at = datetime.fromisoformat(value or "")
+        except ValueError:
+            return None
+    return at.isoformat()
+
+
+def since(rows: DataFrame, cutoff: str | None, column: str = "added_at") -> DataFrame:
+    """Rows added at the cutoff or later, compared as times; as texts where a row's isn't a time."""
+    if cutoff is None:
+        return rows
+    t = F.try_to_timestamp(column)
+    return rows.filter(F.when(t.isNotNull(), t >= F.to_timestamp(F.lit(cutoff))).otherwise(F.col(column) >= cutoff))

@@ -6,6 +6,7 @@ import zipfile
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def export_csv(df: DataFrame, path: str) -> int:
@@ -44,3 +45,23 @@ def export_xlsx(df: DataFrame, path: str, links: tuple[int, ...] = (), most: int
                 f.write(("<row>" + "".join(cell(v, i in links) for i, v in enumerate(row)) + "</row>").encode())
             f.write(b"</sheetData></worksheet>")
     return n
+
+
+def schools_sheet(schools: DataFrame) -> DataFrame:
+    """The schools' seven columns as a sheet shows them, by name."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    return schools.orderBy("school_name", "id").select(F.col("school_name").alias("School"), F.col("city").alias("City"), F.col("state").alias("State"), F.col("district_name").alias("District"), blank("website_url").alias("Website"), F.when(F.col("scraped") != 0, "Yes").otherwise("No").alias("Scraped"), blank("scrape_status").alias("Status"))
+
+
+def payloads(schools: DataFrame, records: DataFrame) -> DataFrame:
+    """``nces_id`` and ``payload``, the JSON document of a school with its ``records`` (``nces_id``, ``pos`` and the fields); nulls are written.
+
+    This is what :mod:`quillon.streaming.ingest` reads.
+    """
+    fields = [c for c in records.columns if c not in ("nces_id", "pos")]
+    got = records.groupBy("nces_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", *fields))), lambda x: x.dropFields("pos")).alias("records"))
+    keys = ["nces_id", "school_name", "city", "state", "district_name", "website_url", "school_level", "is_arts_school"]
+    school = F.struct(*[F.col(k) if k in schools.columns else F.lit(None).cast("string").alias(k) for k in keys])
+    about = [F.col(c) if c in schools.columns else F.lit(None).cast("string").alias(c) for c in ("status", "directory_url", "paths_attempted", "resolution")]
+    doc = F.struct(school.alias("school"), *about, F.coalesce("records", F.array().cast(got.schema["records"].dataType)).alias("records"))
+    return schools.join(got, "nces_id", "left").select("nces_id", F.to_json(doc, {"ignoreNullFields": "false"}).alias("payload"))
