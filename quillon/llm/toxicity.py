@@ -1,8 +1,11 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Words lose ASCII case and punctuation.  Coordinates tell whether a word, a pair of
-neighbours or a pair with one or two words between them occurs at all; rates are kept
-for each coordinate, and the L1 term leaves few non-zero weights to broadcast.
+neighbours or a pair with one or two words between them occurs at all.  As insults are
+inflected and compounded, so do coordinates for the beginnings of longer words, and for
+beginnings that two or more different words share.  Values shrink slowly with length, as
+long texts hold more words by chance.  Rates are kept for each coordinate, and the L1
+term leaves few non-zero weights to broadcast.
 """
 
 from __future__ import annotations
@@ -14,18 +17,41 @@ from pyspark.sql import functions as F
 
 from quillon.llm import ftrl
 
-SETTINGS = ftrl.Settings(rows=16000, epochs=4, alpha=1.0, beta=1.0, l1=6.0, l2=0.5)
+SETTINGS = ftrl.Settings(rows=16000, epochs=5, alpha=0.7, beta=1.0, l1=2.5, l2=0.5)
 #: Lower case; everything in ASCII but letters, digits and the apostrophe parts words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or c == 39 or chr(c).isalnum() else 32 for c in range(256))
 _WORD = ftrl.Ids(lambda w: xxhash.xxh64_intdigest(w, 1))
+#: Characters in a word's beginning; only longer words have one.
+HEADS = (5, 6, 7, 8)
+#: Texts of so many words have values of 1, or of more if they are shorter.
+_EVEN = 30
+
+
+def _head(k: int) -> ftrl.Ids:
+    def make(word: bytes) -> int:
+        s = word.decode("utf-8", "replace")
+        return xxhash.xxh64_intdigest(s[:k].encode(), k) if len(s) > k else 0
+
+    return ftrl.Ids(make, 50_000)
+
+
+_HEAD = {k: _head(k) for k in HEADS}
 
 
 def features(text: bytes, live: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates and values of a UTF-8 text; an empty one has the bias alone."""
-    ids = _WORD.of(text.translate(_FOLD).split())
-    at = np.concatenate([np.zeros(1, dtype=np.int64), ftrl.slots(ids, (), 1), ftrl.slots(ids, (1,), 2), ftrl.slots(ids, (2,), 3), ftrl.slots(ids, (3,), 4)])
+    words = text.translate(_FOLD).split()
+    ids = _WORD.of(words)
+    at = [ftrl.slots(ids, (), 1), ftrl.slots(ids, (1,), 2), ftrl.slots(ids, (2,), 3), ftrl.slots(ids, (3,), 4)]
+    different = list(dict.fromkeys(words))
+    for k in HEADS:
+        heads, n = np.unique(_HEAD[k].of(different), return_counts=True)
+        at += [ftrl.slots(heads[heads > 0], (), 10 + k), ftrl.slots(heads[(heads > 0) & (n > 1)], (), 20 + k)]
+    at = np.concatenate(at)
     i = np.unique(at if live is None else at[live[at]])
-    return i, np.ones(len(i))
+    x = np.full(len(i) + 1, (max(1, len(words)) / _EVEN) ** -0.25)
+    x[0] = 1  # the bias
+    return np.concatenate([np.zeros(1, dtype=np.int64), i]), x
 
 
 def classify(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, settings: ftrl.Settings = SETTINGS, threshold: float = 0.3) -> DataFrame:

@@ -256,3 +256,28 @@ def test_pipeline(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "ids", "n_tokens", "round_trip"] and 0 < out.count() < 200
     assert out.filter("NOT round_trip").isEmpty() and out.count() == out.select("doc_id").distinct().count()
+
+
+def test_toxicity_shares_beginnings():
+    at = lambda s: set(toxicity.features(s.encode())[0])
+    a, b = at("calm brackwurz words"), at("still brackwolf speech")
+    assert len((a & b) - {0}) == 2  # the first five characters and the first six
+    assert len((at("brackwurz brackwelf") & at("brackwind brackwood")) - {0}) == 4  # and that two words share each of them
+    assert toxicity.features(b"")[0].tolist() == [0] and toxicity.features(b"short word")[1][0] == 1
+    live = np.zeros(1 << ftrl.BITS, dtype=bool)
+    live[list(a & b)] = True
+    i, x = toxicity.features("calm brackwurz words".encode(), live)
+    assert set(i) == a & b and (x[1:] == toxicity.features(b"calm brackwurz words")[1][-1]).all()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_its_sql(spark, sf, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, sf), c.sql(queries.ORACLES[name])
+    cols = sorted(got.columns)
+    assert cols == sorted(want.columns)
+    assert sorted(tuple(r[x] for x in cols) for r in got.collect()) == sorted(tuple(r[want.columns.index(x)] for x in cols) for r in want.fetchall())
