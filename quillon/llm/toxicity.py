@@ -27,15 +27,28 @@ HEADS = (5, 6, 7, 8)
 _EVEN = 30
 
 
-def _head(k: int) -> ftrl.Ids:
-    def make(word: bytes) -> int:
-        s = word.decode("utf-8", "replace")
-        return xxhash.xxh64_intdigest(s[:k].encode(), k) if len(s) > k else 0
+_NONE = bytes(8 * len(HEADS))
+
+
+class _Heads(dict):
+    """Word -> the 64-bit ids of its beginnings as bytes, 0 for none; emptied when it holds ``most`` words."""
 
-    return ftrl.Ids(make, 50_000)
+    def __init__(self, most: int = 150_000):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(word) <= HEADS[0]:
+            return _NONE
+        if len(self) >= self.most:
+            self.clear()
+        s = word.decode("utf-8", "replace")
+        n = len(s)
+        x = self[word] = b"".join([xxhash.xxh64_intdigest(s[:k].encode(), k).to_bytes(8, "little") if n > k else bytes(8) for k in HEADS])
+        return x
 
 
-_HEAD = {k: _head(k) for k in HEADS}
+_HEADS = _Heads()
 
 
 def features(text: bytes, live: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -44,8 +57,9 @@ def features(text: bytes, live: np.ndarray | None = None) -> tuple[np.ndarray, n
     ids = _WORD.of(words)
     at = [ftrl.slots(ids, (), 1), ftrl.slots(ids, (1,), 2), ftrl.slots(ids, (2,), 3), ftrl.slots(ids, (3,), 4)]
     different = list(dict.fromkeys(words))
-    for k in HEADS:
-        heads, n = np.unique(_HEAD[k].of(different), return_counts=True)
+    ids_of = np.frombuffer(b"".join(map(_HEADS.__getitem__, different)), dtype="<u8").reshape(-1, len(HEADS))
+    for j, k in enumerate(HEADS):
+        heads, n = np.unique(ids_of[:, j], return_counts=True)
         at += [ftrl.slots(heads[heads > 0], (), 10 + k), ftrl.slots(heads[(heads > 0) & (n > 1)], (), 20 + k)]
     at = np.concatenate(at)
     i = np.unique(at if live is None else at[live[at]])
