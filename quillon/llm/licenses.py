@@ -2,7 +2,7 @@
 
 Every line of a file is a header to be compared with the templates; in licence files
 (LICENSE, COPYING and the like) the text as a whole is compared too.  Weights come from
-the document frequencies of the templates' words over all files.  Lines that share none
+the document frequencies of all words over all files.  Lines that share none
 of the words without which no cosine can reach the threshold are passed over, which
 loses nothing.  A file without a license of its own gets that of the nearest directory
 above it that has a licence file.  All steps are DataFrame operations.
@@ -42,7 +42,7 @@ def tokens(text: Column) -> Column:
 
 
 def vectors(df: dict[str, int], n: int, templates: dict[str, str]) -> tuple[dict[str, float], float, dict[str, dict[str, float]]]:
-    """Weights of the templates' words, the weight of any other word, and unit vectors of the templates."""
+    """Weights of the templates' words, the weight of a word that no file has, and unit vectors of the templates."""
     count = {k: Counter(re.findall("[a-z0-9]+", t.lower())) for k, t in templates.items()}
     idf = {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for c in count.values() for w in c}
     unit = {}
@@ -78,24 +78,22 @@ def matches(files: DataFrame, least: float = LEAST, templates: dict[str, str] |
     templates = templates or TEMPLATES
     spark = files.sparkSession
     vocabulary = sorted({w for t in templates.values() for w in re.findall("[a-z0-9]+", t.lower())})
-    lits = F.array(*map(F.lit, vocabulary))
-    # One row for each word of the templates, whatever the number of files.
-    rows = files.select(F.explode(F.concat(F.array_intersect(tokens(F.coalesce("text", F.lit(""))), lits), F.array(F.lit("")))).alias("w")).groupBy("w").count().collect()
-    df = {r["w"]: r["count"] for r in rows}
-    idf, other, unit = vectors(df, df.pop("", 0), templates)
+    # One row for each word of the files, and one for their number.
+    held = F.concat(F.array_distinct(tokens(F.coalesce("text", F.lit("")))), F.array(F.lit("")))
+    counts = store.materialize(files.select(F.explode(held).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "license-words")
+    df = {r["term"]: r["df"] for r in counts.filter(F.col("term").isin("", *vocabulary)).collect()}
+    n = df.pop("", 0)
+    _, _, unit = vectors(df, n, templates)
     must = F.array(*map(F.lit, needed(unit, least)))
     whole = F.when(F.col("path").rlike(LICENSE_FILE), F.array(F.col("text"))).otherwise(F.array().cast("array<string>"))
     part = files.filter(F.col("text").isNotNull()).select("path", F.posexplode(F.concat(F.split("text", "\n"), whole)).alias("k", "line"))
     part = part.select("path", "k", tokens(F.col("line")).alias("w")).filter(F.arrays_overlap("w", must))
-    words = part.select("path", "k", F.size("w").alias("n"), F.explode("w").alias("term"))
-    table = _table(spark, [F.struct(F.lit(w).alias("term"), F.lit(x).alias("idf")) for w, x in idf.items()])
-    # Broadcast: the words of the templates.
-    tf = words.join(F.broadcast(table), "term").groupBy("path", "k", "n", "term", "idf").agg(F.count("*").alias("tf"))
+    words = store.materialize(part.select("path", "k", F.explode("w").alias("term")).groupBy("path", "k", "term").agg(F.count("*").alias("tf")), "license-lines")
+    idf = store.materialize(counts.join(words.select("term").distinct(), "term", "left_semi").select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")), "license-weights")
     weight = F.col("tf") * F.col("idf")
-    norm = tf.groupBy("path", "k", "n").agg(F.sum(weight * weight).alias("squares"), F.sum("tf").alias("known"), F.collect_list(F.struct("term", weight.alias("x"))).alias("v"))
-    length = F.sqrt(F.col("squares") + (F.col("n") - F.col("known")) * F.lit(other * other))
+    norm = words.join(small(idf), "term").groupBy("path", "k").agg(F.sqrt(F.sum(weight * weight)).alias("length"), F.collect_list(F.when(F.col("term").isin(vocabulary), F.struct("term", weight.alias("x")))).alias("v"))
     entries = _table(spark, [F.struct(F.lit(k).alias("license"), F.lit(w).alias("term"), F.lit(x).alias("y")) for k, v in unit.items() for w, x in v.items()])
-    flat = norm.select("path", "k", length.alias("length"), F.explode("v").alias("e")).select("path", "k", "length", "e.term", "e.x")
+    flat = norm.select("path", "k", "length", F.explode("v").alias("e")).select("path", "k", "length", "e.term", "e.x")
     cosine = F.round(F.sum(F.col("x") * F.col("y")) / F.first("length"), 6)
     scored = flat.join(F.broadcast(entries), "term").groupBy("path", "k", "license").agg(cosine.alias("cosine")).filter(F.col("cosine") >= least)
     best = scored.groupBy("path", "license").agg(F.max("cosine").alias("cosine"))

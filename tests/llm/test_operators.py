@@ -244,6 +244,21 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [300, 30_000])
+def test_licenses_with_further_words(spark, n):
+    """A notice's cosine is that of all words' frequencies, and doesn't fall as the files grow in number."""
+    import math
+
+    notice = "Our project files and pages released under the MIT License"
+    df = spark.range(n).select(F.concat(F.lit("d/"), "id").alias("path"), F.when(F.col("id") == 0, notice).when(F.col("id") % 3 == 0, "our project files and pages for the reader").otherwise("the end").alias("text"))
+    got = licenses.scan(df).filter("license IS NOT NULL").collect()
+    held = {"the": n} | dict.fromkeys(("our", "project", "files", "and", "pages"), (n + 2) // 3)
+    idf = lambda w: math.log((1 + n) / (1 + held.get(w, 1))) + 1
+    square = lambda t: sum(idf(w) ** 2 for w in t.lower().split())
+    want = math.sqrt(square(licenses.TEMPLATES["MIT"]) / square(notice))
+    assert [(r["path"], r["license"], r["cosine"]) for r in got] == [("d/0", "MIT", pytest.approx(want, abs=2e-6))] and want > 0.9
+
+
 def test_needed_words_lose_nothing():
     idf, other, unit = licenses.vectors({"the": 900, "license": 20}, 1000, licenses.TEMPLATES)
     need = set(licenses.needed(unit, 0.7))
