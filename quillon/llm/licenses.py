@@ -1,7 +1,10 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Every line of a file is a header to be compared with the templates; in licence files
-(LICENSE, COPYING and the like) the text as a whole is compared too.  Weights come from
+Every line of a file, every two and three neighbouring lines, and every block (a run of
+lines without an empty one between, of any length) are headers to be compared with the
+templates; in licence files (LICENSE, COPYING and the like) the text as a whole is
+compared too.  Templates are notices, usual headers, titles, and the texts of the short
+licenses, whole and by their blocks.  Weights come from
 the document frequencies of all words over all files.  Lines that share none
 of the words without which no cosine can reach the threshold are passed over, which
 loses nothing.  A file without a license of its own gets that of the nearest directory
@@ -10,6 +13,7 @@ above it that has a licence file.  All steps are DataFrame operations.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -30,6 +34,36 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "LGPL-2.1": "under the terms of the GNU Lesser General Public License version 2.1",
 }
+MIT_TEXT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+)
+BSD_TEXT = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+)
+APACHE_HEADER = (
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+    "http://www.apache.org/licenses/LICENSE-2.0",
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+)
+_FSF = "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2} as published by the Free Software Foundation; either version {3} of the License, or (at your option) any later version."
+_FSF_END = "This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} for more details."
+# Titles, usual headers, and the texts of the short licenses, whole and by the blocks that no other license shares.
+TEXTS = {
+    "Apache-2.0": ("Apache License", "Apache License Version 2.0, January 2004", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", APACHE_HEADER[0], " ".join(APACHE_HEADER)),
+    "MIT": ("MIT License", "The MIT License (MIT)", MIT_TEXT[0], " ".join(MIT_TEXT), "MIT License Copyright (c) " + " ".join(MIT_TEXT)),
+    "GPL-3.0": ("GNU General Public License Version 3", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "The GNU General Public License is a free, copyleft license for software and other kinds of works.", _FSF.format("program", ":", "General Public License", "3"), " ".join((_FSF.format("program", ":", "General Public License", "3"), _FSF_END.format("program", "General Public License")))),
+    "CC-BY-NC-4.0": ("Creative Commons Attribution-NonCommercial 4.0 International", "Creative Commons Attribution-NonCommercial 4.0 International Public License", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    "CC-BY-4.0": ("Creative Commons Attribution 4.0 International", "Creative Commons Attribution 4.0 International Public License", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", BSD_TEXT[3], " ".join(BSD_TEXT), "BSD 3-Clause License Copyright (c) All rights reserved. " + " ".join(BSD_TEXT)),
+    "MPL-2.0": ("Mozilla Public License Version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    "LGPL-2.1": ("GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", "GNU Lesser General Public License Version 2.1", _FSF.format("library", ";", "Lesser General Public License", "2.1"), " ".join((_FSF.format("library", ";", "Lesser General Public License", "2.1"), _FSF_END.format("library", "Lesser General Public License")))),
+}
 LICENSE_FILE = r"(?i)(?:^|/)(?:licen[cs]e|copying|notice)(?:\.[a-z]+)?$"
 LEAST = 0.7
 #: Tables of at most this many rows are broadcast (some tens of MB).
@@ -41,6 +75,13 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def windows(text: Column) -> Column:
+    """The lines of a text, each two and three neighbouring ones, and the blocks between empty lines."""
+    lines = F.split(text, "\n")
+    some = lambda n: F.when(F.size(lines) >= n, F.transform(F.sequence(F.lit(1), F.size(lines) - (n - 1)), lambda i: F.array_join(F.slice(lines, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    return F.concat(lines, some(2), some(3), F.split(text, "\n(?:[^A-Za-z0-9\n]*\n)+"))
+
+
 def vectors(df: dict[str, int], n: int, templates: dict[str, str]) -> tuple[dict[str, float], float, dict[str, dict[str, float]]]:
     """Weights of the templates' words, the weight of a word that no file has, and unit vectors of the templates."""
     count = {k: Counter(re.findall("[a-z0-9]+", t.lower())) for k, t in templates.items()}
@@ -65,17 +106,26 @@ def needed(unit: dict[str, dict[str, float]], least: float) -> list[str]:
     return sorted(out)
 
 
+def reach(unit: dict[str, dict[str, float]], vocabulary: list[str], w: Column) -> Column:
+    """The square of the greatest cosine that a text of the words ``w`` can have to any template: the share of the template that it holds."""
+    # One literal, which the optimizer reads once.
+    share = F.from_json(F.lit(json.dumps({x: [v.get(x, 0.0) ** 2 for v in unit.values()] for x in vocabulary})), "map<string,array<double>>")
+    held = F.array_intersect(w, F.array(*map(F.lit, vocabulary)))
+    return F.array_max(F.aggregate(held, F.array_repeat(F.lit(0.0), len(unit)), lambda a, x: F.zip_with(a, F.element_at(share, x), lambda p, q: p + q)))
+
+
 def _table(spark: SparkSession, rows: list[Column]) -> DataFrame:
     """A small table of literal rows."""
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def matches(files: DataFrame, least: float = LEAST, templates: dict[str, str] | None = None) -> DataFrame:
-    """``path``, ``license``, ``cosine`` of each file that has a license of its own: its best line or whole text.
+    """``path``, ``license``, ``cosine`` of each file that has a license of its own: its best line, window of lines, block or whole text.
 
     Ties go to the license that comes first by name.
     """
-    templates = templates or TEMPLATES
+    # Templates by license and number.
+    templates = {f"{k}\t{i}": t for k in (templates or TEMPLATES) for i, t in enumerate([(templates or TEMPLATES)[k], *(() if templates else TEXTS[k])])}
     spark = files.sparkSession
     vocabulary = sorted({w for t in templates.values() for w in re.findall("[a-z0-9]+", t.lower())})
     # One row for each word of the files, and one for their number.
@@ -85,17 +135,20 @@ def matches(files: DataFrame, least: float = LEAST, templates: dict[str, str] |
     n = df.pop("", 0)
     _, _, unit = vectors(df, n, templates)
     must = F.array(*map(F.lit, needed(unit, least)))
+    # Below this no cosine can reach the threshold; the margin is for rounding.
+    near = lambda w: F.arrays_overlap(w, must) & (reach(unit, vocabulary, w) >= least * least - 1e-6)
     whole = F.when(F.col("path").rlike(LICENSE_FILE), F.array(F.col("text"))).otherwise(F.array().cast("array<string>"))
-    part = files.filter(F.col("text").isNotNull()).select("path", F.posexplode(F.concat(F.split("text", "\n"), whole)).alias("k", "line"))
-    part = part.select("path", "k", tokens(F.col("line")).alias("w")).filter(F.arrays_overlap("w", must))
+    part = files.filter(near(tokens(F.col("text")))).select("path", F.posexplode(F.concat(windows(F.col("text")), whole)).alias("k", "line"))
+    part = part.select("path", "k", tokens(F.col("line")).alias("w")).filter(near(F.col("w")))
     words = store.materialize(part.select("path", "k", F.explode("w").alias("term")).groupBy("path", "k", "term").agg(F.count("*").alias("tf")), "license-lines")
     idf = store.materialize(counts.join(words.select("term").distinct(), "term", "left_semi").select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")), "license-weights")
     weight = F.col("tf") * F.col("idf")
     norm = words.join(small(idf), "term").groupBy("path", "k").agg(F.sqrt(F.sum(weight * weight)).alias("length"), F.collect_list(F.when(F.col("term").isin(vocabulary), F.struct("term", weight.alias("x")))).alias("v"))
-    entries = _table(spark, [F.struct(F.lit(k).alias("license"), F.lit(w).alias("term"), F.lit(x).alias("y")) for k, v in unit.items() for w, x in v.items()])
+    entries = _table(spark, [F.struct(F.lit(k).alias("template"), F.lit(w).alias("term"), F.lit(x).alias("y")) for k, v in unit.items() for w, x in v.items()])
     flat = norm.select("path", "k", "length", F.explode("v").alias("e")).select("path", "k", "length", "e.term", "e.x")
     cosine = F.round(F.sum(F.col("x") * F.col("y")) / F.first("length"), 6)
-    scored = flat.join(F.broadcast(entries), "term").groupBy("path", "k", "license").agg(cosine.alias("cosine")).filter(F.col("cosine") >= least)
+    scored = flat.join(F.broadcast(entries), "term").groupBy("path", "k", "template").agg(cosine.alias("cosine")).filter(F.col("cosine") >= least)
+    scored = scored.withColumn("license", F.substring_index("template", "\t", 1))
     best = scored.groupBy("path", "license").agg(F.max("cosine").alias("cosine"))
     return best.groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b")).select("path", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
 

@@ -259,6 +259,26 @@ def test_licenses_with_further_words(spark, n):
     assert [(r["path"], r["license"], r["cosine"]) for r in got] == [("d/0", "MIT", pytest.approx(want, abs=2e-6))] and want > 0.9
 
 
+def test_license_texts(spark):
+    """Licence files' own texts, their first blocks and titles, and headers over several lines."""
+    import textwrap
+
+    wrap = lambda t, by="": textwrap.fill(t, 70, initial_indent=by, subsequent_indent=by)
+    mit = "MIT License\n\nCopyright (c) 2021 Ada Vale\n\n" + "\n\n".join(map(wrap, licenses.MIT_TEXT))
+    bsd = "Copyright (c) 2020, Ada Vale\nAll rights reserved.\n\n" + "\n\n".join(map(wrap, licenses.BSD_TEXT))
+    apache = "\n#\n".join(wrap(t, "# ") for t in licenses.APACHE_HEADER)
+    rows = [
+        ("a/LICENSE", mit, "MIT"), ("b/LICENSE", wrap(licenses.MIT_TEXT[0]), "MIT"), ("c/LICENSE", "MIT License", "MIT"),
+        ("d/COPYING", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n other words", "GPL-3.0"),
+        ("e/LICENSE", bsd, "BSD-3-Clause"), ("f/x.py", f"# Copyright 2020 Ada Vale\n#\n{apache}\n\nimport os\n", "Apache-2.0"),
+        ("g/x.c", "/* Use of this source code is governed by\n * a BSD-style license */\nint main() {}", "BSD-3-Clause"),
+        ("h/x.txt", "This program is free software of the year\nand the terms of use are free", None), ("a/b/x.txt", "inherits", "MIT"),
+    ]
+    more = [(f"z/{i}", "prose about the software, its use and the terms of this work", None) for i in range(300)]
+    got = licenses.scan(spark.createDataFrame([r[:2] for r in rows + more], "path string, text string")).collect()
+    assert {r["path"]: r["license"] for r in got} == {r[0]: r[2] for r in rows + more}
+
+
 def test_needed_words_lose_nothing():
     idf, other, unit = licenses.vectors({"the": 900, "license": 20}, 1000, licenses.TEMPLATES)
     need = set(licenses.needed(unit, 0.7))
