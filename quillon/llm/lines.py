@@ -9,7 +9,7 @@ operations.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import store
@@ -21,11 +21,16 @@ SITES = 5
 SMALL = 500_000
 
 
+def known() -> Column:
+    """The hash that tells the rows of one ``doc_id`` with different texts apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def exploded(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``source``, ``k`` (place in its document), ``a`` and ``b`` (hash) of each line that isn't blank."""
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    """``doc_id``, ``h`` (hash of the text), ``source``, ``k`` (place in its document), ``a`` and ``b`` (hash) of each line that isn't blank."""
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), known().alias("h"), F.posexplode(F.split("text", "\n")).alias("k", "line"))
     line = F.trim(F.translate("line", "\t\r", "  "))
-    return lines.select("doc_id", "source", "k", line.alias("line")).filter("line <> ''").select("doc_id", "source", "k", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
+    return lines.select("doc_id", "h", "source", "k", line.alias("line")).filter("line <> ''").select("doc_id", "h", "source", "k", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
 
 
 def occurrences(lines: DataFrame, sites: int = SITES) -> DataFrame:
@@ -54,13 +59,13 @@ def dedup(docs: DataFrame, sites: int = SITES) -> DataFrame:
     The least document that has such a line keeps it; all others lose it.  Lines compare
     without spaces, tabs and carriage returns at their ends; blank lines stay.  Null
     sources are one site, null texts stay null, and a text whose lines all go becomes
-    empty.  Rows that repeat a ``doc_id`` are one document to the count of sites and lose
-    the places that any of them loses.
+    empty.  A document is known by its id and its text's hash: rows that repeat both lose the
+    same places, and rows of one id (or of none) with different texts their own.
     """
     found = occurrences(exploded(docs), sites).filter(~F.col("doc_id").eqNullSafe(F.col("keep_doc")))
-    gone = found.select("doc_id", "k").distinct().groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("k").alias("__gone"))
+    gone = found.select("doc_id", "h", "k").distinct().groupBy(F.col("doc_id").alias("__doc"), F.col("h").alias("__h")).agg(F.collect_list("k").alias("__gone"))
     # A shuffle by id at any size: the list of lines grows with the documents.
-    out = docs.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left")
+    out = docs.join(gone.hint("merge"), (known() == F.col("__h")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left")
     left = F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains("__gone", k))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.concat_ws("\n", left))
     return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))

@@ -207,9 +207,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
 
 
 def deduplicate(docs: DataFrame, shingle: int, radius: int = 4) -> DataFrame:
-    """The row of the least ``doc_id`` of each component; of rows that repeat it, one."""
-    stay = near_duplicates(docs, shingle, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each component: that of the least ``doc_id``, null ids last.
+
+    A document is known by its id and its text's hash, so that rows of one id (or of
+    none) with different texts stand for themselves.
+    """
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    group = near_duplicates(docs.select(h.alias("doc_id"), "text"), shingle, radius).select(F.col("doc_id").alias("h"), "component_id").distinct()
+    least = docs.groupBy(h.alias("h")).agg(F.min(F.col("doc_id").cast("long")).alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("s")
+    stay = least.join(group, "h").groupBy("component_id").agg(first).select(F.col("s.id").alias("__doc"), F.col("s.h").alias("__stay"))
+    known = docs.withColumn("__h", h)
+    out = known.join(stay, (F.col("__h") == F.col("__stay")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left_semi")
+    return out.dropDuplicates(["doc_id", "__h"]).drop("__h")
 
 
 def hex16(fp: Column) -> Column:

@@ -132,6 +132,20 @@ def test_simhash_dense_groups(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_ids_that_repeat(spark):
+    """Unlike texts of one id, or of none, are different documents to both stages of the pipeline."""
+    rnd = random.Random(5)
+    texts = [" ".join(str(rnd.random()) for _ in range(40)) for _ in range(5)]
+    ids = [None, None, 7, 7, 8]
+    rows = [*zip(ids, texts), (7, texts[2]), (9, texts[0])]
+    df = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, source string")
+    got = simhash.deduplicate(df, 5).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted((str(d), t) for d, t in [(9, texts[0]), (None, texts[1]), *zip(ids[2:], texts[2:])])
+    rows = [(i, "shared", f"s{i}") for i in range(5)] + [(None, "shared\nx1", "s6"), (None, "x2\nshared", "s6"), (6, "shared\nx3", "s6"), (6, "x4\nshared", "s6")]
+    got = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted(r["text"] for r in got) == sorted(["shared", "", "", "", "", "x1", "x2", "x3", "x4"])
+
+
 def test_lines(spark, corpus):
     sites, least = collections.defaultdict(set), {}
     rows = [(r["doc_id"], r["text"], r["source"] or "") for r in corpus.collect()]
