@@ -35,9 +35,10 @@ NAMES = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret"
 #: Values that stand for no secret.
 BLANKS = re.compile(r"(?i)^(?:changeme|password|secret|token|none|null|true|false|undefined|example|todo|x+|\*+|\.+|-+|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s|process\.env.*|os\.environ.*)$")
 
+# Literals have no greatest length; possessive repeats keep the scan of one linear.
 _PAIR = re.compile(
     r"""(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,127})["']?\]?\x20*(?::=|=>|==?|:)\x20*
-    (?:"(?P<d>(?:[^"\\\n]|\\.){1,4096})"|'(?P<s>(?:[^'\\\n]|\\.){1,4096})'|(?P<bare>[A-Za-z0-9+/_.\-~!@\#$%^&*]{1,4096}=*))""",
+    (?:"(?P<d>(?:[^"\\\n]++|\\.)++)"|'(?P<s>(?:[^'\\\n]++|\\.)++)'|(?P<bare>[A-Za-z0-9+/_.\-~!@\#$%^&*]++=*))""",
     re.VERBOSE | re.ASCII,
 )
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|[^A-Za-z0-9]+|(?<=[A-Za-z])(?=[0-9])")

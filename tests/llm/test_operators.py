@@ -229,6 +229,19 @@ def test_secrets():
     assert secrets.spans('passphrase => "${HOME}"') == []
 
 
+@pytest.mark.parametrize("quote", ['"', "'", ""])
+def test_secrets_of_any_length(quote):
+    """A literal of 10,000 characters is found whole, and an open quote of a million costs no more than its length."""
+    import time
+
+    value = "".join(random.Random(4).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=10_000))
+    head = f"client_passphrase = {quote}"
+    assert secrets.spans(f"{head}{value}{quote}\nend") == [(len(head), len(head) + 10_000, "literal")]
+    start = time.perf_counter()
+    assert quote == "" or secrets.spans(head + "! " * 500_000) == []
+    assert time.perf_counter() - start < 20
+
+
 def test_secrets_base(spark, corpus):
     rows = secrets.scan(corpus).collect()
     assert len(rows) == corpus.count()
