@@ -94,10 +94,14 @@ def extract_staff(blocks: DataFrame, permissive: bool = False) -> DataFrame:
     two = F.when(text.valid_name(lines[0]) & text.valid_title(text.clean_title(lines[1])), F.array(F.struct(lines[0].alias("name"), text.clean_title(lines[1]).alias("title")))).otherwise(none)
     split = F.filter(F.transform(lines, text.split_name_title), lambda x: x.isNotNull())
     before = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size(lines) - 1, F.lit(1))), lambda i: F.when((i < F.size(lines)) & text.valid_name(F.get(lines, i - 1)) & classify.is_art(F.get(lines, i)), F.struct(F.get(lines, i - 1).alias("name"), text.clean_title(F.get(lines, i)).alias("title")))), lambda x: x.isNotNull())
+    # Body text: the nearest valid name of the two lines before.
+    named = lambda x: F.when(text.valid_name(x), x)
+    near = lambda i: F.coalesce(named(F.get(lines, i - 1)), named(F.get(lines, i - 2)))
+    scan = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size(lines) - 1, F.lit(1))), lambda i: F.when((i < F.size(lines)) & near(i).isNotNull() & classify.is_art(F.get(lines, i)), F.struct(near(i).alias("name"), text.clean_title(F.get(lines, i)).alias("title")))), lambda x: x.isNotNull())
     many = F.filter(lines, lambda x: x != "")
     cards = blocks.withColumn("lines", many)
     blocks = cards
-    found = [rows("card", 1, "semantic_card", two, not permissive), rows("block", 2, "name_title_line", split, True), rows("block", 2, "table_row", text.table_rows(lines), not permissive), rows("block", 2, "generic_block", two, not permissive), rows("mailto", 3, "mailto_context", F.concat(split, before), True), rows("body", 4, "text_scan", F.concat(split, before), True)]
+    found = [rows("card", 1, "semantic_card", two, not permissive), rows("block", 2, "name_title_line", split, True), rows("block", 2, "table_row", text.table_rows(lines), not permissive), rows("block", 2, "generic_block", two, not permissive), rows("mailto", 3, "mailto_context", F.concat(split, before), True), rows("body", 4, "text_scan", F.concat(split, scan), True)]
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

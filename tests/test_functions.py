@@ -94,3 +94,11 @@ def test_group_does_not_depend_on_partitions(spark, sf, n):
     a = merge.group_contacts(rows.repartition(n), ["school_name", "id"])
     b = merge.group_contacts(rows, ["school_name", "id"])
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_text_scan_looks_two_lines_back(spark):
+    from quillon.operators import crawl
+
+    rows = [(1, 1, "body", ["Anna Lindqvist", "Room 12", "Art Teacher"], None), (2, 1, "body", ["Anna Lindqvist", "Bruno Ashford", "Art Teacher"], None), (3, 1, "body", ["Anna Lindqvist", "Room 12", "Floor 3", "Art Teacher"], None), (4, 1, "mailto", ["Anna Lindqvist", "Room 12", "Art Teacher"], None)]
+    got = crawl.extract_staff(spark.createDataFrame(rows, "page_id int, pos int, kind string, lines array<string>, mailto string")).collect()
+    assert sorted((r["page_id"], r["name"], r["title"]) for r in got) == [(1, "Anna Lindqvist", "Art Teacher"), (2, "Bruno Ashford", "Art Teacher")]
