@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from quillon.functions import rules
-from quillon.functions.text import acronym, words
+from quillon.functions.text import acronym, strip_stopwords, words
 
 
 @F.pandas_udf(DoubleType())
@@ -108,13 +108,17 @@ def resolve(inputs: DataFrame, schools: DataFrame, parents: DataFrame | None = N
 
     ``schools``: ``nces_id``, ``norm``, ``school_name``, ``district_norm``, ``district_name``,
     ``lea_id``, ``state``.  The curated tables (``norm``, ``name``, ``domain``; notes:
-    ``norm``, ``note``) are small and given by the caller.  A district of one school is
+    ``norm``, ``note``) are small and given by the caller;
+    parents and programs match by fuzzy equality of the full or the stop-word-stripped name.  A district of one school is
     that school.
     """
     spark = inputs.sparkSession
     none = spark.range(0).select(F.lit("").alias("norm"), F.lit("").alias("name"), F.lit("").alias("domain"))
     curated = (parents or none).select("norm", F.col("name").alias("c_name"), F.col("domain").alias("c_domain"), F.lit("PARENT_ORG").alias("c_type")).unionAll((programs or none).select("norm", "name", "domain", F.lit("PROGRAM")))
-    curated = curated.groupBy("norm").agg(F.min_by(F.struct("c_name", "c_domain", "c_type"), F.when(F.col("c_type") == "PARENT_ORG", 0).otherwise(1)).alias("c"))
+    curated = curated.withColumnRenamed("norm", "key")
+    # Broadcast: the curated tables.  Either form may be near; parents count first, then equal names, then the closest.
+    near = inputs.select("norm").distinct().crossJoin(F.broadcast(curated)).withColumn("_r", F.greatest(ratio("norm", "key"), ratio(strip_stopwords(F.col("norm")), strip_stopwords(F.col("key"))))).filter((F.col("norm") == F.col("key")) | (F.col("_r") >= rules.FUZZY))
+    curated = near.groupBy("norm").agg(F.min_by(F.struct("c_name", "c_domain", "c_type"), F.struct(F.when(F.col("c_type") == "PARENT_ORG", 0).otherwise(1).alias("t"), (F.col("norm") != F.col("key")).alias("n"), (-F.col("_r")).alias("r"), "key")).alias("c"))
     index = schools.select("norm", "state", "nces_id", "school_name", "district_name", "lea_id")
     campus = schools.groupBy("lea_id").agg(F.count_distinct("nces_id").alias("campuses"))
     districts = schools.select(F.col("district_norm").alias("norm"), "state", "nces_id", "school_name", "district_name", "lea_id")

@@ -498,8 +498,11 @@ def resolve_entity(spark, sf_dir):
     """All tiers and the decision among them; fuzzy scores keep it out of SQL."""
     s = schools(spark, sf_dir)
     reg = s.select("nces_id", text.normalize_name(F.col("school_name")).alias("norm"), "school_name", text.normalize_name(F.col("district_name")).alias("district_norm"), "district_name", F.col("district_name").alias("lea_id"), "state")
-    asked = s.select(F.col("id").alias("iid"), F.when(F.col("id") % 10 == 0, text.normalize_name(F.col("district_name"))).otherwise(text.normalize_name(F.col("school_name"))).alias("norm"), F.when(F.col("id") % 2 == 0, F.col("state")).alias("hint"))
-    return match.resolve(asked, reg).drop("children")
+    asked = s.select(F.col("id").alias("iid"), F.when(F.col("id") % 10 == 0, text.normalize_name(F.col("district_name"))).when(F.col("id") % 10 == 3, "the harbour lights charter netwrk").when(F.col("id") % 10 == 7, "evening studio programme of arts").otherwise(text.normalize_name(F.col("school_name"))).alias("norm"), F.when(F.col("id") % 2 == 0, F.col("state")).alias("hint"))
+    curated = lambda norm, name, domain: spark.range(1).select(F.lit(norm).alias("norm"), F.lit(name).alias("name"), F.lit(domain).alias("domain"))
+    parents = curated("harbor lights charter network", "Harbor Lights Charter Network", "harborlights.example")
+    programs = curated("evening studio program of the arts", "Evening Studio Program of the Arts", "studio.example")
+    return match.resolve(asked, reg, parents, programs).drop("children")
 
 
 @query(with_views("SELECT id, CASE WHEN id % 3 = 0 THEN 'PARENT_ORG:' || lower(district_name) ELSE 'SCHOOL:' || nces_id END AS key FROM schools"))

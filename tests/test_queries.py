@@ -55,3 +55,14 @@ def test_fuzzy_equals_difflib(spark, sf):
         for k in difflib.get_close_matches(a["norm"], keys, 5, 0.82):
             want |= {(a["iid"], r["nces_id"]) for r in rows if r["norm"] == k and (a["hint"] is None or r["state"] == a["hint"])}
     assert {(r["iid"], r["nces_id"]) for r in q.lookup_fuzzy(spark, sf).collect()} == want
+
+
+def test_resolve_matches_curated_names_fuzzily(spark, sf):
+    from pyspark.sql import functions as F
+
+    from quillon.plans import queries as q
+
+    got = {r["iid"]: (r["entity_type"], r["resolved_name"]) for r in q.resolve_entity(spark, sf).filter(F.col("iid") % 10 > 2).collect()}
+    assert {v for k, v in got.items() if k % 10 == 3} == {("PARENT_ORG", "Harbor Lights Charter Network")}
+    assert {v for k, v in got.items() if k % 10 == 7} == {("PROGRAM", "Evening Studio Program of the Arts")}
+    assert all(v[0] not in ("PARENT_ORG", "PROGRAM") for k, v in got.items() if k % 10 not in (3, 7))
