@@ -1,7 +1,7 @@
 """The ten operators against brute force, and on awkward rows."""
 
 import collections
-import hashlib
+import math
 import random
 import re
 
@@ -247,20 +247,24 @@ def test_secrets_base(spark, corpus):
     assert len(rows) == corpus.count()
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("block,size", [(64, 1), (16, 1), (64, 1e15)])
+def test_top_k(spark, block, size):
+    """Against brute force in whole numbers: ties, copies of a vector, odd vectors, and components of any size."""
     rnd = np.random.default_rng(3)
-    rows = [(i, [float(np.float32(x)) for x in rnd.integers(-3, 3, 8) / 64]) for i in range(300)]
-    rows += [(i, rows[20][1]) for i in range(300, 350)] + [rows[20], (400, None), (401, [None] * 8), (402, [float("nan")] * 8), (None, rows[1][1]), (420, [1.0, 2.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows = [(i, [float(np.float32(x)) * (size if i % 5 == 1 else 1) for x in rnd.integers(-3, 3, 8) / 64]) for i in range(300)]
+    rows += [(i, rows[20][1]) for i in range(300, 350)] + [rows[20], (400, None), (401, [None] * 8), (402, [float("nan")] * 8), (403, [float("inf")] * 8), (None, rows[1][1]), (420, [1.0, 2.0])]
+    rows += [(500 + i, [1e20 + i * 2.0**45, -1e19, 3.0, 0.0, 1e9 + i, 0.0, 0.0, 7.0]) for i in range(41)] if size > 1 else []
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     v = topk.quantize(df)
     got = collections.defaultdict(list)
-    for r in topk.exact_top_k(v.filter("vec_id % 20 = 0"), v, block=64, query_block=8).orderBy("query_id", "rank").collect():
+    for r in topk.exact_top_k(v.filter("vec_id % 20 = 0"), v, block=block, query_block=8).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
-    vec = {i: np.floor(64 * np.array(x)).astype(int) for i, x in rows if i is not None and x and None not in x and not np.isnan(x).any()}
+    vec = {i: [math.floor(64 * y) for y in x] for i, x in rows if i is not None and x and None not in x and np.isfinite(x).all()}
     for q in [i for i in vec if i % 20 == 0]:
-        want = sorted(((i, int(vec[q] @ x)) for i, x in vec.items() if i != q and len(x) == len(vec[q])), key=lambda p: (-p[1], p[0]))[:20]
-        assert got.get(q, []) == want
+        want = sorted(((i, sum(a * b for a, b in zip(vec[q], x))) for i, x in vec.items() if i != q and len(x) == len(vec[q])), key=lambda p: (-p[1], p[0]))[:20]
+        assert got.get(q, []) == [(i, min(max(s, -(2**63)), 2**63 - 1)) for i, s in want], q
     assert topk.exact_top_k(v.limit(0), v.limit(0)).count() == 0
+    assert topk.exact_top_k(v.filter("vec_id = 20"), v.limit(0)).count() == 0
 
 
 def test_licenses(spark):
@@ -307,7 +311,7 @@ def test_license_texts(spark):
 
 
 def test_needed_words_lose_nothing():
-    idf, other, unit = licenses.vectors({"the": 900, "license": 20}, 1000, licenses.TEMPLATES)
+    _, unit = licenses.vectors({"the": 900, "license": 20}, 1000, licenses.TEMPLATES)
     need = set(licenses.needed(unit, 0.7))
     for name, v in unit.items():
         assert sum(x * x for w, x in v.items() if w not in need) < 0.7**2, name
