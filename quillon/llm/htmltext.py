@@ -1,15 +1,21 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags.  Pass 1 decides blocks by where they
-stand (menus, footers, adverts and the like are out; what stands in the article and
-isn't mostly links is in) and, elsewhere, by length, link density and stop-word density.
-Pass 2 gives each undecided short block the label of its nearest decided neighbours.
+A page is cut into blocks at block-level tags.  Blocks in menus, footers, adverts and the
+like are out from the start, as no density tells a notice in prose from an article.
+Pass 1 decides the others: blocks that are mostly links are out; blocks that are long
+enough and dense enough in stop words are in, with lower limits in an article.  Pass 2
+gives each block that is left, short or ambiguous, the label of its nearest decided
+neighbours.  An article's edges count as neighbours that are in, so its neighbours are
+those of the same article.
+
+Both passes, and the cutting, take time in proportion to the page's length.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,16 +42,22 @@ RAW, BLOCK, OUT_TAGS, OUT_WORDS, IN_WORDS, HEADS, STOP = (frozenset(x.split()) f
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:-->|--!>|\Z))"
     r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\s*=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)(?P<close>>|\Z)",
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:=\s*+(?:\"[^\"]*\"|'[^']*')?+|[^>=])*+)(?P<close>>|\Z)",
     re.DOTALL,
 )
 _NAMES = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z0-9]+")
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‚‘’…–—¿¡"
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE) for t in RAW}
 
 IN, OUT, OPEN = 1, -1, 0
+#: Characters of a long and of a short block, and shares of links and of stop words.
 LONG, SHORT, LINKED, STOPPED = 140, 60, 0.4, 0.2
+#: Elements that hold no blocks, and those that a new one of their kind ends.
+_EMPTY = frozenset("col frame hr link meta".split())
+_SAME = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr", "td": "td th", "th": "td th"}
+_SAME = {k: frozenset(v.split()) for k, v in _SAME.items()}
 
 
 def _place(tag: str, attrs: str, inside: bool) -> int | None:
@@ -64,11 +76,16 @@ def _place(tag: str, attrs: str, inside: bool) -> int | None:
 
 
 def blocks(page: str) -> list[tuple[str, int, int, bool]]:
-    """(text, characters in links, place, heading) of each block that has text, in page order."""
+    """(text, characters in links, place, heading) of each block that has text, in page order.
+
+    A place is OUT, OPEN, or the number of the article (from 1) that the block stands in.
+    """
     out: list[tuple[str, int, int, bool]] = []
-    stack: list[tuple[str, int | None]] = []
+    stack: list[tuple[str, int, int]] = []  # element, place, the article around it
+    held: Counter = Counter()  # elements of the stack by tag
+    endless: set[str] = set()  # elements without text whose end doesn't come
     parts: list[str] = []
-    linked, in_link, head, place = 0, 0, False, OPEN
+    linked, in_link, head, place, articles = 0, 0, False, OPEN, 0
 
     def flush() -> None:
         nonlocal linked
@@ -87,8 +104,8 @@ def blocks(page: str) -> list[tuple[str, int, int, bool]]:
             if in_link:
                 linked += len(text.strip())
 
-    def where() -> int:
-        return next((p for _, p in reversed(stack) if p is not None), OPEN)
+    def pop() -> None:
+        held[stack.pop()[0]] -= 1
 
     at, n = 0, len(page)
     while at < n:
@@ -104,8 +121,10 @@ def blocks(page: str) -> list[tuple[str, int, int, bool]]:
         tag = tag.lower()
         end = bool(m["end"])
         if tag in RAW:
-            if not end and not (m["attrs"].endswith("/") and tag in ("svg", "math")):
+            if not end and tag not in endless and not (m["attrs"].endswith("/") and tag in ("svg", "math")):
                 e = _ENDS[tag].search(page, at)
+                if e is None:
+                    endless.add(tag)
                 at = e.end() if e else n if tag in ("script", "style", "textarea", "xmp", "iframe", "noembed", "noframes") else at
             continue
         if tag == "a":
@@ -115,60 +134,77 @@ def blocks(page: str) -> list[tuple[str, int, int, bool]]:
         elif tag in BLOCK:
             flush()
             if end:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                if held[tag]:
+                    while stack[-1][0] != tag:
+                        pop()
+                    pop()
                 in_link = 0 if tag in ("p", "li", "div", "td") else in_link
                 head = head and tag not in HEADS
             else:
                 head = tag in HEADS or head and tag not in ("p", "div", "li", "section")
-                if tag not in ("p", "li", "hr", "link", "meta", "col") or "=" in m["attrs"]:
-                    if tag in ("body", "article", "main") and stack and stack[-1][0] == "head":
-                        stack.pop()
-                    stack.append((tag, _place(tag, m["attrs"], any(p == IN for _, p in stack))))
-                    if tag in ("p", "li", "hr", "link", "meta", "col"):
-                        stack[:] = [x for k, x in enumerate(stack) if x[0] not in ("p", "hr", "link", "meta", "col") or k == len(stack) - 1 and tag == "p"]
-                elif tag in ("p", "li") and stack and stack[-1][0] == tag:
-                    stack.pop()
-            place = where()
+                if stack and stack[-1][0] == "p":
+                    pop()
+                if stack and (stack[-1][0] in _SAME.get(tag, ()) or tag in ("body", "article", "main") and stack[-1][0] == "head"):
+                    pop()
+                if tag not in _EMPTY:
+                    around = stack[-1][1:] if stack else (OPEN, 0)
+                    says = _place(tag, m["attrs"], around[1] > 0)
+                    if says == IN and around[0] != OUT and not around[1]:
+                        articles += 1
+                        around = (articles, articles)
+                    # An article within a part that is out, such as a comment, stays out.
+                    stack.append((tag, OUT if says == OUT else around[0], around[1]))
+                    held[tag] += 1
+            place = stack[-1][1] if stack else OPEN
     flush()
     return out
 
 
-def label(found: list[tuple[str, int, int, bool]]) -> list[bool]:
-    """Whether each block belongs to the main text."""
+def first_pass(found: list[tuple[str, int, int, bool]]) -> list[int]:
+    """IN, OUT or OPEN for each block, by its place, links, length and stop words."""
     first = []
     for text, linked, place, head in found:
         density = linked / len(text)
         if place == OUT or density > LINKED and not head:
             first.append(OUT)
-        elif place == IN:
-            first.append(IN)
         elif len(text) < SHORT or head:
             first.append(OPEN)
         else:
             words = text.lower().split()
-            stop = sum(w.strip(".,;:!?") in STOP for w in words) / len(words)
-            first.append(IN if stop >= STOPPED and (len(text) >= LONG or density == 0) else OUT if len(text) >= LONG and stop < STOPPED / 4 and density > LINKED / 2 else OPEN)
-    n = len(found)
-    before, after = [OUT] * n, [OUT] * n
-    last = (OUT, -1)
-    for k in range(n):
-        before[k] = last
-        if first[k]:
-            last = (first[k], k)
-    last = (OUT, n)
-    for k in range(n - 1, -1, -1):
-        after[k] = last
-        if first[k]:
-            last = (first[k], k)
+            stop = sum(w.strip(_MARKS) in STOP for w in words) / len(words)
+            inside = place > 0
+            if stop >= (STOPPED / 2 if inside else STOPPED) and (len(text) >= LONG or inside or density == 0):
+                first.append(IN)
+            else:
+                first.append(OUT if not inside and len(text) >= LONG and stop < STOPPED / 4 and density > LINKED / 2 else OPEN)
+    return first
+
+
+def label(found: list[tuple[str, int, int, bool]]) -> list[bool]:
+    """Whether each block belongs to the main text."""
+    n, first = len(found), first_pass(found)
+
+    def nearest(order: range) -> list[tuple[int, int]]:
+        """(label, index) of the decided block that comes before each one in the given order, within its article."""
+        got, last = [(OUT, -1)] * n, {}
+        for k in order:
+            part = max(found[k][2], 0)
+            # What is out by its place isn't in the article, but stands between other blocks.
+            got[k] = last.get(part, (IN if part else OUT, order.start - (1 if order.step > 0 else -1)))
+            if first[k] and (found[k][2] != OUT or not part):
+                last[part] = (first[k], k)
+        return got
+
+    before, after = nearest(range(n)), nearest(range(n - 1, -1, -1))
     out = []
     for k in range(n):
         x = first[k]
         if not x:
             (b, i), (a, j) = before[k], after[k]
-            x = a if a == b or found[k][3] else b if k - i < j - k else a if j - k < k - i else OUT
+            if found[k][2] > 0:
+                x = OUT if a == b == OUT else IN
+            else:
+                x = a if a == b or found[k][3] else b if k - i < j - k else a if j - k < k - i else OUT
         out.append(x == IN)
     return out
 
@@ -183,7 +219,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, ``text``, ``n_chars`` for each row of ``pages``.
 
     Null and empty pages, and pages without main text, have an empty text.  Repeated
-    rows give repeated results; columns other than page_id, url and html are ignored.
+    rows give repeated results, and an empty table gives none; columns other than page_id,
+    url and html are ignored.
     """
     store.workers(pages.sparkSession)
 

@@ -198,6 +198,42 @@ def test_html():
     assert htmltext.main_text(loose) == "\n".join(["Head", text.strip(), "Short.", text.strip()])
 
 
+def test_html_of_made_pages():
+    """Pages put together from known blocks, with and without an article element, give back the known text."""
+    rnd = random.Random(6)
+    stop = sorted(htmltext.STOP)
+    prose = lambda n: " ".join(rnd.choice(stop) if rnd.random() < 0.5 else "".join(rnd.choices("bcdfglmnprst", k=6)) for _ in range(n))
+    for k in range(60):
+        art = [prose(rnd.choice((3, 8, 30, 90))) for _ in range(rnd.randint(3, 9))]
+        art[0] = art[-1] = prose(60)
+        tag = ("article", "main", "div class='post-body'", "div")[k % 4]
+        links = "".join(f"<li><a href=/{i}>{prose(2)}</a></li>" for i in range(5))
+        page = f"<html><head><title>{prose(5)}</title></head><body><nav><ul>{links}</ul></nav><div class=ad>{prose(40)}</div><{tag}>" + "".join(f"<p>{x}</p>" for x in art) + f"</{tag.split()[0]}><section id=comments><article><p>{prose(70)}</p></article></section><div><ul>{links}</ul></div><footer>{prose(30)}</footer></body></html>"
+        assert htmltext.main_text(page) == "\n".join(art), k
+
+
+def test_html_passes():
+    """In an article, length and stop words decide long blocks, and short ones go by their neighbours."""
+    text = "The man and the dog went to the hill, and it was the best of all that they had seen in the year. " * 2
+    found = htmltext.blocks(f"<article><p>Short one.</p><p>{text}</p><ul><li><a>x y</a></li></ul><p>Lost</p><ul><li><a>x y</a></li></ul></article><p>After.</p>")
+    assert [b[2] for b in found] == [1, 1, 1, 1, 1, htmltext.OPEN]
+    assert htmltext.first_pass(found) == [htmltext.OPEN, htmltext.IN, htmltext.OUT, htmltext.OPEN, htmltext.OUT, htmltext.OPEN]
+    assert htmltext.label(found) == [True, True, False, False, False, False]
+
+
+@pytest.mark.parametrize("part,end", [("<a " + " " * 300_000, ""), ("<div>" * 60_000, ""), ("<svg>" * 100_000, ""), ("<li class=x>a" * 60_000, ""), ("<div>" * 40_000, "</p>" * 40_000)])
+def test_html_of_long_pages(part, end):
+    import time
+
+    start = time.perf_counter()
+    htmltext.main_text(part + "x" + end)
+    assert time.perf_counter() - start < 10
+
+
+def test_html_of_no_pages(spark):
+    assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, 1), (1, "u", None, 1), (None, None, "<article>é</article>", 2)], "page_id long, url string, html string, text int")
     assert sorted(map(str, htmltext.extract(pages).collect())) == sorted(map(str, [(1, "u", "", 0), (1, "u", "", 0), (None, None, "é", 1)])) or sorted((str(r[0]), r[2], r[3]) for r in htmltext.extract(pages).collect()) == [("1", "", 0), ("1", "", 0), ("None", "é", 1)]
@@ -242,6 +278,91 @@ def test_secrets_of_any_length(quote):
     assert time.perf_counter() - start < 20
 
 
+KEY = "A1b2C3d4E5f6G7h8"
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("<password>{}</password>", 1), ('<add key="db_pwd" value="{}"/>', 1), ("credentials:\n  value: {}\n", 1), ("[credentials]\nvalue = {}\n", 1), ('{{"passphrase": {{"value": "{}"}}}}', 1),
+        ('x = """{}"""\npassphrase = x', 1), ('setPassphrase("{}")', 1), ("put('client_pwd', \"{}\")", 1), ("tool --passphrase {} run", 1), ('env["DB_PWD"] = "{}"', 1), ('a = "{}"\nb = a + "zz"\nauth_pwd = b', 2),
+        ('color = "{}"', 0), ("the words are {} here", 0), ('[colors]\nvalue = "{}"', 0), ("<color>{}</color>", 0), ("{}", 0),
+    ],
+)
+def test_secrets_of_many_syntaxes(text, want):
+    text = text.format(KEY)
+    got = secrets.spans(text)
+    assert len(got) == want and (not want or (text.index(KEY), text.index(KEY) + len(KEY), "literal") in got)
+
+
+def test_secrets_of_joined_strings():
+    text = f'pwd := ("{KEY[:8]}"\n  "{KEY[8:]}")\nother = "{KEY}"'
+    assert [text[a:b] for a, b, _ in secrets.spans(text)] == [KEY[:8], KEY[8:]]
+
+
+@pytest.mark.parametrize("part", ['"\\', "a=", "pwd: ", "pwd: {", "<a ", "{", 'x=x+"a1"\n', "f('", "a=("])
+def test_secrets_of_long_texts(part):
+    import time
+
+    start = time.perf_counter()
+    secrets.spans(part * (600_000 // len(part)))
+    assert time.perf_counter() - start < 20
+
+
+def brute_base(t):
+    """The base spans, found place by place."""
+    out, letters = [], set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    run = lambda i, ok: next((j for j in range(i, len(t)) if t[j] not in ok), len(t))
+    low = t.translate(LOW)
+    at = 0
+    while at < len(t):
+        word = next((w for w in ("password", "passwd", "secret", "token", "api_key", "apikey") if low.startswith(w, at)), "")
+        i = at + len(word)
+        ends = []
+        for q in {i, i + (t[i : i + 1] in ("'", '"'))} if word else ():
+            j = run(q, " ")
+            if t[j : j + 1] in (":", "="):
+                j = run(j + 1, " ")
+                ends += [(k, run(k, letters)) for k in {j, j + (t[j : j + 1] in ("'", '"'))} if run(k, letters) > k]
+        if ends:
+            k, e = max(ends, key=lambda x: x[1])
+            out += [(at, e, "assign")] * (e - k >= 12)
+            at = e
+        else:
+            at += 1
+    for kind, first, ok, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 18), ("hex", "", set("0123456789abcdef"), 16)):
+        at = 0
+        while at < len(t):
+            e = run(at + len(first), ok) if t.startswith(first, at) else at
+            if e > at + len(first):
+                out += [(at, e, kind)] * (e - at >= least)
+                at = e
+            else:
+                at += 1
+    return sorted(out, key=lambda x: (x[0], secrets.KINDS.index(x[2])))
+
+
+def test_secrets_base_equals_brute_force(sf):
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table(f"{sf}/documents.parquet", columns=["text"])["text"].to_pylist()]
+    rnd = random.Random(9)
+    parts = ["password", "Token", "api_key", "APIKEY", "secret", " ", "  ", ":", "=", '"', "'", "AKIA", "abcdef0123456789", "XYZ012345678901234", "\n", "é", "a.b-c/d+e=f_g"]
+    texts += ["".join(rnd.choices(parts, k=14)) for _ in range(1500)]
+    found = 0
+    for t in texts:
+        want = brute_base(t)
+        found += len(want)
+        assert [s for s in secrets.spans(t) if s[2] != "literal"] == want, t
+    assert found > 300
+
+
+def test_secrets_rows(spark):
+    df = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (None, f"pwd = '{KEY}'", "y"), (2, "", "z")], "doc_id long, text string, spans string")
+    assert sorted((str(r["doc_id"]), len(r["spans"])) for r in secrets.scan(df).collect()) == [("1", 0), ("1", 0), ("2", 0), ("None", 1)]
+    assert secrets.scan(df.limit(0)).count() == 0
+
+
 def test_secrets_base(spark, corpus):
     rows = secrets.scan(corpus).collect()
     assert len(rows) == corpus.count()
