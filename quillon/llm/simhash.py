@@ -16,12 +16,17 @@ All members of a variant are within ``2r`` bits of one another, so one verified
 edge to the least of them keeps every link's component; no pairs of a group are
 listed.  Components are found by alternating large-star and small-star steps on
 tables in the shared folder.
+
+Texts that share four fifths of their shingles differ in some ten of 64 bits, too many for
+a ball around one long fingerprint.  :func:`deduplicate` therefore takes balls around
+several short ones, and verifies what meets there.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import accumulate, combinations
-from math import comb
+from math import acos, comb, pi
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import store
+from quillon.llm.store import small
 
 BITS = 64
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -206,20 +212,247 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, shingle: int, radius: int = 4) -> DataFrame:
-    """One row of each component: that of the least ``doc_id``, null ids last.
+@dataclass(frozen=True)
+class Plan:
+    """``count`` short fingerprints of ``bits`` bits, dealt by their first ``prefix`` bits."""
+
+    bits: int
+    count: int
+    prefix: int
+
+    @property
+    def words(self) -> int:
+        """64-bit words that hold all of them; two at least, which verify pairs."""
+        return max(2, -(-self.bits * self.count // BITS))
+
+
+def plan(n: int, similarity: float = 0.8, recall: float = 0.95) -> Plan:
+    """Short fingerprints for ``n`` texts: so long that a text meets some 500 strangers in each at most, whatever
+    ``n`` is, and so many that a pair of ``similarity`` meets in one or more of them with probability ``recall``.
+
+    A pair of sets of one size and of Jaccard similarity J differs in each bit with probability acos(2J / (1 + J)) / pi.
+    """
+    differs = acos(2 * similarity / (1 + similarity)) / pi
+    ball = lambda b: 1 + b + comb(b, 2)
+    bits = next(b for b in range(12, BITS) if n * ball(b) / 2**b <= 512)
+    meets = sum(comb(bits, k) * differs**k * (1 - differs) ** (bits - k) for k in range(3))
+    count = next(c for c in range(1, 999) if 1 - (1 - meets) ** c >= recall)
+    prefix = next((p for p in range(6, bits) if n * (1 + p) / 2**p <= 32_768), bits)
+    return Plan(bits, count, min(prefix, bits))
+
+
+#: Of the two words that verify a pair, so many bits may differ: 0.8 gives 19 on average, with a deviation of 4.
+_FAR = 28
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """The finaliser of SplitMix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingles(text: bytes | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """The sorted XXH64 of a text's different word shingles; fewer words than ``shingle`` are one, no words none."""
+    words = (text or b"").translate(LOWER).split()
+    if not words:
+        return np.empty(0, dtype=np.uint64)
+    joined = b" ".join(words)
+    starts = [0, *accumulate(len(w) + 1 for w in words)]
+    width = min(shingle, len(words))
+    n = len(words) - width + 1
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[starts[i] : starts[i + width] - 1], seed) for i in range(n)), dtype=np.uint64, count=n))
+
+
+def wide(h: np.ndarray, words: int) -> np.ndarray:
+    """Majority fingerprint of ``words`` 64-bit words over a set of hashes."""
+    out = np.zeros(words, dtype=np.uint64)
+    for w in range(words):
+        counts = np.zeros(BITS, dtype=np.int64)
+        for lo in range(0, len(h), _CHUNK):
+            x = _mix(h[lo : lo + _CHUNK] + _STEP * np.uint64(w + 1))
+            counts += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[w] = np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0]
+    return out
+
+
+def sketches(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+    """``doc_id``, ``h`` (hash of the text), ``s`` (hash of the set of shingles), ``fp`` (its wide fingerprint) of every row."""
+    store.workers(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            sets = [shingles(t.as_py(), shingle) for t in b.column(2)]
+            s = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array([wide(x, words).tobytes() for x in sets], pa.binary())], ["doc_id", "h", "s", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _known().alias("h"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, h long, s long, fp binary")
+
+
+def _known() -> Column:
+    """The hash that tells the rows of one ``doc_id`` with different texts apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _dealt(nodes: DataFrame, q: Plan) -> DataFrame:
+    """Each node (s, fp) once for every prefix that a variant of one of its short fingerprints has.
+
+    ``bucket``: the short fingerprint's number and the prefix.  ``rest``: its other bits, and
+    in the last one whether the one flip is spent in the prefix.  ``a``, ``b``: two words to verify pairs.
+    """
+    store.workers(nodes.sparkSession)
+    tail = q.bits - q.prefix
+    flips = np.concatenate([[0], 1 << np.arange(q.prefix)]).astype(np.uint64)
+
+    def run(batches):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2048):
+                part = whole.slice(lo, 2048)
+                s = part.column(0).to_numpy()
+                fp = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype="<u8").reshape(len(s), -1)
+                bucket, rest = [], []
+                for t in range(q.count):
+                    w, sh = divmod(t * q.bits, BITS)
+                    x = fp[:, w] >> np.uint64(sh)
+                    if sh + q.bits > BITS:
+                        x = x | fp[:, w + 1] << np.uint64(BITS - sh)
+                    x = x & np.uint64((1 << q.bits) - 1)
+                    bucket.append((np.uint64(t << 40) | (x >> np.uint64(tail)))[:, None] ^ flips)
+                    rest.append(((x & np.uint64((1 << tail) - 1)) << np.uint64(1))[:, None] | (flips > 0))
+                bucket, rest = np.concatenate(bucket, axis=1).ravel(), np.concatenate(rest, axis=1).ravel()
+                n = len(bucket) // len(s)
+                a, b = np.repeat(fp[:, 0], n), np.repeat(fp[:, 1], n)
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in (bucket, rest, a, b)] + [pa.array(np.repeat(s, n))], ["bucket", "rest", "a", "b", "s"])
+
+    return nodes.select("s", "fp").mapInArrow(run, "bucket long, rest long, a long, b long, s long")
+
+
+def _led(q: Plan, leaders: bool):
+    """For one prefix: write out the variants' other bits, and link the members of each variant that are close to a leader.
+
+    A variant's first member by a fixed shuffle leads; those that are close to it are linked
+    to it, and the rest go on among themselves.  ``leaders``: give the leaders, too, as links to themselves.
+    """
+    tails = np.concatenate([[0], 1 << np.arange(q.bits - q.prefix)]).astype(np.int64)
+
+    def run(t: pa.Table) -> pa.Table:
+        rest, s = t.column("rest").to_numpy(), t.column("s").to_numpy()
+        a, b = (t.column(c).to_numpy().view(np.uint64) for c in "ab")
+        free = np.flatnonzero(rest & 1 == 0)
+        spent = np.flatnonzero(rest & 1)
+        own = np.concatenate([np.repeat(free, len(tails)), spent])
+        var = np.concatenate([((rest[free] >> 1)[:, None] ^ tails).ravel(), rest[spent] >> 1])
+        first = _mix(s.view(np.uint64) + _STEP * np.uint64(1 + int(t.column("bucket")[0].as_py() >> 40)))
+        order = np.lexsort((first[own], var))
+        own, var = own[order], var[order]
+        found, led = [], []
+        while len(own):
+            new = np.concatenate([[True], var[1:] != var[:-1]])
+            lead = own[np.flatnonzero(new)][np.cumsum(new) - 1]
+            near = np.bitwise_count(a[own] ^ a[lead]).astype(np.int64) + np.bitwise_count(b[own] ^ b[lead]) <= _FAR
+            pick = near & ~new
+            found.append(np.unique(own[pick].astype(np.int64) * len(s) + lead[pick]))
+            led.append(np.unique(own[new]))
+            own, var = own[~near], var[~near]
+        pairs = np.unique(np.concatenate(found)) if found else np.empty(0, dtype=np.int64)
+        u, v = s[pairs // len(s)], s[pairs % len(s)]
+        if leaders:
+            all_led = s[np.unique(np.concatenate(led))]
+            u, v = np.concatenate([u, all_led]), np.concatenate([v, all_led])
+        return pa.table({"u": u, "v": v})
+
+    return run
+
+
+def pairs_to_verify(nodes: DataFrame, q: Plan, members: int = 131_072) -> DataFrame:
+    """Links ``u``, ``v`` (hashes of sets) of ``nodes`` that meet in a variant and whose wide fingerprints are close.
+
+    Prefixes with more than ``members`` entries, such as those of a large group of near
+    copies, are dealt anew by salt, so that no task holds them whole; then the leaders of
+    all salts meet.
+    """
+    out, left = None, nodes
+    where, size = None, None
+    while left is not None:
+        dealt = _dealt(left, q)
+        if where is not None:
+            dealt = dealt.join(F.broadcast(where), "bucket", "left_semi")
+        full = store.materialize(dealt.groupBy("bucket").count().filter(F.col("count") > members), "simhash-full")
+        total = full.agg(F.sum("count")).first()[0]
+        if not total:
+            found, left = dealt.groupBy("bucket").applyInArrow(_led(q, False), "u long, v long"), None
+        else:
+            # Broadcast: a full prefix stands for more than ``members`` entries.
+            salt = F.pmod(F.xxhash64("s", F.lit(size or 0)), F.ceil(2 * F.col("count") / members)).cast("int")
+            hot = dealt.join(F.broadcast(full), "bucket").withColumn("salt", salt).drop("count")
+            hot = store.materialize(hot.groupBy("bucket", "salt").applyInArrow(_led(q, True), "u long, v long"), "simhash-hot")
+            found = dealt.join(F.broadcast(full), "bucket", "left_anti").groupBy("bucket").applyInArrow(_led(q, False), "u long, v long")
+            found = found.unionAll(hot.filter("u <> v"))
+            heads = hot.filter("u = v").select(F.col("u").alias("s")).distinct()
+            # Leaders that are unlike one another don't get fewer by another round.
+            left = store.materialize(nodes.join(heads, "s", "left_semi"), "simhash-leaders") if size is None or total <= size / 2 else None
+            where, size = full.select("bucket"), total
+        out = found if out is None else out.unionAll(found)
+    return store.materialize(out.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "simhash-links")
+
+
+def verified(links: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The rows of ``links`` whose sets of shingles have a Jaccard similarity of ``similarity`` or more."""
+    asked = links.select(F.explode(F.array("u", "v")).alias("s")).distinct()
+    # One text for each set: that of the least (id, hash), null ids last.
+    one = rows.join(small(asked), "s", "left_semi").groupBy("s").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("x"))
+    one = store.materialize(one.select("s", F.col("x.doc_id").alias("d"), F.col("x.h").alias("k")), "simhash-asked")
+
+    def run(batches):
+        for b in batches:
+            sets = [shingles(t.as_py(), shingle).view(np.int64) for t in b.column(1)]
+            n = np.array([len(x) for x in sets], dtype=np.int64)
+            flat = np.concatenate(sets) if sets else np.empty(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))], ["s", "x"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _known().alias("h"), "text").join(small(one), (F.col("h") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    sets = texts.select("s", F.col("text").cast("binary").alias("text")).mapInArrow(run, "s long, x array<long>")
+    sets = store.materialize(sets.groupBy("s").agg(F.first("x").alias("x")), "simhash-sets")
+    both = F.size(F.array_intersect("x", "y"))
+    # Not broadcast: the sets grow with the texts.
+    out = links.join(sets.select(F.col("s").alias("u"), "x").hint("merge"), "u").join(sets.select(F.col("s").alias("v"), F.col("x").alias("y")).hint("merge"), "v")
+    return store.materialize(out.filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("u", "v"), "simhash-verified")
+
+
+def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of near copies: that of the least ``doc_id``, null ids last, then of the least text hash.
+
+    Near copies are texts whose sets of ``shingle``-word shingles have a Jaccard similarity
+    of ``similarity`` or more; a group is what such links connect.  Links are searched by
+    ball hashing of several short fingerprints (``plan``), of which each emits all variants
+    within one bit, so that two meet if they differ in two or fewer; pairs that meet are
+    verified by wider fingerprints and then by the shingles themselves.
 
     A document is known by its id and its text's hash, so that rows of one id (or of
-    none) with different texts stand for themselves.
+    none) with different texts stand for themselves; repeated rows are copies.  Null and
+    empty texts have no shingles and are copies of one another.  An empty table gives none.
     """
-    h = F.xxhash64(F.coalesce("text", F.lit("")))
-    group = near_duplicates(docs.select(h.alias("doc_id"), "text"), shingle, radius).select(F.col("doc_id").alias("h"), "component_id").distinct()
-    least = docs.groupBy(h.alias("h")).agg(F.min(F.col("doc_id").cast("long")).alias("id"))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("s")
-    stay = least.join(group, "h").groupBy("component_id").agg(first).select(F.col("s.id").alias("__doc"), F.col("s.h").alias("__stay"))
-    known = docs.withColumn("__h", h)
-    out = known.join(stay, (F.col("__h") == F.col("__stay")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left_semi")
-    return out.dropDuplicates(["doc_id", "__h"]).drop("__h")
+    q = plan(max(1, docs.count()), similarity)
+    rows = store.materialize(sketches(docs, shingle, q.words), "sketches")
+    nodes = store.materialize(rows.groupBy("s").agg(F.first("fp").alias("fp")), "simhash-nodes")
+    root = components(verified(pairs_to_verify(nodes, q), rows, docs, shingle, similarity)).select(F.col("u").alias("s"), F.col("v").alias("root"))
+    known = rows.select("doc_id", "h", "s").join(small(root), "s", "left").select("doc_id", "h", F.coalesce("root", "s").alias("root"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    first = known.groupBy("root").agg(F.min(rank).alias("first"), F.count("*").alias("rows")).filter("rows > 1")
+    first = store.materialize(first.select("root", "first"), "simhash-first")
+    grouped = store.materialize(known.join(small(first), "root").groupBy("doc_id", "h").agg(F.count("*").alias("n"), F.first("first").alias("first")), "simhash-groups")
+    d, k, n = (store.unused(docs.columns, x) for x in ("doc", "known", "n"))
+    stays = grouped.filter(rank.eqNullSafe(F.col("first")))
+    gone = grouped.filter(~rank.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias(d), F.col("h").alias(k))
+    same = (_known() == F.col(k)) & F.col("doc_id").cast("long").eqNullSafe(F.col(d))
+    out = docs.join(small(gone), same, "left_anti")
+    # Of rows that repeat id and text, one stays.
+    twice = store.materialize(stays.filter("n > 1").select(F.col("doc_id").alias(d), F.col("h").alias(k)), "simhash-repeated")
+    if twice.isEmpty():
+        return out
+    once = out.join(small(twice), same, "left_semi").withColumn(n, _known()).dropDuplicates(["doc_id", n]).drop(n)
+    return out.join(small(twice), same, "left_anti").unionByName(once)
 
 
 def hex16(fp: Column) -> Column:

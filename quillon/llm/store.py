@@ -12,6 +12,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -51,6 +52,26 @@ def drop(df: DataFrame) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Tables of at most so many rows, and of so many characters as JSON, are broadcast.
+SMALL_ROWS, SMALL_BYTES = 500_000, 64 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A broadcast of a table whose rows and bytes are checked; a larger one is left to a shuffle."""
+    if df.limit(SMALL_ROWS + 1).count() > SMALL_ROWS:
+        return df
+    size = df.select(F.sum(F.length(F.to_json(F.struct(*df.columns))))).first()[0]
+    return F.broadcast(df) if (size or 0) <= SMALL_BYTES else df
+
+
+def unused(columns: list[str], name: str) -> str:
+    """A name that no column has, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def workers(spark: SparkSession) -> None:
     """Let Python workers import this package where it isn't installed."""
     env = spark.sparkContext.environment

@@ -107,8 +107,6 @@ def test_simhash(corpus):
     want = sorted((str(d), f"{int(f):016x}", least[c]) for (d, _), f, c in zip(rows, fps, comp))
     got = simhash.near_duplicates(corpus).select("doc_id", simhash.hex16(F.col("fp")).alias("f"), "component_id")
     assert sorted((str(r[0]), r[1], r[2]) for r in got.collect()) == want
-    kept = simhash.deduplicate(corpus, 4)
-    assert kept.columns == corpus.columns and kept.count() == len(set(least.values()))
     assert simhash.near_duplicates(corpus.limit(0)).count() == 0
 
 
@@ -132,6 +130,90 @@ def test_simhash_dense_groups(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def near_copies(rnd, groups, copies):
+    """Texts of made words, each with copies in which some words are others."""
+    vocab = ["".join(rnd.choices("bcdfghklmnprst", k=5)) for _ in range(4000)]
+    texts = []
+    for _ in range(groups):
+        base = rnd.choices(vocab, k=rnd.choice((60, 150, 400)))
+        texts.append(" ".join(base))
+        for _ in range(copies):
+            c = list(base)
+            for _ in range(rnd.randint(1, max(1, len(c) // 45))):
+                c[rnd.randrange(len(c))] = rnd.choice(vocab)
+            texts.append(" ".join(c))
+    return texts
+
+
+def sets_of(texts):
+    words = [(t or "").translate(LOW).split() for t in texts]
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_near_copies_against_brute_force(spark):
+    """Of all pairs of 0.8 or more, nine tenths at least are in one group; no group holds a text without such a partner."""
+    rnd = random.Random(7)
+    texts = near_copies(rnd, 250, 1) + near_copies(rnd, 300, 0)
+    sets = sets_of(texts)
+    by = collections.defaultdict(list)
+    for i, x in enumerate(sets):
+        for g in x:
+            by[g].append(i)
+    pairs = {(i, j): jaccard(sets[i], sets[j]) for v in by.values() for i in v for j in v if i < j}
+    near = {p for p, x in pairs.items() if x >= 0.8}
+    assert len(near) > 100 and sum(pairs[p] < 0.88 for p in near) > 40
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(7)
+    kept = {r["doc_id"] for r in simhash.deduplicate(df).collect()}
+    caught = {p for p in near if p[1] not in kept}
+    assert len(caught) >= 0.9 * len(near)
+    close = [p for p in near if pairs[p] < 0.88]
+    assert sum(p in caught for p in close) >= 0.85 * len(close)
+    assert all(any(j == i and k in kept for k, j in near) for i in range(len(texts)) if i not in kept)
+
+
+def test_near_copies_in_large_groups(spark, monkeypatch):
+    """Prefixes that overflow are dealt by salt, and the group stays one."""
+    rnd = random.Random(8)
+    texts = near_copies(rnd, 1, 400) + near_copies(rnd, 40, 0)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(7)
+    q = simhash.plan(len(texts))
+    rows = simhash.sketches(df, 5, q.words)
+    nodes = rows.select("s", "fp").distinct()
+    ids = {r["s"]: r["doc_id"] for r in rows.collect()}
+    for members in (60, 10**6):
+        links = simhash.verified(simhash.pairs_to_verify(nodes, q, members), rows, df, 5, 0.8)
+        assert all(jaccard(*sets_of([texts[ids[r["u"]]], texts[ids[r["v"]]]])) >= 0.8 for r in links.collect())
+        root = {r["u"]: r["v"] for r in simhash.components(links).collect()}
+        groups = collections.Counter(root.get(s, s) for s in ids)
+        assert max(groups.values()) >= 0.95 * 401 and len(groups) >= 41
+
+
+def test_plan_grows_slowly():
+    for n in (1, 1000, 10**6, 10**9, 10**11):
+        q = simhash.plan(n)
+        assert q.prefix <= q.bits < 64 and q.count < 60 and q.words * 64 >= q.bits * q.count
+
+
+def test_near_copies_on_awkward_rows(spark, corpus):
+    got = simhash.deduplicate(corpus)
+    assert got.columns == corpus.columns
+    rows = corpus.collect()
+    sets, kept = sets_of([r["text"] for r in rows]), collections.Counter(r["doc_id"] for r in got.collect())
+    assert max(kept.values()) == 1
+    for i, r in enumerate(rows):
+        # Texts without a near copy stay, and of rows with the same shingles the least id does.
+        like = [s for s, x in enumerate(sets) if jaccard(x, sets[i]) >= 0.8]
+        if like == [i]:
+            assert kept[r["doc_id"]] == 1
+        same = [rows[s]["doc_id"] for s in like if sets[s] == sets[i] and rows[s]["doc_id"] is not None]
+        assert sum(kept[d] for d in set(same)) <= 1
+    assert simhash.deduplicate(corpus.limit(0)).count() == 0
+
+
 def test_ids_that_repeat(spark):
     """Unlike texts of one id, or of none, are different documents to both stages of the pipeline."""
     rnd = random.Random(5)
@@ -139,7 +221,7 @@ def test_ids_that_repeat(spark):
     ids = [None, None, 7, 7, 8]
     rows = [*zip(ids, texts), (7, texts[2]), (9, texts[0])]
     df = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, source string")
-    got = simhash.deduplicate(df, 5).collect()
+    got = simhash.deduplicate(df.withColumns({c: F.lit(1) for c in ("doc", "known", "n", "__h", "s")})).collect()
     assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted((str(d), t) for d, t in [(9, texts[0]), (None, texts[1]), *zip(ids[2:], texts[2:])])
     rows = [(i, "shared", f"s{i}") for i in range(5)] + [(None, "shared\nx1", "s6"), (None, "x2\nshared", "s6"), (6, "shared\nx3", "s6"), (6, "x4\nshared", "s6")]
     got = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
