@@ -14,12 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm import store
+from quillon.llm.store import small, unused
 
 # Fixed value: what parts words, as a character class.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Tables of at most this many rows are broadcast (some tens of MB); larger ones are shuffled.
-SMALL = 500_000
 
 
 def words(text: Column) -> Column:
@@ -27,11 +26,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BREAK), lambda w: w != "")
 
 
-def small(df: DataFrame) -> DataFrame:
-    """A broadcast of a table whose size is checked; a large one is left to a shuffle."""
-    return F.broadcast(df) if df.count() <= SMALL else df
-
-
 @dataclass(frozen=True)
 class Index:
     """``postings``: t (term number), doc_id, h (hash of the text), p (position).  ``terms``: term, t.
@@ -72,14 +66,15 @@ def windows(items: DataFrame, length: int = 10) -> DataFrame:
 def phrase_matches(index: Index, phrases: DataFrame) -> DataFrame:
     """Every occurrence of a phrase: ``phrase``, ``doc_id``, ``h``, ``at`` (first word's position).
 
-    ``phrases``: ``phrase`` (a long, the key) and ``w`` (its words).  A phrase with a term
+    ``phrases``: ``phrase`` (the key, of any type) and ``w`` (its words).  A phrase with a term
     that is posted nowhere has no occurrence.
     """
     posted = index.postings.filter("t >= 0")
     asked = store.materialize(phrases.select("phrase", F.size("w").alias("n"), F.posexplode("w").alias("o", "term")).join(small(index.terms), "term").select("phrase", "n", "o", "t"), "asked")
-    count = posted.groupBy("t").agg(F.count("*").alias("c"))
+    # One row for each term: broadcast where that is small, so that frequent terms of the phrases meet no single task.
+    count = store.materialize(posted.groupBy("t").agg(F.count("*").alias("c")), "term-counts")
     rank = F.row_number().over(Window.partitionBy("phrase").orderBy("c", "o"))
-    ranked = asked.join(count, "t").withColumn("r", rank)
+    ranked = asked.join(small(count), "t").withColumn("r", rank)
     whole = ranked.groupBy("phrase", "n").agg(F.count("*").alias("have")).filter("have = n").select("phrase")
     ranked = store.materialize(ranked.join(whole, "phrase"), "ranked")
     # The lists of the two rarest terms, adjusted by their offsets, meet where both bits are set.
@@ -123,15 +118,18 @@ def proximity_matches(index: Index, phrases: DataFrame, slop: int = 20) -> DataF
 def _hits(docs: DataFrame, items: DataFrame, length: int) -> tuple[Index, DataFrame]:
     """The index, and ``d``, ``k`` (a document's id and hash), ``n_hit``, ``items`` of documents with hits."""
     win = windows(items.filter("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text"), length)
-    win = store.materialize(win.withColumn("phrase", F.xxhash64("w")), "windows")
+    # 128 bits, so that no two windows are taken for one.
+    key = F.concat(F.hex(F.xxhash64("w")), F.lit("-"), F.hex(F.xxhash64(F.lit(1), "w")))
+    win = store.materialize(win.withColumn("phrase", key), "windows")
     distinct = win.groupBy("phrase").agg(F.first("w").alias("w"))
     index = build_index(docs, win.select(F.explode("w").alias("term")))
     found = store.materialize(phrase_matches(index, distinct), "found")
-    owner = small(win.select("phrase", "item_id", "n").distinct())
-    found = found.join(owner, "phrase")
+    size = store.materialize(win.select("phrase", "n").distinct(), "phrases")
+    owner = store.materialize(win.select("phrase", "item_id").distinct(), "owners")
     key = ["doc_id", "h"]
-    hit = found.select(*key, F.explode(F.expr("sequence(at, at + n - 1)")).alias("p")).distinct().groupBy(*key).agg(F.count("*").alias("n_hit"))
-    of = found.select(*key, "item_id").distinct().groupBy(F.col("doc_id").alias("d"), F.col("h").alias("k")).agg(F.sort_array(F.collect_list("item_id")).alias("items"))
+    # Words are hit by phrases, whatever number of items has them; a document has a phrase once, however often it occurs.
+    hit = found.join(small(size), "phrase").select(*key, F.explode(F.expr("sequence(at, at + n - 1)")).alias("p")).distinct().groupBy(*key).agg(F.count("*").alias("n_hit"))
+    of = found.select(*key, "phrase").distinct().join(small(owner), "phrase").select(*key, "item_id").distinct().groupBy(F.col("doc_id").alias("d"), F.col("h").alias("k")).agg(F.sort_array(F.collect_list("item_id")).alias("items"))
     same = (F.col("h") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))
     got = store.materialize(hit.join(of, same).select("d", "k", "n_hit", "items"), "hits")
     return index, got
@@ -153,7 +151,13 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = 10) -> DataFr
 
 
 def clean(docs: DataFrame, items: DataFrame, length: int = 10) -> DataFrame:
-    """The rows of ``docs`` in which no window of ``items`` occurs."""
+    """The rows of ``docs`` in which no window of ``items`` occurs, with all their columns.
+
+    Null and empty texts have no words and stay; repeated rows stay or go together; rows of
+    one id with different texts, and rows without an id, stand for themselves.  An empty
+    table of items leaves all rows, and an empty table of documents gives none.
+    """
     bad = _hits(docs, items, length)[1]
-    same = (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__k")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__d"))
-    return docs.join(small(bad.select(F.col("d").alias("__d"), F.col("k").alias("__k"))), same, "left_anti")
+    d, k = (unused(docs.columns, x) for x in ("doc", "known"))
+    same = (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(k)) & F.col("doc_id").cast("long").eqNullSafe(F.col(d))
+    return docs.join(small(bad.select(F.col("d").alias(d), F.col("k").alias(k))), same, "left_anti")
