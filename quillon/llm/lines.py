@@ -13,12 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import store
+from quillon.llm.store import small, unused
 
 #: log2 of a sketch's registers; the estimate's relative standard error is about 1.04 / sqrt(2**12).
 LG_K, ERROR = 12, 0.0163
 SITES = 5
-#: Tables of at most this many rows are broadcast (some tens of MB).
-SMALL = 500_000
 
 
 def known() -> Column:
@@ -48,11 +47,6 @@ def occurrences(lines: DataFrame, sites: int = SITES) -> DataFrame:
     return found.join(small(store.materialize(exact, "line-rejects")), ["a", "b"], "left_anti")
 
 
-def small(df: DataFrame) -> DataFrame:
-    """A broadcast of a table whose size is checked; a large one is left to a shuffle."""
-    return F.broadcast(df) if df.count() <= SMALL else df
-
-
 def dedup(docs: DataFrame, sites: int = SITES) -> DataFrame:
     """The rows of ``docs`` with ``text`` less widespread lines, and ``n_removed``.
 
@@ -63,9 +57,13 @@ def dedup(docs: DataFrame, sites: int = SITES) -> DataFrame:
     same places, and rows of one id (or of none) with different texts their own.
     """
     found = occurrences(exploded(docs), sites).filter(~F.col("doc_id").eqNullSafe(F.col("keep_doc")))
-    gone = found.select("doc_id", "h", "k").distinct().groupBy(F.col("doc_id").alias("__doc"), F.col("h").alias("__h")).agg(F.collect_list("k").alias("__gone"))
-    # A shuffle by id at any size: the list of lines grows with the documents.
-    out = docs.join(gone.hint("merge"), (known() == F.col("__h")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left")
-    left = F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains("__gone", k))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.concat_ws("\n", left))
-    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
+    d, h, g, x = (unused([*docs.columns, "n_removed"], c) for c in ("doc", "known", "gone", "lines"))
+    gone = found.select("doc_id", "h", "k").distinct().groupBy(F.col("doc_id").alias(d), F.col("h").alias(h)).agg(F.collect_list("k").alias(g))
+    gone = store.materialize(gone, "lines-gone")
+    same = (known() == F.col(h)) & F.col("doc_id").cast("long").eqNullSafe(F.col(d))
+    # The list grows with the documents: only where it is small do texts stay where they are.
+    out = docs.join(small(gone), same, "left").withColumn(x, F.when(F.col(g).isNotNull(), F.split("text", "\n")))
+    # The places that are left, in order; a column of lines, as an expression would be split anew for each place.
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(g)), lambda k: F.get(F.col(x), k))
+    text = F.when(F.col(g).isNull(), F.col("text")).otherwise(F.concat_ws("\n", left))
+    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.coalesce(F.size(g), F.lit(0)).cast("long").alias("n_removed"))
