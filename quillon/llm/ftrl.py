@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,9 +31,10 @@ Features = Callable[[bytes, np.ndarray | None], tuple[np.ndarray, np.ndarray]]
 
 @dataclass(frozen=True)
 class Settings:
-    """``rows`` bounds the labelled sample that one task trains on."""
+    """``rows`` and ``coordinates`` bound the labelled sample that one task trains on: so many texts, and as many non-zero coordinates in all of them (4 to 8 bytes each)."""
 
     rows: int = 8000
+    coordinates: int = 40_000_000
     epochs: int = 6
     alpha: float = 0.1
     beta: float = 1.0
@@ -79,8 +80,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], s: Settings) -> np.ndarr
 def train(docs: DataFrame, labels: DataFrame, features: Features, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Non-zero weights (coordinates, values) learnt from the rows of ``labels`` (doc_id, label).
 
-    Of the labelled ids, the ``s.rows`` with the smallest hashes are taken; their whole
-    texts are used.  Null labels and ids are left out; an id with several rows counts
+    Of the labelled ids, the ``s.rows`` with the smallest hashes are taken, up to the one
+    with which they exceed ``s.coordinates``; their whole texts are used.  Null labels and ids are left out; an id with several rows counts
     once, by its largest label.  No labelled rows: no weights, and every score is 0.5.
     """
     spark = docs.sparkSession
@@ -96,6 +97,12 @@ def train(docs: DataFrame, labels: DataFrame, features: Features, s: Settings) -
     # Broadcast: at most s.rows rows of two numbers.
     made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).join(F.broadcast(few), "doc_id").select("doc_id", "label", "text").mapInArrow(rows, "doc_id long, label int, i binary, x binary")
 
+    made = store.materialize(made, "features")
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # At most s.rows rows of two numbers, so that one task may add them up.
+    sizes = made.groupBy("doc_id").agg(F.sum(F.length("i") / 4).alias("n")).withColumn("sum", F.sum("n").over(order))
+    made = made.join(F.broadcast(sizes.filter(F.col("sum") <= s.coordinates).select("doc_id")), "doc_id", "left_semi")
+
     def learn(batches):
         got = {}
         for b in batches:
@@ -146,13 +153,15 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], features: Fea
 
 
 class Ids(dict):
-    """Word -> 64-bit id, kept between calls; emptied when it holds ``most`` words, so memory stays bounded."""
+    """Word -> 64-bit id, kept between calls; emptied when it holds ``most`` words, and long ones aren't kept, so memory stays bounded."""
 
     def __init__(self, make: Callable[[bytes], int], most: int = 400_000):
         super().__init__()
         self.make, self.most = make, most
 
     def __missing__(self, word: bytes) -> int:
+        if len(word) > 64:
+            return self.make(word)
         if len(self) >= self.most:
             self.clear()
         x = self[word] = self.make(word)

@@ -285,8 +285,9 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
     """``doc_id``, ``ids``, ``n_tokens``, ``round_trip`` for each row of ``docs``.
 
     ``round_trip`` tells whether decoding gives the text again.  Null and empty texts
-    have no ids.  ``model`` is a serialised SentencePiece model; it is broadcast, and
-    its size (about a megabyte) doesn't depend on the data.
+    have no ids.  Repeated rows give repeated results, and an empty table gives none.
+    ``model`` is a serialised SentencePiece model; it is broadcast, and its size (about a
+    megabyte) doesn't depend on the data.
     """
     store.workers(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

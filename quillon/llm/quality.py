@@ -15,14 +15,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm import ftrl
+from quillon.llm import ftrl, store
 
 SETTINGS = ftrl.Settings(rows=8000, epochs=6, alpha=0.5, beta=1.0, l1=0.1, l2=0.01)
 _RUN = re.compile(r"(.)\1+", re.DOTALL)
 
 
 def _shape(word: bytes) -> int:
-    s = word.decode("utf-8", "replace")[:64]
+    s = word.decode("utf-8", "replace")
     s = "".join("9" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c for c in s)
     return xxhash.xxh64_intdigest(_RUN.sub(r"\1", s).encode(), 2)
 
@@ -57,7 +57,8 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column | None = None,
     """``doc_id``, ``score`` (likelihood of label 1), ``predicted`` for each row of ``docs``.
 
     ``labels`` has ``doc_id`` and ``label``; only those that ``held_out`` is not true of
-    are learnt from.  Null and empty texts are scored by the bias alone.
+    are learnt from.  Null and empty texts are scored by the bias alone.  Repeated rows
+    give repeated results, and an empty table gives none; without labels all scores are 0.5.
     """
     known = labels if held_out is None else labels.filter(~held_out)
     w = ftrl.train(docs, known, features, settings)
@@ -65,6 +66,11 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column | None = None,
 
 
 def accepted(docs: DataFrame, labels: DataFrame, settings: ftrl.Settings = SETTINGS, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` with a score of ``threshold`` or more, learnt from all of ``labels``."""
+    """The rows of ``docs``, with all their columns, with a score of ``threshold`` or more, learnt from all of ``labels``.
+
+    Null and empty texts are scored by the bias alone; repeated rows stay or go together;
+    an empty table gives none, and without labels every row stays.
+    """
     w = ftrl.train(docs, labels, features, settings)
-    return ftrl.score(docs, w, features, tuple(docs.columns), threshold, "__score").drop("__score")
+    name = store.unused(docs.columns, "score")
+    return ftrl.score(docs, w, features, tuple(docs.columns), threshold, name).drop(name)

@@ -40,11 +40,13 @@ class _Heads(dict):
     def __missing__(self, word: bytes) -> bytes:
         if len(word) <= HEADS[0]:
             return _NONE
-        if len(self) >= self.most:
-            self.clear()
         s = word.decode("utf-8", "replace")
         n = len(s)
-        x = self[word] = b"".join([xxhash.xxh64_intdigest(s[:k].encode(), k).to_bytes(8, "little") if n > k else bytes(8) for k in HEADS])
+        x = b"".join([xxhash.xxh64_intdigest(s[:k].encode(), k).to_bytes(8, "little") if n > k else bytes(8) for k in HEADS])
+        if len(word) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = x
         return x
 
 
@@ -72,7 +74,8 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column | None = None,
     """``doc_id``, ``score`` (likelihood of label 1), ``predicted`` for each row of ``docs``.
 
     ``labels`` has ``doc_id`` and ``label``; only those that ``held_out`` is not true of
-    are learnt from.  Null and empty texts are scored by the bias alone.
+    are learnt from.  Null and empty texts are scored by the bias alone.  Repeated rows
+    give repeated results, and an empty table gives none; without labels all scores are 0.5.
     """
     known = labels if held_out is None else labels.filter(~held_out)
     w = ftrl.train(docs, known, features, settings)

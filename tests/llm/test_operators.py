@@ -263,6 +263,60 @@ def test_classifiers(spark, corpus, op, labels):
     assert op.classify(docs.limit(0), known).count() == 0
 
 
+def brute_ftrl(rows, s):
+    """The updates written out coordinate by coordinate."""
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def w(i):
+        l1 = s.l1 if i else 0.0
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+
+    for _ in range(s.epochs):
+        for idx, val, y in rows:
+            old = {i: w(i) for i in idx}
+            p = 1 / (1 + math.exp(-max(-35, min(35, sum(old[i] * x for i, x in zip(idx, val))))))
+            for i, x in zip(idx, val):
+                g = (p - y) * x
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / s.alpha * old[i]
+                n[i] += g * g
+    return {i: w(i) for i in list(z)}
+
+
+@pytest.mark.parametrize("op", [quality, toxicity])
+def test_ftrl_and_scores_against_brute_force(spark, op):
+    from dataclasses import replace
+
+    rnd = random.Random(11)
+    s = replace(op.SETTINGS, l1=0.05)
+    texts = [" ".join(rnd.choice(["calm", "words", "flow", "brackwurz", "junk!!", "on", "Über", "x" * 90]) for _ in range(rnd.randint(0, 30))) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    mark = lambda t: int("junk" in t or "wurz" in t)
+    known = [(i, mark(texts[i])) for i in range(80)]
+    feats = [op.features(t.encode()) for t in texts]
+    order = sorted(known, key=lambda k: (ftrl.hash_of(k[0]), k[1]))
+    w = brute_ftrl([(feats[i][0].tolist(), np.float32(feats[i][1]).astype(float).tolist(), y) for i, y in order], s)
+    got = {r["doc_id"]: r["score"] for r in op.classify(docs, spark.createDataFrame(known, "doc_id long, label int"), settings=s).collect()}
+    for d, (i, x) in enumerate(feats):
+        assert got[d] == pytest.approx(1 / (1 + math.exp(-sum(w.get(a, 0.0) * b for a, b in zip(i.tolist(), x)))), abs=1e-4)
+
+
+def test_training_is_bounded(spark):
+    """Texts past the bound of coordinates are not learnt from."""
+    from dataclasses import replace
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(50))) for i in range(40)], "doc_id long, text string")
+    known = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("label"))
+    sizes = [len(quality.features(r["text"].encode())[0]) for r in docs.collect()]
+    w = lambda n: len(ftrl.train(docs, known, quality.features, replace(quality.SETTINGS, l1=0.0, coordinates=n))[0])
+    assert w(sum(sizes)) > 3 * w(max(sizes) * 10) > 0 and w(0) == 0
+
+
+def test_shapes_of_whole_words():
+    """Words that differ after any number of characters differ in shape."""
+    a, b = quality._shape(("aB" * 400).encode()), quality._shape(("aB" * 400 + "9").encode())
+    assert a != b
+
+
 def test_accepted_keeps_columns(spark, corpus):
     known = spark.createDataFrame([(1, 1)], "doc_id long, label int")
     got = quality.accepted(corpus, known, threshold=0.0)
