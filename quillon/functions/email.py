@@ -8,12 +8,6 @@ from pyspark.sql import functions as F
 from quillon.functions import rules
 
 FULL = rf"^(?:{rules.EMAIL})\z"
-# At least a bracket or white space on both sides; with compat, prose such as "look at the dotted" matches too.
-STRICT = r"(?i)([\w._%+\-]+)(?:\s*[\[\(]\s*|\s+)at(?:\s*[\]\)]\s*|\s+)([\w.\-]+)(?:\s*[\[\(]\s*|\s+)dot(?:\s*[\]\)]\s*|\s+)([a-zA-Z]{2,})"
-COMPAT = r"(?i)([\w._%+\-]+)\s*[\[\(]?\s*at\s*[\]\)]?\s*([\w.\-]+)\s*[\[\(]?\s*dot\s*[\]\)]?\s*([a-zA-Z]{2,})"
-AT_ONLY = r"(?i)([\w._%+\-]+)\s*[\[\(]\s*at\s*[\]\)]\s*([\w.\-]+\.[a-zA-Z]{2,})"
-
-
 def _found(email: Column, source: str) -> Column:
     return F.when(email.isNotNull() & (email != ""), F.struct(email.alias("email"), F.lit(source).alias("source")))
 
@@ -30,10 +24,10 @@ def cf_decode(hexed: Column) -> Column:
 def munge_decode(text: Column, compat: bool = False) -> Column:
     """struct(email, source) of a plain or spelt-out address."""
     t = F.regexp_replace(text, "[​‌‍﻿]", "")
-    p = COMPAT if compat else STRICT
+    p = rules.COMPAT if compat else rules.STRICT
     plain = F.regexp_extract(t, f"({rules.EMAIL})", 1)
     spelt = F.when(t.rlike(p), F.concat(F.regexp_extract(t, p, 1), F.lit("@"), F.regexp_extract(t, p, 2), F.lit("."), F.regexp_extract(t, p, 3)))
-    at = F.when(t.rlike(AT_ONLY), F.concat(F.regexp_extract(t, AT_ONLY, 1), F.lit("@"), F.regexp_extract(t, AT_ONLY, 2)))
+    at = F.when(t.rlike(rules.AT_ONLY), F.concat(F.regexp_extract(t, rules.AT_ONLY, 1), F.lit("@"), F.regexp_extract(t, rules.AT_ONLY, 2)))
     return F.coalesce(_found(plain, "MAILTO"), _found(spelt, "JS_DECODED"), _found(at, "JS_DECODED"))
 
 
@@ -70,6 +64,23 @@ def candidates(first: Column, last: Column, domain: Column) -> Column:
     return F.when((F.coalesce(f, F.lit("")) != "") & (F.coalesce(last, F.lit("")) != "") & (F.coalesce(domain, F.lit("")) != ""), all_of).otherwise(F.array().cast("array<string>"))
 
 
+def five_candidates(first: Column, last: Column, domain: Column) -> Column:
+    """The first five of the seven forms, without those of one name alone."""
+    return F.slice(candidates(first, last, domain), 1, 5)
+
+
+def reverse_text(c: Column) -> Column:
+    """Text that is written backwards and turned by a style, in reading order."""
+    return F.reverse(c)
+
+
+def first_of_name(found: Column, name: Column) -> Column:
+    """The first address of an array that fits a name; null for none."""
+    from quillon.functions.text import email_matches_name
+
+    return F.get(F.filter(found, lambda x: email_matches_name(x, name)), F.lit(0))
+
+
 def contact_label(method: Column, email: Column) -> Column:
     web = method.isin("send_message_button", "contact_form") | email.startswith("http")
     return F.when(F.coalesce(web, F.lit(False)), "contact on website").otherwise(F.coalesce(email, F.lit("")))

@@ -23,11 +23,11 @@ def words(c: Column) -> Column:
 
 def _capital(w: Column) -> Column:
     """Each run of ASCII letters with its first in upper case."""
-    return F.array_join(F.transform(F.regexp_extract_all(w, F.lit("([A-Za-z]+|[^A-Za-z]+)"), F.lit(1)), lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 1_000_000)))), "")
+    return F.array_join(F.transform(F.regexp_extract_all(w, F.lit("([A-Za-z]+|[^A-Za-z]+)"), F.lit(1)), lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substr(r, F.lit(2))))), "")
 
 
 def _mc(w: Column) -> Column:
-    return F.when(w.rlike("^Mc[a-z]"), F.concat(F.lit("Mc"), F.upper(F.substring(w, 3, 1)), F.substring(w, 4, 1_000_000))).otherwise(w)
+    return F.when(w.rlike("^Mc[a-z]"), F.concat(F.lit("Mc"), F.upper(F.substring(w, 3, 1)), F.substr(w, F.lit(4)))).otherwise(w)
 
 
 def person_name(c: Column) -> Column:
@@ -108,6 +108,12 @@ def last_first(c: Column) -> Column:
     return F.when(c.contains(",") & (a != "") & (b != ""), F.concat(b, F.lit(" "), a)).otherwise(c)
 
 
+def display_title(c: Column) -> Column:
+    """Each run of letters with its first in upper case and the others in lower case, whatever case it had."""
+    runs = F.regexp_extract_all(c, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substr(r, F.lit(2))))), "")
+
+
 def table_row(line: Column) -> Column:
     """struct(name, title) of a tab-separated row of two or more cells; null if either is not valid."""
     cells = F.filter(F.transform(F.split(line, r"\t+"), trim_ws), lambda x: x != "")

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from quillon.functions import rules
-from quillon.functions.text import acronym, strip_stopwords, words
+from quillon.functions.text import acronym, display_title, normalize_name, strip_stopwords, words
+from quillon.operators.shared import keep
 
 
 @F.pandas_udf(DoubleType())
@@ -51,99 +52,160 @@ def _prefixes(norm: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1))), lambda n: F.array_join(F.slice(w, 1, n), " "))
 
 
-def prefix(inputs: DataFrame, index: DataFrame, compat: bool = False) -> DataFrame:
-    """Index rows whose name begins with the input's words, or the other way round.
-
-    In ``compat``, hits of other states alone end the search with nothing; otherwise they
-    are passed over and the next tier may search.
-    """
+def prefix(inputs: DataFrame, index: DataFrame) -> DataFrame:
+    """Index rows, of all states, whose name begins with the input's words, or the other way round."""
     idx = index.withColumnRenamed("norm", "key")
     down = inputs.join(idx.withColumn("norm", F.explode(_prefixes(F.col("key")))), "norm").filter("key <> norm")
     up = inputs.withColumn("key", F.explode(_prefixes(F.col("norm")))).filter("key <> norm").join(idx, "key")
     cols = ["iid", "norm", "hint", "key", *[c for c in index.columns if c != "norm"]]
-    return down.select(*cols).unionByName(up.select(*cols)).filter(F.col("hint").isNull() | (F.col("state") == F.col("hint")))
+    return down.select(*cols).unionByName(up.select(*cols))
+
+
+def in_state(hits: DataFrame) -> DataFrame:
+    return hits.filter(F.col("hint").isNull() | (F.col("state") == F.col("hint")))
+
+
+def _pieces(c: Column) -> Column:
+    """Numbered pairs of neighbouring characters: the n-th one of its kind is a piece of its own."""
+    two = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))
+    return F.transform(two, lambda x, i: F.concat(x, F.size(F.filter(F.slice(two, 1, i + 1), lambda y: y == x)).cast("string")))
 
 
 def fuzzy(inputs: DataFrame, index: DataFrame, cutoff: float = rules.FUZZY, most: int = 5) -> DataFrame:
     """Rows of the ``most`` closest names of ``cutoff`` or more, in the hinted state; larger names first among equals.
 
-    Pairs meet by state and by length: a ratio of c needs lengths in the proportion of
-    c / (2 - c), so blocks of lengths lose nothing.
+    Two names of together T characters with a ratio of c have M >= cT/2 characters in
+    blocks that match, and at most (1 - c)T others, so at most (1 - c)T + 1 blocks, and
+    thus (1.5c - 1)T - 1 pairs of neighbouring characters or more in common.  They then
+    share one of their rarest pairs: a name of n pairs that must share k takes the n - k + 1
+    rarest, which loses nothing.  Those meet by an equi-join.
     """
     low = cutoff / (2 - cutoff)
-    band = lambda n: F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int")
-    keys = index.select(F.col("norm").alias("key"), "state").distinct()
-    n = F.length("norm")
-    asked = inputs.withColumn("band", F.explode(F.sequence(band(F.floor(n * low)), band(F.ceil(n / low)))))
-    near = (F.least(F.length("norm"), F.length("key")) >= low * F.greatest(F.length("norm"), F.length("key"))) & (F.col("hint").isNull() | (F.col("hint") == F.col("state")))
-    pairs = asked.join(keys.withColumn("band", band(F.length("key"))), "band").filter(near).select("iid", "norm", "hint", "key").distinct()
+    keys = keep(index.select(F.col("norm").alias("key"), "state").distinct(), "fuzzy-keys")
+    asked = keep(inputs.select("norm").distinct(), "fuzzy-names")
+    piece = lambda df, c: df.select(c, F.explode(_pieces(F.col(c))).alias("piece"))
+    names = keys.select("key").distinct()
+    rarity = piece(names, "key").groupBy("piece").agg(F.count("*").alias("df"))
+
+    def rarest(df: DataFrame, c: str) -> DataFrame:
+        must = F.greatest(F.floor((1.5 * cutoff - 1) * (1 + low) * F.length(c)) - 1, F.lit(1))
+        w = Window.partitionBy(c).orderBy(F.coalesce("df", F.lit(0)), "piece")
+        ranked = piece(df, c).join(rarity, "piece", "left").withColumn("r", F.row_number().over(w))
+        return ranked.filter(F.col("r") <= F.greatest(F.length(c) - 1, F.lit(1)) - must + 1).select(c, "piece")
+
+    size = F.least(F.length("norm"), F.length("key")) >= low * F.greatest(F.length("norm"), F.length("key"))
+    near = rarest(asked, "norm").join(rarest(names, "key"), "piece").filter(size).select("norm", "key").distinct()
+    near = near.withColumn("score", ratio("key", "norm")).filter(F.col("score") >= cutoff)
+    pairs = inputs.join(near, "norm").join(keys, "key").filter(F.col("hint").isNull() | (F.col("hint") == F.col("state"))).select("iid", "norm", "hint", "key", "score").distinct()
     w = Window.partitionBy("iid").orderBy(F.desc("score"), F.desc("key"))
-    best = pairs.withColumn("score", ratio("key", "norm")).filter(F.col("score") >= cutoff).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")
-    return best.join(index.withColumnRenamed("norm", "key"), "key").filter(F.col("hint").isNull() | (F.col("hint") == F.col("state")))
+    best = pairs.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")
+    return in_state(best.join(index.withColumnRenamed("norm", "key"), "key"))
 
 
 def by_acronym(inputs: DataFrame, index: DataFrame) -> DataFrame:
-    """Rows whose name's initials are the input, of two to eight letters."""
-    asked = inputs.filter(F.col("norm").rlike("^[a-z]{2,8}$")).withColumnRenamed("norm", "initials")
-    rows = index.withColumn("initials", acronym(F.col("norm")))
-    return asked.join(rows, "initials").filter(F.col("hint").isNull() | (F.col("state") == F.col("hint"))).withColumnRenamed("norm", "key").withColumnRenamed("initials", "norm")
-
-
-def lookup(inputs: DataFrame, index: DataFrame, initials: bool = False) -> DataFrame:
-    """Hits of the first tier that has any: ``iid``, ``tier`` and the index's columns."""
-    cols = ["iid", F.col("norm").alias("asked"), F.coalesce(F.col("key"), F.col("norm")).alias("norm"), *[c for c in index.columns if c != "norm"]]
-    out, left = None, inputs
-    tiers = [exact, prefix, fuzzy, *([by_acronym] if initials else [])]
-    for k, tier in enumerate(tiers, 1):
-        got = tier(left, index)
+    """Rows whose name's initials are the input, two to eight letters, spaced or not.
+
+    With a hint, a name counts if its first row, by ``nces_id``, is in that state; then all its rows do.
+    """
+    bare = F.replace("norm", F.lit(" "), F.lit(""))
+    asked = inputs.filter(bare.rlike("^[a-z]{2,8}$")).select("*", bare.alias("initials")).withColumnRenamed("norm", "asked")
+    first = index.groupBy("norm").agg(F.min_by("state", "nces_id").alias("first_state"))
+    rows = index.join(first, "norm").withColumn("initials", acronym(F.col("norm"))).withColumnRenamed("norm", "key")
+    hits = asked.join(rows, "initials").filter(F.col("hint").isNull() | (F.col("first_state") == F.col("hint")))
+    return hits.drop("initials", "first_state").withColumnRenamed("asked", "norm")
+
+
+def lookup(inputs: DataFrame, index: DataFrame, initials: bool = False, compat: bool = False) -> DataFrame:
+    """Hits of the first tier that has any: ``iid``, ``tier`` and the index's columns.
+
+    Prefix hits of other states than the hinted one are passed over, and the next tier may
+    search; with ``compat`` they end the tiers with nothing, but for the initials.
+    """
+    cols = ["iid", F.col("norm").alias("asked"), F.col("key").alias("norm"), *[c for c in index.columns if c != "norm"]]
+    out, left, ended = None, inputs, None
+
+    def take(got: DataFrame, tier: int) -> DataFrame:
+        nonlocal out
         got = got if "key" in got.columns else got.withColumn("key", F.col("norm"))
-        got = got.select(*cols).withColumn("tier", F.lit(k))
+        got = keep(got.select(*cols).withColumn("tier", F.lit(tier)), "lookup")
         out = got if out is None else out.unionByName(got)
-        left = left.join(got.select("iid").distinct(), "iid", "left_anti")
+        return got.select("iid").distinct()
+
+    left = keep(left.join(take(exact(left, index), 1), "iid", "left_anti"), "lookup-left")
+    hits = keep(prefix(left, index), "lookup-prefix")
+    after = left.join(take(in_state(hits), 2), "iid", "left_anti")
+    if compat:
+        after = after.join(hits.select("iid").distinct(), "iid", "left_anti")
+    after = keep(after, "lookup-left")
+    found = take(fuzzy(after, index), 3)
+    if initials:
+        ended = left.join(out.select("iid").distinct(), "iid", "left_anti") if compat else after.join(found, "iid", "left_anti")
+        take(by_acronym(ended, index), 4)
     return out
 
 
-def resolve(inputs: DataFrame, schools: DataFrame, parents: DataFrame | None = None, programs: DataFrame | None = None, notes: DataFrame | None = None) -> DataFrame:
-    """What each input (``iid``, ``norm``, ``hint``) is: school, district, parent organisation, program, ambiguous or no K-12 entity.
+def resolve(inputs: DataFrame, schools: DataFrame, parents: DataFrame | None = None, programs: DataFrame | None = None, notes: DataFrame | None = None, district_parents: DataFrame | None = None, compat: bool = False) -> DataFrame:
+    """What each input (``iid``, ``norm``, ``hint``, perhaps ``city``) is: school, district, parent organisation, program, ambiguous or no K-12 entity.
 
     ``schools``: ``nces_id``, ``norm``, ``school_name``, ``district_norm``, ``district_name``,
-    ``lea_id``, ``state``.  The curated tables (``norm``, ``name``, ``domain``; notes:
-    ``norm``, ``note``) are small and given by the caller;
-    parents and programs match by fuzzy equality of the full or the stop-word-stripped name.  A district of one school is
-    that school.
+    ``lea_id``, ``state``.  The curated tables are small and given by the caller: parents and
+    programs (``norm``, ``name``, ``domain``; programs perhaps ``state``, ``parent``), notes
+    (``norm``, ``note``) and the organisations behind districts (``norm``, ``name``, ``confirmed``).
+    Parents and programs match by fuzzy equality of the full or the stop-word-stripped name.
+
+    A district whose hits hold a school of the input's name, or only one school, is that
+    school.  Schools count where no other district is hit.  Several schools in several
+    states, or several districts, are ambiguous without a hint of state or city.
     """
     spark = inputs.sparkSession
+    if "city" not in inputs.columns:
+        inputs = inputs.withColumn("city", F.lit(None).cast("string"))
+    inputs = keep(inputs, "inputs")
+    bare = inputs.select("iid", "norm", "hint")
+    field = lambda df, c: F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c)
     none = spark.range(0).select(F.lit("").alias("norm"), F.lit("").alias("name"), F.lit("").alias("domain"))
-    curated = (parents or none).select("norm", F.col("name").alias("c_name"), F.col("domain").alias("c_domain"), F.lit("PARENT_ORG").alias("c_type")).unionAll((programs or none).select("norm", "name", "domain", F.lit("PROGRAM")))
-    curated = curated.withColumnRenamed("norm", "key")
+    parents, programs = parents or none, programs or none
+    part = lambda df, kind: df.select(F.col("norm").alias("key"), F.col("name").alias("c_name"), F.col("domain").alias("c_domain"), field(df, "state").alias("c_state"), field(df, "parent").alias("c_parent"), F.lit(kind).alias("c_type"))
+    curated = part(parents, "PARENT_ORG").unionAll(part(programs, "PROGRAM"))
     # Broadcast: the curated tables.  Either form may be near; parents count first, then equal names, then the closest.
-    near = inputs.select("norm").distinct().crossJoin(F.broadcast(curated)).withColumn("_r", F.greatest(ratio("norm", "key"), ratio(strip_stopwords(F.col("norm")), strip_stopwords(F.col("key"))))).filter((F.col("norm") == F.col("key")) | (F.col("_r") >= rules.FUZZY))
-    curated = near.groupBy("norm").agg(F.min_by(F.struct("c_name", "c_domain", "c_type"), F.struct(F.when(F.col("c_type") == "PARENT_ORG", 0).otherwise(1).alias("t"), (F.col("norm") != F.col("key")).alias("n"), (-F.col("_r")).alias("r"), "key")).alias("c"))
-    index = schools.select("norm", "state", "nces_id", "school_name", "district_name", "lea_id")
-    campus = schools.groupBy("lea_id").agg(F.count_distinct("nces_id").alias("campuses"))
-    districts = schools.select(F.col("district_norm").alias("norm"), "state", "nces_id", "school_name", "district_name", "lea_id")
-    s = lookup(inputs, index)
-    d = lookup(inputs, districts, initials=True).join(campus, "lea_id")
-    alone = d.filter("campuses = 1").drop("campuses")
-    s = s.unionByName(alone).dropDuplicates(["iid", "nces_id"])
-    d = d.filter("campuses > 1")
-    hint = inputs.select("iid", "hint")
-    rank = F.struct(F.coalesce(F.col("state") != F.col("hint"), F.lit(True)).alias("other"), "nces_id")
-    best = lambda x, c: x.join(hint, "iid").groupBy("iid").agg(F.min_by(F.struct("nces_id", "school_name", "district_name", "lea_id", "state", "tier"), rank).alias(c), F.count_distinct("nces_id").alias(f"{c}_n"), F.count_distinct("state").alias(f"{c}_states"), F.sort_array(F.collect_set("school_name")).alias(f"{c}_children"))
-    out = inputs.join(curated, "norm", "left").join(best(s, "s"), "iid", "left").join(best(d, "d"), "iid", "left")
-    if notes is not None:
-        out = out.join(notes, "norm", "left")
-    else:
-        out = out.withColumn("note", F.lit(None).cast("string"))
-    kind = F.when(F.col("c").isNotNull(), F.col("c.c_type")).when(F.col("d").isNotNull(), "DISTRICT").when((F.col("s_n") > 1) & (F.col("s_states") > 1) & F.col("hint").isNull(), "AMBIGUOUS").when(F.col("s").isNotNull(), "SCHOOL").otherwise("NOT_A_K12")
-    sure = F.when(kind == "PARENT_ORG", 0.95).when(kind == "PROGRAM", 0.9).when(kind == "AMBIGUOUS", 0.3).when(kind == "NOT_A_K12", 0.3)
-    sure = sure.when(kind == "SCHOOL", F.when(F.col("s.tier") == 1, 1.0).when(F.col("s.tier") == 3, 0.72).otherwise(0.85)).otherwise(F.when(F.col("d.tier") == 1, 1.0).when(F.col("d.tier") == 3, 0.72).otherwise(0.85))
-    return out.select("iid", "norm", kind.alias("entity_type"), F.when(kind == "SCHOOL", F.col("s.school_name")).when(kind == "DISTRICT", F.col("d.district_name")).otherwise(F.col("c.c_name")).alias("resolved_name"), F.when(kind == "SCHOOL", F.col("s.nces_id")).when(kind == "DISTRICT", F.col("d.lea_id")).alias("nces_id"), F.when(kind == "SCHOOL", F.col("s.district_name")).alias("parent_entity"), F.col("c.c_domain").alias("domain"), F.when(kind == "DISTRICT", F.col("d_children")).otherwise(F.array().cast("array<string>")).alias("children"), sure.alias("confidence"), "note", kind.isin("AMBIGUOUS", "NOT_A_K12").alias("needs_review"))
-
-
-def containment_key(kind: Column, name: Column, nces_id: Column, parent: Column) -> Column:
-    """One key for all inputs that mean the same entity."""
-    return F.when(nces_id.isNotNull(), F.concat_ws(":", kind, nces_id)).otherwise(F.concat_ws(":", kind, F.lower(F.coalesce(parent, name))))
+    near = bare.select("norm").distinct().crossJoin(F.broadcast(curated)).withColumn("_r", F.greatest(ratio("norm", "key"), ratio(strip_stopwords(F.col("norm")), strip_stopwords(F.col("key"))))).filter((F.col("norm") == F.col("key")) | (F.col("_r") >= rules.FUZZY))
+    curated = near.groupBy("norm").agg(F.min_by(F.struct("c_name", "c_domain", "c_state", "c_parent", "c_type"), F.struct(F.when(F.col("c_type") == "PARENT_ORG", 0).otherwise(1).alias("t"), (F.col("norm") != F.col("key")).alias("n"), (-F.col("_r")).alias("r"), "key")).alias("c"))
+    # A program's own state takes the place of the hint.
+    bare = bare.join(curated, "norm", "left").select("iid", "norm", F.when(F.col("c.c_type") == "PROGRAM", F.col("c.c_state")).otherwise(F.col("hint")).alias("hint"))
+    s = lookup(bare, schools.select("norm", "state", "nces_id", "school_name", "district_name", "district_norm", "lea_id"), compat=compat).withColumnRenamed("norm", "school_norm")
+    d = lookup(bare, schools.select(F.col("district_norm").alias("norm"), "state", "nces_id", "school_name", "district_name", "lea_id", F.col("norm").alias("school_norm")), initials=True, compat=compat).withColumnRenamed("norm", "district_norm")
+    campus = F.struct((F.col("school_norm") != F.col("asked")).alias("other"), "nces_id")
+    row = F.struct("nces_id", "school_name", "school_norm", "district_name", "district_norm", "lea_id", "state", "asked")
+    d = keep(d.groupBy("iid", "lea_id").agg(F.min_by(row, campus).alias("one"), F.max(F.col("school_norm") == F.col("asked")).alias("named"), F.count_distinct("school_name").alias("names"), F.min("nces_id").alias("first"), F.sort_array(F.collect_set(display_title(F.col("school_name")))).alias("children")), "districts")
+    alone = d.filter("named OR names = 1").select("iid", "one.*")
+    s = s.select("iid", *[c for c in ("nces_id", "school_name", "school_norm", "district_name", "district_norm", "lea_id", "state", "asked")]).unionByName(alone).dropDuplicates(["iid", "nces_id"])
+    hint = bare.select("iid", "hint")
+    rank = F.struct(F.coalesce(F.col("state") != F.col("hint"), F.lit(False)).alias("other"), "nces_id")
+    s = s.join(hint, "iid").groupBy("iid").agg(F.min_by(row, rank).alias("s"), F.count_distinct("nces_id").alias("s_n"), F.count_distinct("state").alias("s_states"))
+    d = d.filter("NOT (named OR names = 1)").groupBy("iid").agg(F.min_by(F.struct("one", "children"), "first").alias("d"), F.count("*").alias("d_n"))
+    out = inputs.join(curated, "norm", "left").join(s, "iid", "left").join(d, "iid", "left")
+    out = out.join(notes.select("norm", "note"), "norm", "left") if notes is not None else out.withColumn("note", F.lit(None).cast("string"))
+    loose = F.col("hint").isNull() & F.col("city").isNull()
+    kind = F.when(F.col("c").isNotNull(), F.col("c.c_type")).when(F.col("d").isNotNull(), F.when((F.col("d_n") > 1) & loose, "AMBIGUOUS").otherwise("DISTRICT")).when((F.col("s_n") > 1) & (F.col("s_states") > 1) & loose, "AMBIGUOUS").when(F.col("s").isNotNull(), "SCHOOL").otherwise("NOT_A_K12")
+    out = out.withColumn("entity_type", kind)
+    is_ = lambda *k: F.col("entity_type").isin(*k)
+    pass_by = (district_parents or spark.range(0).select(F.lit("").alias("norm"), F.lit("").alias("name"), F.lit(True).alias("confirmed"))).select(F.col("norm").alias("p_norm"), F.col("name").alias("p_name"), "confirmed")
+    lea = F.when(is_("SCHOOL"), F.col("s.district_norm")).when(is_("DISTRICT"), F.col("d.one.district_norm"))
+    out = out.withColumn("_lea", lea).join(F.broadcast(pass_by), F.col("_lea") == F.col("p_norm"), "left")  # Broadcast: a curated table.
+    sure = F.when(is_("PARENT_ORG"), 0.95).when(is_("PROGRAM"), 0.9).when(is_("SCHOOL"), F.when(F.col("s.school_norm") == F.col("norm"), 1.0).otherwise(0.72)).when(is_("DISTRICT"), F.when(F.col("d.one.district_norm") == F.col("norm"), 1.0).otherwise(0.85)).when(is_("NOT_A_K12"), 0.3).otherwise(0.0)
+    parent = F.coalesce(F.col("p_name"), F.when(is_("SCHOOL"), display_title(F.col("s.district_name"))), F.when(is_("PROGRAM"), F.col("c.c_parent")))
+    return out.select(
+        "iid", "norm", "entity_type", F.when(is_("SCHOOL"), display_title(F.col("s.school_name"))).when(is_("DISTRICT"), display_title(F.col("d.one.district_name"))).when(is_("PARENT_ORG", "PROGRAM"), F.col("c.c_name")).alias("resolved_name"),
+        F.when(is_("SCHOOL", "PROGRAM"), F.col("s.nces_id")).when(is_("DISTRICT"), F.col("d.one.lea_id")).alias("nces_id"), parent.alias("parent_entity"),
+        F.when(F.col("p_name").isNotNull(), "PARENT_ORG").when(is_("SCHOOL"), "DISTRICT").alias("parent_entity_type"), F.col("c.c_domain").alias("domain"),
+        F.when(is_("DISTRICT"), F.col("d.children")).otherwise(F.array().cast("array<string>")).alias("children"), sure.alias("confidence"), "note", (is_("AMBIGUOUS", "NOT_A_K12") | F.coalesce(~F.col("confirmed"), F.lit(False))).alias("needs_review"),
+    )
+
+
+def containment_key(kind: Column, name: Column, nces_id: Column, parent: Column, parent_kind: Column, asked: Column) -> Column:
+    """One key for all inputs that mean the same subtree: the parent organisation first, then the id, then the name as asked."""
+    org = lambda c: F.concat(F.lit("org:"), normalize_name(c))
+    return F.when(kind == "PARENT_ORG", org(F.coalesce(name, asked))).when((parent_kind == "PARENT_ORG") & (F.coalesce(parent, F.lit("")) != ""), org(parent)).when(F.coalesce(nces_id, F.lit("")) != "", F.concat(F.lit("nces:"), nces_id)).otherwise(F.concat(F.lit("unresolved:"), normalize_name(asked)))
 
 
 def match_contacts(teachers: DataFrame, contacts: DataFrame) -> DataFrame:

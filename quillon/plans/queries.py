@@ -223,7 +223,7 @@ def ascii_lines(spark, sf_dir) -> DataFrame:
 @query(f"WITH {_LINES}, c AS (SELECT doc_id, pos, regexp_extract(line, '^(\\S+ \\S+)', 1) AS name FROM lines WHERE {_ASCII}) SELECT doc_id, pos, name FROM (SELECT doc_id, pos, upper(name[1]) || lower(name[2:]) AS name0, list_aggregate(list_transform(string_split(name, ' '), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' ') AS name FROM c) WHERE {_valid_name('name')}")
 def name_valid(spark, sf_dir):
     name = F.regexp_extract("line", r"^(\S+ \S+)", 1)
-    name = F.array_join(F.transform(F.split(name, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000000)))), " ")
+    name = F.array_join(F.transform(F.split(name, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))), " ")
     return ascii_lines(spark, sf_dir).select("doc_id", "pos", name.alias("name")).filter(text.valid_name(F.col("name")))
 
 
@@ -476,7 +476,7 @@ def lookup_exact(spark, sf_dir):
 @query(with_views(f"SELECT a.id AS iid, b.nces_id FROM (SELECT id, state, regexp_extract({_NORM}, '^(\\S+ \\S+)', 1) AS p FROM schools) a JOIN schools b ON {_NORM.replace('school_name', 'b.school_name')} LIKE a.p || ' %' WHERE a.id % 2 = 0 AND a.state = b.state OR a.id % 4 = 3"))
 def lookup_prefix(spark, sf_dir):
     short = F.regexp_extract(text.normalize_name(F.col("school_name")), r"^(\S+ \S+)", 1)
-    return match.prefix(inputs(spark, sf_dir, short), index(spark, sf_dir)).select("iid", "nces_id")
+    return match.in_state(match.prefix(inputs(spark, sf_dir, short), index(spark, sf_dir))).select("iid", "nces_id")
 
 
 @query()
@@ -486,7 +486,7 @@ def lookup_fuzzy(spark, sf_dir):
     return match.fuzzy(inputs(spark, sf_dir, mangled), index(spark, sf_dir)).select("iid", "nces_id", "score")
 
 
-@query(with_views(f"SELECT a.id AS iid, b.nces_id FROM (SELECT id, state, acr FROM (SELECT id, state, list_aggregate(list_transform(list_filter(string_split({_NORM}, ' '), lambda w: w NOT IN ('the', 'of', 'at', 'and', 'a', 'an', 'for')), lambda w: w[1]), 'string_agg', '') AS acr FROM (SELECT id, state, substr(school_name, instr(school_name, ' ') + 1) AS school_name FROM schools))) a JOIN (SELECT state, nces_id, list_aggregate(list_transform(list_filter(string_split({_NORM}, ' '), lambda w: w NOT IN ('the', 'of', 'at', 'and', 'a', 'an', 'for')), lambda w: w[1]), 'string_agg', '') AS acr FROM (SELECT state, nces_id, substr(school_name, instr(school_name, ' ') + 1) AS school_name FROM schools)) b ON a.acr = b.acr WHERE length(a.acr) BETWEEN 2 AND 8 AND regexp_matches(a.acr, '^[a-z]+$') AND (a.id % 2 = 0 AND a.state = b.state OR a.id % 4 = 3)"))
+@query(with_views(f"SELECT a.id AS iid, b.nces_id FROM (SELECT id, state, acr FROM (SELECT id, state, list_aggregate(list_transform(list_filter(string_split({_NORM}, ' '), lambda w: w NOT IN ('the', 'of', 'at', 'and', 'a', 'an', 'for')), lambda w: w[1]), 'string_agg', '') AS acr FROM (SELECT id, state, substr(school_name, instr(school_name, ' ') + 1) AS school_name FROM schools))) a JOIN (SELECT first_value(state) OVER (PARTITION BY {_NORM} ORDER BY nces_id) AS state, nces_id, list_aggregate(list_transform(list_filter(string_split({_NORM}, ' '), lambda w: w NOT IN ('the', 'of', 'at', 'and', 'a', 'an', 'for')), lambda w: w[1]), 'string_agg', '') AS acr FROM (SELECT state, nces_id, substr(school_name, instr(school_name, ' ') + 1) AS school_name FROM schools)) b ON a.acr = b.acr WHERE length(a.acr) BETWEEN 2 AND 8 AND regexp_matches(a.acr, '^[a-z]+$') AND (a.id % 2 = 0 AND a.state = b.state OR a.id % 4 = 3)"))
 def lookup_acronym(spark, sf_dir):
     rest = text.normalize_name(F.regexp_replace("school_name", r"^\S* ", ""))
     idx = schools(spark, sf_dir).select(rest.alias("norm"), "state", "nces_id")
@@ -505,10 +505,13 @@ def resolve_entity(spark, sf_dir):
     return match.resolve(asked, reg, parents, programs).drop("children")
 
 
-@query(with_views("SELECT id, CASE WHEN id % 3 = 0 THEN 'PARENT_ORG:' || lower(district_name) ELSE 'SCHOOL:' || nces_id END AS key FROM schools"))
+@query(with_views("SELECT id, CASE WHEN scraped = 1 AND is_arts_school = 1 THEN 'org:' || lower(regexp_replace(school_name, '[^A-Za-z0-9_ ]', ' ', 'g')) WHEN level = 'High' THEN 'org:' || lower(district_name) WHEN open_status <> 'Closed' THEN 'nces:' || nces_id ELSE 'unresolved:' || lower(regexp_replace(school_name, '[^A-Za-z0-9_ ]', ' ', 'g')) END AS key FROM schools"))
 def containment_key(spark, sf_dir):
-    kind = F.when(F.col("id") % 3 == 0, "PARENT_ORG").otherwise("SCHOOL")
-    return schools(spark, sf_dir).select("id", match.containment_key(kind, F.col("school_name"), F.when(F.col("id") % 3 != 0, F.col("nces_id")), F.col("district_name")).alias("key"))
+    """Organisations, schools of an organisation, schools with an id, and the rest."""
+    kind = F.when((F.col("scraped") == 1) & (F.col("is_arts_school") == 1), "PARENT_ORG").otherwise("SCHOOL")
+    above = F.when(F.col("level") == "High", "PARENT_ORG").otherwise("DISTRICT")
+    found = F.when((F.col("open_status") != "Closed") | (F.col("level") == "High"), F.col("nces_id"))
+    return schools(spark, sf_dir).select("id", match.containment_key(kind, F.col("school_name"), found, F.col("district_name"), above, F.col("school_name")).alias("key"))
 
 
 @query(with_views("SELECT id AS tid, CASE WHEN id % 2 = 0 THEN 'exact' ELSE 'tokens' END AS how FROM staff"))
