@@ -5,9 +5,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.functions import classify, email, rules, text, web
 from quillon.operators.merge import first_wins
+from quillon.operators.upsert import update
 
 
 def discover(sites: DataFrame, pages: DataFrame, searched: DataFrame | None = None) -> DataFrame:
@@ -75,42 +77,106 @@ def all_blocked(status: Column) -> Column:
     return (F.count(status) > 0) & F.coalesce(F.bool_and(status.isin(list(rules.REFUSED))), F.lit(False))
 
 
+_RECORD = "struct<k:int,name:string,title:string,email:string,source:string,strategy:string>"
+
+
 def extract_staff(blocks: DataFrame, permissive: bool = False) -> DataFrame:
-    """Staff rows of captured blocks: ``page_id``, ``pos``, ``name``, ``title``, ``email``, ``discipline``, ``strategy``.
+    """Staff rows of captured blocks: ``page_id``, ``pos``, ``name``, ``title``, ``email``, ``email_source``, ``evidence_url``, ``discipline``, ``strategy``.
+
+    ``blocks``: ``page_id``, ``pos``, ``kind`` (card, block, mailto, body), ``lines`` (array); and
+    where known ``mailto`` or ``emails`` (addresses linked in the block), ``cfemail`` (an
+    encoded one), ``link`` (a contact link) and ``evidence_url``.  Strategies are ranked: a page's rows come from the first
+    kind that yields any.  In a block, a line with name and title comes before rows of a
+    table, and those before a name with its title on one of the next two lines; what a block
+    yields first is all it yields.  Roles out of scope go, and of one name the first row stays.
 
-    ``blocks``: ``page_id``, ``pos``, ``kind`` (card, block, mailto, body), ``lines`` (array),
-    ``mailto``.  Strategies are ranked: a page's rows come from the first one that yields
-    any.  Roles out of scope go, and of one name the first row stays.
+    ``permissive`` is for pages of an arts department: cards, table rows and names with a
+    title below needn't be of the arts, but all rows of a block need an address.
     """
-    lines = F.col("lines")
-
-    def rows(kind: str, rank: int, strategy: str, pairs: Column, gate: bool) -> DataFrame:
-        d = blocks.filter(F.col("kind") == kind).select("page_id", "pos", "mailto", "lines", F.posexplode(pairs).alias("k", "p"))
-        d = d.select("page_id", "pos", "k", F.lit(rank).alias("rank"), F.lit(strategy).alias("strategy"), F.col("p.name").alias("name"), F.col("p.title").alias("title"), "mailto", F.array_join("lines", " ").alias("ctx"))
-        d = d.filter(F.col("name").isNotNull())
-        return d.filter(classify.is_art(F.col("title"))) if gate else d
-
-    none = F.slice(F.array(F.struct(F.lit("").alias("name"), F.lit("").alias("title"))), 1, 0)
-    two = F.when(text.valid_name(lines[0]) & text.valid_title(text.clean_title(lines[1])), F.array(F.struct(lines[0].alias("name"), text.clean_title(lines[1]).alias("title")))).otherwise(none)
-    split = F.filter(F.transform(lines, text.split_name_title), lambda x: x.isNotNull())
-    before = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size(lines) - 1, F.lit(1))), lambda i: F.when((i < F.size(lines)) & text.valid_name(F.get(lines, i - 1)) & classify.is_art(F.get(lines, i)), F.struct(F.get(lines, i - 1).alias("name"), text.clean_title(F.get(lines, i)).alias("title")))), lambda x: x.isNotNull())
-    # Body text: the nearest valid name of the two lines before.
-    named = lambda x: F.when(text.valid_name(x), x)
-    near = lambda i: F.coalesce(named(F.get(lines, i - 1)), named(F.get(lines, i - 2)))
-    scan = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size(lines) - 1, F.lit(1))), lambda i: F.when((i < F.size(lines)) & near(i).isNotNull() & classify.is_art(F.get(lines, i)), F.struct(near(i).alias("name"), text.clean_title(F.get(lines, i)).alias("title")))), lambda x: x.isNotNull())
-    many = F.filter(lines, lambda x: x != "")
-    cards = blocks.withColumn("lines", many)
-    blocks = cards
-    found = [rows("card", 1, "semantic_card", two, not permissive), rows("block", 2, "name_title_line", split, True), rows("block", 2, "table_row", text.table_rows(lines), not permissive), rows("block", 2, "generic_block", two, not permissive), rows("mailto", 3, "mailto_context", F.concat(split, before), True), rows("body", 4, "text_scan", F.concat(split, scan), True)]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    got = email.munge_decode(F.col("ctx"))
-    mail = F.coalesce(F.nullif(F.col("mailto"), F.lit("")), F.when(email_ok(F.col("name"), got["email"]), got["email"]))
-    out = out.withColumn("email", mail).withColumn("discipline", classify.classify(F.col("title"))["discipline"])
+    given = lambda c, t: (F.col(c) if c in blocks.columns else F.lit(None)).cast(t)
+    first = F.nullif(given("mailto", "string"), F.lit(""))
+    emails = F.coalesce(given("emails", "array<string>"), F.when(first.isNotNull(), F.array(first)), F.array().cast("array<string>"))
+    tidy = F.filter(F.transform("lines", text.trim_ws), lambda x: x != "")
+    b = blocks.select("page_id", "pos", "kind", tidy.alias("lines"), emails.alias("emails"), given("cfemail", "string").alias("cfemail"), given("link", "string").alias("link"), given("evidence_url", "string").alias("evidence_url"))
+    # Columns, one after the other: as expressions they would be written out wherever they are used.
+    b = b.withColumn("cells", text.table_rows(F.col("lines"))).withColumn("l", F.transform("lines", lambda x: F.struct(x.alias("t"), text.valid_name(x).alias("is_name"), text.split_name_title(x).alias("s"), text.clean_title(x).alias("clean"), (classify.is_art(x) & text.valid_title(x)).alias("is_title"))))
+    b = b.withColumn("l", F.transform("l", lambda x: F.struct(x["t"].alias("t"), x["is_name"].alias("is_name"), x["s"].alias("s"), x["clean"].alias("clean"), x["is_title"].alias("is_title"), classify.is_art(x["s"]["title"]).alias("s_art"), text.valid_title(x["s"]["title"]).alias("s_title"), (text.valid_title(x["clean"]) & (F.lit(True) if permissive else classify.is_art(x["clean"]))).alias("below"))))
+    linked = F.get("emails", F.lit(0))
+    b = b.withColumn("mail", F.coalesce(email.resolve_email(linked, F.col("cfemail"), F.array_join("lines", "\n")), F.when(F.nullif("link", F.lit("")).isNotNull(), F.struct(F.col("link").alias("email"), F.lit(None).cast("string").alias("source")))))
+    b = b.withColumn("split", F.get(F.filter("l", lambda x: x["s"].isNotNull() & x["s_art"]), F.lit(0))).withColumn("under", F.get(F.filter(F.slice("l", 2, 2), lambda x: x["below"]), F.lit(0))).withColumn("top", F.get("l", F.lit(0)))
+    lines, mail, split, top, none = F.col("l"), F.col("mail"), F.col("split"), F.col("top"), F.array().cast(f"array<{_RECORD}>")
+    record = lambda k, name, title, mail, source, strategy: F.struct(k.cast("int").alias("k"), name.alias("name"), title.alias("title"), mail.alias("email"), source.alias("source"), F.lit(strategy).alias("strategy")).cast(_RECORD)
+    maybe = lambda ok, x: F.when(F.coalesce(ok, F.lit(False)), F.array(x)).otherwise(none)
+    one = lambda name, title, strategy: record(F.lit(0), name, title, mail["email"], mail["source"], strategy)
+    reached = mail.isNotNull() if permissive else F.lit(True)
+
+    second = F.get(lines, F.lit(1))
+    card = maybe(top["is_name"] & second["below"], one(top["t"], second["clean"], "semantic_card"))
+
+    aligned = F.size("emails") == F.size("cells")
+    own = lambda i: F.when(aligned, F.get("emails", i))
+    table = F.transform("cells", lambda x, i: record(i, x["name"], x["title"], own(i), F.when(own(i).isNotNull(), "MAILTO"), "table_row"))
+    table = F.filter(table, lambda x: x["email"].isNotNull() if permissive else classify.is_art(x["title"]))
+    generic = maybe(F.col("under").isNotNull() & top["is_name"] & reached, one(top["t"], F.col("under.clean"), "generic_block"))
+    packed = maybe(split["s_title"] & reached, one(split["s"]["name"], split["s"]["title"], "name_title_line"))
+    block = F.when(split.isNotNull(), packed).when(F.size(lines) < 2, none).when(F.size("cells") > 0, table).otherwise(generic)
+
+    def scan(strategy: str, back: int, pick) -> Column:
+        """Each line that holds a name and a title, or else a title whose name stands on one of the ``back`` lines before it."""
+
+        def at(x: Column, i: Column) -> Column:
+            whole = F.coalesce(x["s_art"] & x["s_title"], F.lit(False))
+            before = F.get(F.filter(F.reverse(F.slice(lines, F.greatest(i - back, F.lit(0)) + 1, F.least(i, F.lit(back)))), lambda y: y["is_name"]), F.lit(0))["t"]
+            name = F.when(whole, x["s"]["name"]).when(x["is_title"], before)
+            around = F.when(whole, 1).otherwise(2)
+            return F.struct(i.cast("int").alias("k"), name.alias("name"), F.when(whole, x["s"]["title"]).otherwise(x["t"]).alias("title"), F.slice("lines", F.greatest(i - around, F.lit(0)) + 1, F.least(i, around) + 1 + around).alias("near"))
+
+        found = F.filter(F.transform(lines, at), lambda x: x["name"].isNotNull())
+        return F.transform(found, lambda x: record(x["k"], x["name"], x["title"], *pick(x), strategy))
+
+    context = scan("mailto_context", 1, lambda _: (linked, F.when(linked.isNotNull(), "MAILTO")))
+    # The addresses of the lines around are looked at once a row stands for itself.
+    body = scan("text_scan", 2, lambda x: (F.array_join(x["near"], " "), F.lit("NEAR")))
+    kind = F.col("kind")
+    rank = F.when(kind == "card", 1).when(kind == "block", 2).when(kind == "mailto", 3).when(kind == "body", 4)
+    found = F.when(kind == "card", card).when(kind == "block", block).when(kind == "mailto", context).when(kind == "body", body)
+    out = b.select("page_id", "pos", "evidence_url", rank.alias("rank"), F.explode(found).alias("r")).select("page_id", "pos", "evidence_url", "rank", "r.*")
+    fit = F.when(F.col("source") == "NEAR", email.first_of_name(F.regexp_extract_all("email", F.lit(f"({rules.EMAIL})"), F.lit(1)), F.col("name"))).otherwise(F.col("email"))
+    out = out.withColumn("email", fit).withColumn("source", F.when((F.col("source") != "NEAR") | F.col("email").isNotNull(), F.when(F.col("source") == "NEAR", "MAILTO").otherwise(F.col("source"))))
     best = F.min("rank").over(Window.partitionBy("page_id"))
     out = out.withColumn("_best", best).filter("rank = _best").filter(~classify.excluded_role(F.col("title")))
-    return first_wins(out, ["page_id", F.lower("name")], ["pos", "k"]).select("page_id", "pos", "name", "title", "email", "discipline", "strategy")
+    out = first_wins(out, ["page_id", F.lower("name")], ["pos", "k"])
+    return out.select("page_id", "pos", "name", "title", "email", F.col("source").alias("email_source"), "evidence_url", classify.classify(F.col("title"))["discipline"].alias("discipline"), "strategy")
+
+
+def drop_school_titles(rows: DataFrame) -> DataFrame:
+    """Rows (``title``, ``school_name``) without those whose title is the school's name; no name, no change."""
+    same = F.lower(text.trim_ws(F.col("title"))) == F.lower(text.trim_ws(F.col("school_name")))
+    return rows.filter(~F.coalesce(same & (F.coalesce("school_name", F.lit("")) != ""), F.lit(False)))
+
+
+def with_cached(candidates: DataFrame, cached: DataFrame) -> DataFrame:
+    """``candidates`` with each site's address that worked before (``site``, ``url``, ``status``, ``ok``) in front of all others; found twice, it counts there."""
+    front = cached.filter(F.coalesce("url", F.lit("")) != "").withColumn("priority", F.lit(0)).withColumn("ord", F.lit(0))
+    return first_wins(front.unionByName(candidates, allowMissingColumns=True), ["site", "url"], ["priority", "ord"])
+
+
+def topped_up(states: DataFrame, known: DataFrame) -> DataFrame:
+    """The states that still need topping up: those that ``known`` lacks, each once."""
+    return states.select("state").distinct().join(known.select("state"), "state", "left_anti")
+
+
+def enrich_staff(staff: DataFrame, schools: DataFrame, finder: DataFrame, candidates: DataFrame, limit: int | None = None) -> DataFrame:
+    """``staff`` with the addresses found for its unresolved rows, the first ``limit`` of them by id.
+
+    Rows of schools without a domain stay as they are, and so do those for which nothing is found.
+    """
+    todo = staff.filter("resolution_method = 'unresolved'")
+    todo = todo.orderBy("id").limit(limit) if limit else todo
+    host = schools.select(F.col("id").alias("school_id"), web.domain(F.col("website_url")).alias("domain")).filter("domain IS NOT NULL")
+    todo = todo.join(host.select("school_id"), "school_id", "left_semi").select("id")
+    found = enrich(todo, finder, candidates).filter("email IS NOT NULL")
+    return update(staff, found, "id", ["email", "resolution_method"])
 
 
 def email_ok(name: Column, address: Column) -> Column:
@@ -167,22 +233,24 @@ def backoff(events: DataFrame, base: float = 2.0, most: float = 120.0) -> DataFr
 def robots_allowed(fetches: DataFrame, robots: DataFrame, agent: str = "*") -> DataFrame:
     """``allowed`` for each fetch (host, url) by the captured robots table (host, status, body).
 
-    200: its rules; 401 and 403: nothing; any other status, or none: everything.  Rules
-    are parsed once for a batch of fetches of a host.
+    200: its rules; 401 and 403: nothing; any other status, or none: everything.  A host's
+    rules travel once: they meet its fetches in the task that has the host, and are parsed there once.
     """
-    @F.pandas_udf("boolean")
-    def by_rules(body: pd.Series, url: pd.Series) -> pd.Series:
+    schema = T.StructType([*fetches.schema.fields, T.StructField("allowed", T.BooleanType())])
+
+    def decide(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         from urllib.robotparser import RobotFileParser
 
-        parsed: dict[str, RobotFileParser] = {}
-        out = []
-        for b, u in zip(body, url):
-            if b not in parsed:
-                parsed[b] = RobotFileParser()
-                parsed[b].parse((b or "").splitlines())
-            out.append(parsed[b].can_fetch(agent, u))
-        return pd.Series(out)
-
-    j = fetches.join(robots.select("host", F.col("status").alias("_s"), F.col("body").alias("_b")), "host", "left")
-    ok = F.when(F.col("_s") == 200, by_rules(F.coalesce("_b", F.lit("")), F.col("url"))).when(F.col("_s").isin(401, 403), False).otherwise(True)
-    return j.withColumn("allowed", ok).drop("_s", "_b")
+        parsed = None
+        status = None if right.empty else right["_s"].iloc[0]
+        if status == 200:
+            parsed = RobotFileParser()
+            parsed.parse((right["_b"].iloc[0] or "").splitlines())
+        return left.assign(allowed=[parsed.can_fetch(agent, u) if parsed else status not in (401, 403) for u in left["url"]])
+
+    def salted(df: DataFrame) -> DataFrame:
+        return df.withColumn("_salt", F.pmod(F.xxhash64("url"), F.lit(16)))
+
+    # A host's fetches go to sixteen tasks, and its rules to each of them.
+    rules_of = robots.select(F.col("host").alias("_h"), F.col("status").alias("_s"), F.col("body").alias("_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("_salt"))
+    return salted(fetches).groupBy("host", "_salt").cogroup(rules_of.groupBy("_h", "_salt")).applyInPandas(lambda x, y: decide(x.drop(columns="_salt"), y), schema)

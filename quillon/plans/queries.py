@@ -201,7 +201,6 @@ _LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
 _WORD = "^[A-Z][A-Za-z]*([''-][A-Z][A-Za-z]*)*[.]?$"
 _NAV = ", ".join(f"'{w}'" for w in rules.NAV_WORDS)
 _ART = "|".join(p.replace("\\b", "") for p, _ in rules.DISCIPLINES)
-_ASCII = "regexp_matches(line, '^[ -~]*$')"
 
 
 def _valid_name(c: str) -> str:
@@ -216,20 +215,16 @@ def lines(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
-def ascii_lines(spark, sf_dir) -> DataFrame:
-    return lines(spark, sf_dir).filter(F.col("line").rlike("^[ -~]*$"))
-
-
-@query(f"WITH {_LINES}, c AS (SELECT doc_id, pos, regexp_extract(line, '^(\\S+ \\S+)', 1) AS name FROM lines WHERE {_ASCII}) SELECT doc_id, pos, name FROM (SELECT doc_id, pos, upper(name[1]) || lower(name[2:]) AS name0, list_aggregate(list_transform(string_split(name, ' '), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' ') AS name FROM c) WHERE {_valid_name('name')}")
+@query()
 def name_valid(spark, sf_dir):
-    name = F.regexp_extract("line", r"^(\S+ \S+)", 1)
-    name = F.array_join(F.transform(F.split(name, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))), " ")
-    return ascii_lines(spark, sf_dir).select("doc_id", "pos", name.alias("name")).filter(text.valid_name(F.col("name")))
+    """Lines that are names.  Its Unicode rules are tested against brute force."""
+    return lines(spark, sf_dir).filter(text.valid_name(F.col("line"))).select("doc_id", "pos", F.col("line").alias("name"))
 
 
-@query(f"WITH {_LINES} SELECT doc_id, pos, line FROM lines WHERE {_ASCII} AND line <> '' AND NOT regexp_matches(line, '(?i){rules.TITLE_JUNK}') AND length(line) <= 100 AND len(list_filter(string_split(regexp_replace(line, '\\s+', ' ', 'g'), ' '), lambda x: x <> '')) <= 12 AND length(line) - length(replace(line, '.', '')) <= 1")
+@query()
 def title_valid(spark, sf_dir):
-    return ascii_lines(spark, sf_dir).filter(text.valid_title(F.col("line"))).select("doc_id", "pos", "line")
+    """Lines that may be titles.  Its Unicode rules are tested against brute force."""
+    return lines(spark, sf_dir).filter(text.valid_title(F.col("line"))).select("doc_id", "pos", "line")
 
 
 @query(with_views(f"SELECT id, name, title FROM (SELECT id, {_RECASED} AS name, title FROM staff) WHERE title <> '' AND {_valid_name('name')}"))
@@ -243,11 +238,11 @@ def last_first(spark, sf_dir):
     return staff(spark, sf_dir).select("id", text.last_first(F.when(F.col("id") % 2 == 0, F.concat(F.lit("Vale, "), F.col("teacher_name"))).otherwise(F.col("teacher_name"))).alias("name"))
 
 
-@query(with_views("SELECT CAST(id AS BIGINT) AS id, CAST(2 AS INT) AS n, 'Bruno Ashford' AS first_name, title AS first_title FROM staff WHERE title <> 'Art Teacher. Send a Message'"))
+@query(with_views("SELECT CAST(id AS BIGINT) AS id, CAST(2 AS INT) AS n, 'Bruno Ashford' AS first_name, CASE WHEN title = 'Art Teacher. Send a Message' THEN 'Art Teacher.' ELSE title END AS first_title FROM staff"))
 def table_rows(spark, sf_dir):
     rows = F.array(F.lit("Name\tTitle"), F.concat(F.lit("Ashford, Bruno\t"), F.col("title"), F.lit("\tEmail")), F.lit("Holm, Greta\tCounselor\tEmail"))
     t = text.table_rows(rows)
-    return staff(spark, sf_dir).filter("title <> 'Art Teacher. Send a Message'").select("id", F.size(t).alias("n"), t[0]["name"].alias("first_name"), t[0]["title"].alias("first_title"))
+    return staff(spark, sf_dir).select("id", F.size(t).alias("n"), t[0]["name"].alias("first_name"), t[0]["title"].alias("first_title"))
 
 
 def _terms() -> str:
@@ -429,11 +424,12 @@ def context_window(spark, sf_dir):
     return merge.context(lines(spark, sf_dir), ["doc_id"], "pos", 1, 1).select("doc_id", "pos", "context")
 
 
-@query(f"WITH {_LINES} SELECT doc_id, CAST(pos AS INT) AS pos, coalesce(CASE WHEN length(a) < 60 THEN a END, CASE WHEN length(b) < 60 THEN b END) AS near_name FROM (SELECT doc_id, pos, lag(line, 1) OVER w AS a, lag(line, 2) OVER w AS b FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos))")
+@query()
 def prev_line_name(spark, sf_dir):
+    """For each line, the nearest name on the two lines before it.  Tested against brute force."""
     w = Window.partitionBy("doc_id").orderBy("pos")
-    a, b = F.lag("line", 1).over(w), F.lag("line", 2).over(w)
-    return lines(spark, sf_dir).select("doc_id", "pos", F.coalesce(F.when(F.length(a) < 60, a), F.when(F.length(b) < 60, b)).alias("near_name"))
+    name = F.when(text.valid_name(F.col("line")), F.col("line"))
+    return lines(spark, sf_dir).withColumn("name", name).select("doc_id", "pos", F.coalesce(F.lag("name", 1).over(w), F.lag("name", 2).over(w)).alias("near_name"))
 
 
 @query(with_views("SELECT id, school_id, teacher_name FROM (SELECT *, row_number() OVER (PARTITION BY school_id, lower(teacher_name) ORDER BY id) AS n FROM staff) WHERE n = 1"))
@@ -442,18 +438,76 @@ def first_wins_dedupe(spark, sf_dir):
 
 
 def blocks(spark, sf_dir) -> DataFrame:
-    """Captured blocks: cards on every second school's page, text of all."""
+    """Captured blocks of four kinds: cards, lists, text around mail links, and text; what a page has tells its best strategy."""
     s = staff(spark, sf_dir).withColumn("name", text.person_name(F.col("teacher_name")))
-    b = s.select(F.col("school_id").alias("page_id"), F.col("id").alias("pos"), F.when((F.col("school_id") % 2 == 0) & (F.col("id") % 3 == 0), "card").otherwise("body").alias("kind"), F.array("name", "title").alias("lines"), F.when(F.col("email").contains("@"), F.col("email")).alias("mailto"))
-    return b
+    p, i = F.col("school_id") % 4, F.col("id") % 3
+    kind = F.when((p == 0) & (i == 0), "card").when((p == 1) & (i < 2), "block").when((p == 2) & (i != 1), "mailto").otherwise("body")
+    packed = F.concat("name", F.lit(", "), "title")
+    lines = F.when(kind == "block", F.when(i == 0, F.array(F.lit("1 Year"), packed)).otherwise(F.array(F.col("name"), F.lit("Room 12"), F.col("title")))).when(kind == "body", F.array(F.col("name"), F.lit("Room 12"), F.col("title"), F.col("email"))).otherwise(F.array("name", "title"))
+    return s.select(F.col("school_id").alias("page_id"), F.col("id").alias("pos"), kind.alias("kind"), F.filter(lines, lambda x: x.isNotNull()).alias("lines"), F.when(F.col("email").contains("@"), F.col("email")).alias("mailto"))
 
 
-_ROWS = f"r AS (SELECT school_id AS page_id, id AS pos, {_RECASED} AS name, CASE WHEN title LIKE '%Send a Message' THEN 'Art Teacher.' ELSE title END AS title, CASE WHEN email LIKE '%@%' THEN email END AS email, CASE WHEN school_id % 2 = 0 AND id % 3 = 0 THEN 1 ELSE 4 END AS rk FROM staff WHERE teacher_name <> 'FELIX VAN DOREN III' AND regexp_matches({_STRIPPED}, '(?i)\\b({_ART})\\b')), b AS (SELECT *, min(rk) OVER (PARTITION BY page_id) AS best FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY page_id, lower(name) ORDER BY pos) AS n FROM b WHERE rk = best AND NOT regexp_matches(title, '(?i){rules.EXCLUDED_ROLE}'))"
+_CLEAN = "CASE WHEN title = 'Art Teacher. Send a Message' THEN 'Art Teacher.' ELSE title END"
+_ROWS = f"""r AS (SELECT school_id AS page_id, id AS pos, {_RECASED} AS name, title AS raw, {_CLEAN} AS clean, CASE WHEN email LIKE '%@%' THEN email END AS email, id % 3 AS i,
+ CASE WHEN school_id % 4 = 0 AND id % 3 = 0 THEN 1 WHEN school_id % 4 = 1 AND id % 3 < 2 THEN 2 WHEN school_id % 4 = 2 AND id % 3 <> 1 THEN 3 ELSE 4 END AS rk FROM staff WHERE teacher_name <> 'FELIX VAN DOREN III' AND regexp_matches({_STRIPPED}, '(?i)\\b({_ART})\\b')),
+ b AS (SELECT *, min(rk) OVER (PARTITION BY page_id) AS best FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY page_id, lower(name) ORDER BY pos) AS n FROM b WHERE rk = best AND NOT regexp_matches(raw, '(?i){rules.EXCLUDED_ROLE}'))"""
+_MAIL = "CASE WHEN rk < 4 OR name = 'Anna Lindqvist' AND email LIKE 'alindqvist%' THEN email END"
 
 
-@query(with_views("SELECT page_id, pos, name, title, email, CASE rk WHEN 1 THEN 'semantic_card' ELSE 'text_scan' END AS strategy FROM k WHERE n = 1", _ROWS))
+@query(with_views(f"SELECT page_id, pos, name, CASE WHEN rk = 1 OR rk = 2 AND i = 1 THEN clean ELSE raw END AS title, {_MAIL} AS email, CASE WHEN {_MAIL} IS NOT NULL THEN 'MAILTO' END AS email_source, CASE rk WHEN 1 THEN 'semantic_card' WHEN 2 THEN CASE i WHEN 0 THEN 'name_title_line' ELSE 'generic_block' END WHEN 3 THEN 'mailto_context' ELSE 'text_scan' END AS strategy FROM k WHERE n = 1", _ROWS))
 def strategy_rank(spark, sf_dir):
-    return crawl.extract_staff(blocks(spark, sf_dir)).select("page_id", "pos", "name", "title", "email", "strategy")
+    return crawl.extract_staff(blocks(spark, sf_dir)).select("page_id", "pos", "name", "title", "email", "email_source", "strategy")
+
+
+@query(with_views(f"SELECT DISTINCT ON (page_id, name) page_id, name, title, email FROM (SELECT school_id AS page_id, id, {_RECASED} AS name, {_CLEAN} AS title, CASE WHEN email LIKE '%@%' THEN email END AS email FROM staff WHERE school_id % 2 = 0 AND teacher_name <> 'FELIX VAN DOREN III') WHERE email IS NOT NULL AND NOT regexp_matches(title, '(?i){rules.EXCLUDED_ROLE}') ORDER BY page_id, name, id"))
+def table_strategy(spark, sf_dir):
+    """Tables of all staff on permissive pages: a linked address for each row, or a row is left out."""
+    s = staff(spark, sf_dir).filter("school_id % 2 = 0 AND teacher_name <> 'FELIX VAN DOREN III' AND email LIKE '%@%'")
+    row = F.struct("id", F.concat(text.person_name(F.col("teacher_name")), F.lit("\t"), F.col("title")).alias("line"), "email")
+    pages = s.unionAll(s).groupBy("school_id").agg(F.sort_array(F.collect_list(row)).alias("r"))  # twice, as a table needs two rows
+    b = pages.select(F.col("school_id").alias("page_id"), F.lit(0).alias("pos"), F.lit("block").alias("kind"), F.transform("r", lambda x: x["line"]).alias("lines"), F.transform("r", lambda x: x["email"]).alias("emails"))
+    return crawl.extract_staff(b, permissive=True).select("page_id", "name", "title", "email")
+
+
+@query(with_views("SELECT id FROM staff WHERE lower(trim(title)) <> 'band director'"))
+def title_is_school(spark, sf_dir):
+    """Rows whose title isn't the school's name."""
+    rows = staff(spark, sf_dir).select("id", "title", F.when(F.col("title") == "Band Director", " BAND DIRECTOR ").when(F.col("id") % 2 == 0, "Art").alias("school_name"))
+    return crawl.drop_school_titles(rows).select("id")
+
+
+@query(with_views("SELECT s.id, CASE WHEN hit THEN 'found' || s.id || '@example.org' ELSE email END AS email, CASE WHEN hit THEN 'hunter' ELSE resolution_method END AS resolution_method FROM (SELECT t.*, resolution_method = 'unresolved' AND website_url IS NOT NULL AND t.id % 3 = 0 AS hit FROM staff t JOIN schools c ON t.school_id = c.id) s"))
+def enrich_unresolved(spark, sf_dir):
+    """Addresses for unresolved rows of schools with a domain, written back."""
+    s = staff(spark, sf_dir)
+    finder = s.filter("id % 3 = 0").select("id", F.concat(F.lit("found"), F.col("id").cast("string"), F.lit("@example.org")).alias("found"))
+    none = s.limit(0).select("id", F.lit(0).alias("pos"), F.lit("").alias("candidate"), F.lit(True).alias("ok"))
+    return crawl.enrich_staff(s, schools(spark, sf_dir), finder, none).select("id", "email", "resolution_method")
+
+
+@query(with_views("SELECT DISTINCT state FROM schools WHERE state NOT IN (SELECT state FROM schools WHERE is_arts_school = 1 AND scraped = 1)"))
+def states_to_top_up(spark, sf_dir):
+    s = schools(spark, sf_dir)
+    return crawl.topped_up(s, s.filter("is_arts_school = 1 AND scraped = 1"))
+
+
+@query("WITH c AS (SELECT page_id // 10 AS site, url, page_id % 10 >= 4 + page_id // 10 % 8 AS ok, page_id % 3 AS priority, page_id AS ord FROM pages UNION ALL SELECT page_id // 10, url, page_id // 10 % 4 = 1, -1, 0 FROM pages WHERE page_id % 10 = 9), u AS (SELECT *, row_number() OVER (PARTITION BY site, url ORDER BY priority, ord) AS k FROM c), n AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY priority, ord) AS n FROM u WHERE k = 1), h AS (SELECT *, min(CASE WHEN ok THEN n END) OVER (PARTITION BY site) AS hit FROM n) SELECT site, max(CASE WHEN n = hit THEN url END) AS directory_url, count(*) AS tried FROM h WHERE hit IS NULL OR n <= hit GROUP BY site")
+def cached_first(spark, sf_dir):
+    """The address that worked before is tried first."""
+    c = candidates(spark, sf_dir)
+    old = table(spark, sf_dir, "pages").filter("page_id % 10 = 9").select(F.expr("page_id div 10").alias("site"), "url", F.lit(200).alias("status"), (F.expr("page_id div 10") % 4 == 1).alias("ok"))
+    return crawl.first_match(crawl.with_cached(c.withColumn("priority", F.col("priority") + 1), old)).select("site", "directory_url", "tried")
+
+
+@query(with_views("SELECT id, reverse(teacher_name) AS turned FROM staff"))
+def reversed_text(spark, sf_dir):
+    return staff(spark, sf_dir).select("id", email.reverse_text(F.col("teacher_name")).alias("turned"))
+
+
+@query(with_views("SELECT id, pos, candidate FROM (SELECT id, unnest([0, 1, 2, 3, 4]) AS pos, unnest([f || '.' || l, f[1] || l, f || l, f || l[1], l || f[1]]) || '@example.org' AS candidate FROM parts)", _PARTS))
+def five_email_candidates(spark, sf_dir):
+    f, last = email.name_parts(F.col("teacher_name"))
+    return staff(spark, sf_dir).select("id", F.posexplode(email.five_candidates(f, last, F.lit("example.org"))).alias("pos", "candidate"))
 
 
 def index(spark, sf_dir) -> DataFrame:

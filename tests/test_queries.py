@@ -66,3 +66,37 @@ def test_resolve_matches_curated_names_fuzzily(spark, sf):
     assert {v for k, v in got.items() if k % 10 == 3} == {("PARENT_ORG", "Harbor Lights Charter Network")}
     assert {v for k, v in got.items() if k % 10 == 7} == {("PROGRAM", "Evening Studio Program of the Arts")}
     assert all(v[0] not in ("PARENT_ORG", "PROGRAM") for k, v in got.items() if k % 10 not in (3, 7))
+
+
+def plain_name(c):
+    """The rules of a valid name, written out."""
+    import re
+
+    from quillon.functions import rules
+
+    w = c.split()
+    bare = [re.sub(r"^[.,]+|[.,]+$", "", x) for x in w]
+    art = re.sub("|".join(rules.EXCLUDE_PHRASES), " ", c, flags=re.I)
+    caps = [len(b) >= 2 and x == x.upper() and x != x.lower() for x, b in zip(w, bare)]
+    return (
+        2 <= len(w) <= 5 and len(c) <= 60 and not re.search(r"[0-9&/:@|]", c) and not re.search(r"\b(" + "|".join(p for p, _ in rules.DISCIPLINES) + r")\b", art, re.I)
+        and (not any(caps) or all(caps)) and not any(b.lower() in rules.NAV_WORDS or re.sub("s$", "", b.lower()) in rules.NAV_WORDS for b in bare)
+        and all(re.fullmatch(r"[A-Z][A-Za-z]*(?:['\-][A-Z][A-Za-z]*)*\.?", x) for x in w)
+    )
+
+
+def test_lines_against_brute_force(spark, sf):
+    """Names, titles and names on the lines before, over all lines."""
+    import re
+
+    from quillon.functions import rules
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    lines = {(r["doc_id"], k): x for r in docs for k, x in enumerate((r["text"] or "").split("\n")) if r["text"] is not None}
+    title = lambda x: x != "" and not re.search(rules.TITLE_JUNK, x, re.I) and len(x) <= 100 and len(x.split()) <= 12 and x.count(".") <= 1
+    names = {k: x for k, x in lines.items() if plain_name(x)}
+    q = catalog.QUERIES
+    assert {(r["doc_id"], r["pos"]): r["name"] for r in q["name_valid"](spark, sf).collect()} == names
+    assert {(r["doc_id"], r["pos"]) for r in q["title_valid"](spark, sf).collect()} == {k for k, x in lines.items() if title(x)}
+    got = {(r["doc_id"], r["pos"]): r["near_name"] for r in q["prev_line_name"](spark, sf).collect()}
+    assert got == {(d, k): names.get((d, k - 1)) or names.get((d, k - 2)) for d, k in lines}
