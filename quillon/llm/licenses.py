@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import store
+from quillon.llm.store import small, unused
 
 # Notices by license.
 TEMPLATES = {
@@ -64,33 +65,40 @@ TEXTS = {
     "MPL-2.0": ("Mozilla Public License Version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     "LGPL-2.1": ("GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", "GNU Lesser General Public License Version 2.1", _FSF.format("library", ";", "Lesser General Public License", "2.1"), " ".join((_FSF.format("library", ";", "Lesser General Public License", "2.1"), _FSF_END.format("library", "Lesser General Public License")))),
 }
+# Identifiers as they stand in source files, as one word (see ``tokens``).
+SPDX = {"Apache-2.0": ("apache20",), "MIT": ("mit",), "GPL-3.0": ("gpl30", "gpl30only", "gpl30orlater"), "CC-BY-NC-4.0": ("ccbync40",), "CC-BY-4.0": ("ccby40",), "BSD-3-Clause": ("bsd3clause",), "MPL-2.0": ("mpl20",), "LGPL-2.1": ("lgpl21", "lgpl21only", "lgpl21orlater")}
+SPDX_TAG = r"(?i)spdx-license-identifier:[ \t]*([a-z0-9]+)[-.+]?([a-z0-9]*)[-.+]?([a-z0-9]*)[-.+]?([a-z0-9]*)[-.+]?([a-z0-9]*)[-.+]?([a-z0-9]*)"
 LICENSE_FILE = r"(?i)(?:^|/)(?:licen[cs]e|copying|notice)(?:\.[a-z]+)?$"
 LEAST = 0.7
-#: Tables of at most this many rows are broadcast (some tens of MB).
-SMALL = 500_000
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of ASCII letters and digits."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    """Lower-case runs of ASCII letters and digits; an SPDX tag with its identifier is one word."""
+    plain = F.when(F.contains(F.lower(text), F.lit("spdx-")), F.regexp_replace(text, SPDX_TAG, "spdx$1$2$3$4$5$6 ")).otherwise(text)
+    return F.filter(F.split(F.lower(plain), "[^a-z0-9]+"), lambda w: w != "")
 
 
 def windows(text: Column) -> Column:
-    """The lines of a text, each two and three neighbouring ones, and the blocks between empty lines."""
+    """The lines of a text, each two and three neighbouring ones, and the blocks between empty lines; shorter ones at the end."""
     lines = F.split(text, "\n")
-    some = lambda n: F.when(F.size(lines) >= n, F.transform(F.sequence(F.lit(1), F.size(lines) - (n - 1)), lambda i: F.array_join(F.slice(lines, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    return F.concat(lines, some(2), some(3), F.split(text, "\n(?:[^A-Za-z0-9\n]*\n)+"))
+    after = lambda x, n: F.zip_with(x, F.slice(lines, n, F.greatest(F.size(lines), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+    two = after(lines, 2)
+    return F.concat(lines, two, after(two, 3), F.split(text, "\n(?:[^A-Za-z0-9\n]*\n)+"))
 
 
-def vectors(df: dict[str, int], n: int, templates: dict[str, str]) -> tuple[dict[str, float], float, dict[str, dict[str, float]]]:
-    """Weights of the templates' words, the weight of a word that no file has, and unit vectors of the templates."""
+def vectors(df: dict[str, int], n: int, templates: dict[str, str]) -> tuple[dict[str, float], dict[str, dict[str, float]]]:
+    """Weights of the templates' words, and unit vectors of the templates.
+
+    A word that stands ``m`` times counts as 1 + ln(m), so that texts aren't told by their articles.
+    """
     count = {k: Counter(re.findall("[a-z0-9]+", t.lower())) for k, t in templates.items()}
     idf = {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for c in count.values() for w in c}
     unit = {}
     for k, c in count.items():
-        norm = math.sqrt(sum((m * idf[w]) ** 2 for w, m in c.items()))
-        unit[k] = {w: m * idf[w] / norm for w, m in c.items()}
-    return idf, math.log(1 + n) + 1, unit
+        x = {w: (1 + math.log(m)) * idf[w] for w, m in c.items()}
+        norm = math.sqrt(sum(y * y for y in x.values()))
+        unit[k] = {w: y / norm for w, y in x.items()}
+    return idf, unit
 
 
 def needed(unit: dict[str, dict[str, float]], least: float) -> list[str]:
@@ -106,17 +114,9 @@ def needed(unit: dict[str, dict[str, float]], least: float) -> list[str]:
     return sorted(out)
 
 
-def reach(unit: dict[str, dict[str, float]], vocabulary: list[str], w: Column) -> Column:
-    """The square of the greatest cosine that a text of the words ``w`` can have to any template: the share of the template that it holds."""
-    # One literal, which the optimizer reads once.
-    share = F.from_json(F.lit(json.dumps({x: [v.get(x, 0.0) ** 2 for v in unit.values()] for x in vocabulary})), "map<string,array<double>>")
-    held = F.array_intersect(w, F.array(*map(F.lit, vocabulary)))
-    return F.array_max(F.aggregate(held, F.array_repeat(F.lit(0.0), len(unit)), lambda a, x: F.zip_with(a, F.element_at(share, x), lambda p, q: p + q)))
-
-
-def _table(spark: SparkSession, rows: list[Column]) -> DataFrame:
-    """A small table of literal rows."""
-    return spark.range(1).select(F.inline(F.array(*rows)))
+def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table of given rows, as one literal that the optimizer reads once."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
 def matches(files: DataFrame, least: float = LEAST, templates: dict[str, str] | None = None) -> DataFrame:
@@ -125,7 +125,10 @@ def matches(files: DataFrame, least: float = LEAST, templates: dict[str, str] |
     Ties go to the license that comes first by name.
     """
     # Templates by license and number.
-    templates = {f"{k}\t{i}": t for k in (templates or TEMPLATES) for i, t in enumerate([(templates or TEMPLATES)[k], *(() if templates else TEXTS[k])])}
+    if templates:
+        templates = {f"{k}\t0": t for k, t in templates.items()}
+    else:
+        templates = {f"{k}\t{i}": t for k in TEMPLATES for i, t in enumerate([TEMPLATES[k], *TEXTS[k], *(f"spdx{x}" for x in SPDX[k])])}
     spark = files.sparkSession
     vocabulary = sorted({w for t in templates.values() for w in re.findall("[a-z0-9]+", t.lower())})
     # One row for each word of the files, and one for their number.
@@ -133,23 +136,36 @@ def matches(files: DataFrame, least: float = LEAST, templates: dict[str, str] |
     counts = store.materialize(files.select(F.explode(held).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "license-words")
     df = {r["term"]: r["df"] for r in counts.filter(F.col("term").isin("", *vocabulary)).collect()}
     n = df.pop("", 0)
-    _, _, unit = vectors(df, n, templates)
+    idf, unit = vectors(df, n, templates)
     must = F.array(*map(F.lit, needed(unit, least)))
-    # Below this no cosine can reach the threshold; the margin is for rounding.
-    near = lambda w: F.arrays_overlap(w, must) & (reach(unit, vocabulary, w) >= least * least - 1e-6)
     whole = F.when(F.col("path").rlike(LICENSE_FILE), F.array(F.col("text"))).otherwise(F.array().cast("array<string>"))
-    part = files.filter(near(tokens(F.col("text")))).select("path", F.posexplode(F.concat(windows(F.col("text")), whole)).alias("k", "line"))
-    part = part.select("path", "k", tokens(F.col("line")).alias("w")).filter(near(F.col("w")))
-    words = store.materialize(part.select("path", "k", F.explode("w").alias("term")).groupBy("path", "k", "term").agg(F.count("*").alias("tf")), "license-lines")
-    idf = store.materialize(counts.join(words.select("term").distinct(), "term", "left_semi").select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")), "license-weights")
+    some = files.filter(F.arrays_overlap(tokens(F.col("text")), must))
+    part = some.select("path", F.posexplode(F.array_distinct(F.concat(windows(F.col("text")), whole))).alias("k", "line"))
+    part = part.select("path", "k", tokens(F.col("line")).alias("w")).filter(F.arrays_overlap("w", must))
+    # ``words`` is counted here, as beside a generator it would be counted for each row that this makes.
+    part = store.materialize(part.withColumn("words", F.size(F.array_distinct("w"))), "license-parts")
+    # The products with the templates need the templates' words alone, so they are exact.
+    # Rows of the template "" gather a text's own length.
+    entries = [{"term": w, "template": k, "y": x} for k, v in unit.items() for w, x in v.items()] + [{"term": w, "template": "", "y": 0.0} for w in idf]
+    entries = _table(spark, [e | {"idf": idf[e["term"]]} for e in entries], "term:string,template:string,y:double,idf:double")
+    # Broadcast: the templates' words, here and below.
+    said = part.select("path", "k", "words", F.explode("w").alias("term")).join(F.broadcast(entries.select("term").distinct()), "term", "left_semi")
+    said = said.groupBy("path", "k", "words", "term").agg((1 + F.log(F.count("*").cast("double"))).alias("tf"))
+    x = F.col("tf") * F.col("idf")
+    said = said.join(F.broadcast(entries), "term").groupBy("path", "k", "words", "template").agg(F.sum(x * F.when(F.col("template") == "", x).otherwise(F.col("y"))).alias("dot"), F.count("*").alias("held"))
+    own = lambda c: F.max(F.when(F.col("template") == "", F.col(c)))
+    said = said.groupBy("path", "k", "words").agg(own("dot").alias("square"), own("held").alias("held"), F.max(F.when(F.col("template") != "", F.col("dot"))).alias("most"), F.collect_list(F.when(F.col("template") != "", F.struct("template", "dot"))).alias("dots"))
+    # In a text's length its other words count 1 at least; what is below the threshold even so can't reach it.  The margin is for rounding.
+    said = store.materialize(said.filter(F.col("most") >= (least - 1e-6) * F.sqrt(F.col("square") + F.col("words") - F.col("held"))), "license-bounds")
+    rest = part.join(small(said.select("path", "k")), ["path", "k"], "left_semi").select("path", "k", F.explode("w").alias("term"))
+    rest = store.materialize(rest.filter(~F.col("term").isin(vocabulary)).groupBy("path", "k", "term").agg((1 + F.log(F.count("*").cast("double"))).alias("tf")), "license-lines")
+    terms = store.materialize(rest.select("term").distinct(), "license-terms")
+    weights = store.materialize(counts.join(small(terms), "term", "left_semi").select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")), "license-weights")
     weight = F.col("tf") * F.col("idf")
-    norm = words.join(small(idf), "term").groupBy("path", "k").agg(F.sqrt(F.sum(weight * weight)).alias("length"), F.collect_list(F.when(F.col("term").isin(vocabulary), F.struct("term", weight.alias("x")))).alias("v"))
-    entries = _table(spark, [F.struct(F.lit(k).alias("template"), F.lit(w).alias("term"), F.lit(x).alias("y")) for k, v in unit.items() for w, x in v.items()])
-    flat = norm.select("path", "k", "length", F.explode("v").alias("e")).select("path", "k", "length", "e.term", "e.x")
-    cosine = F.round(F.sum(F.col("x") * F.col("y")) / F.first("length"), 6)
-    scored = flat.join(F.broadcast(entries), "term").groupBy("path", "k", "template").agg(cosine.alias("cosine")).filter(F.col("cosine") >= least)
-    scored = scored.withColumn("license", F.substring_index("template", "\t", 1))
-    best = scored.groupBy("path", "license").agg(F.max("cosine").alias("cosine"))
+    more = rest.join(small(weights), "term").groupBy("path", "k").agg(F.sum(weight * weight).alias("more"))
+    scored = said.join(more, ["path", "k"], "left").select("path", F.sqrt(F.col("square") + F.coalesce("more", F.lit(0.0))).alias("length"), F.explode("dots").alias("t"))
+    cosine = F.round(F.col("t.dot") / F.col("length"), 6)
+    best = scored.select("path", F.substring_index("t.template", "\t", 1).alias("license"), cosine.alias("cosine")).filter(F.col("cosine") >= least).groupBy("path", "license").agg(F.max("cosine").alias("cosine"))
     return best.groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b")).select("path", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
 
 
@@ -178,11 +194,8 @@ def scan(files: DataFrame, least: float = LEAST, templates: dict[str, str] | Non
     near = ups.join(small(given), "up").groupBy("dir").agg(F.max(F.struct("depth", "l", "c", "up")).alias("g")).select("dir", "g.l", "g.c", "g.up")
     near = store.materialize(near, "license-inheritance")
     rest = [c for c in files.columns if c not in ("text", "license", "cosine", "origin")]
-    mine = own.select(F.col("path").alias("__path"), F.col("license").alias("__l"), F.col("cosine").alias("__c"))
-    out = files.select(*rest, directory(F.col("path")).alias("__dir")).join(mine, F.col("path") == F.col("__path"), "left").join(small(near.select(*[F.col(c).alias(f"__up_{c}") for c in near.columns])), F.col("__dir") == F.col("__up_dir"), "left")
-    return out.select(*rest, F.coalesce("__l", "__up_l").alias("license"), F.coalesce("__c", "__up_c").alias("cosine"), F.when(F.col("__l").isNotNull(), "own").otherwise(F.col("__up_up")).alias("origin"))
-
-
-def small(df: DataFrame) -> DataFrame:
-    """A broadcast of a table whose size is checked; a large one is left to a shuffle."""
-    return F.broadcast(df) if df.count() <= SMALL else df
+    p, d, m, u = (unused(files.columns, x) for x in ("own_path", "directory", "own_match", "inherited"))
+    mine = own.select(F.col("path").alias(p), F.struct("license", "cosine").alias(m))
+    ups = near.select(F.col("dir").alias(f"{u}_dir"), F.struct("l", "c", "up").alias(u))
+    out = files.select(*rest, directory(F.col("path")).alias(d)).join(mine, F.col("path") == F.col(p), "left").join(small(ups), F.col(d) == F.col(f"{u}_dir"), "left")
+    return out.select(*rest, F.coalesce(f"{m}.license", f"{u}.l").alias("license"), F.coalesce(f"{m}.cosine", f"{u}.c").alias("cosine"), F.when(F.col(m).isNotNull(), "own").otherwise(F.col(f"{u}.up")).alias("origin"))
