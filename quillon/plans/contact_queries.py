@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import email, rules, text, web
-from quillon.operators import contacts, crawl, merge, upsert
-from quillon.plans.queries import _RECASED, query
+from quillon.operators import contacts, crawl, merge, reads, upsert
+from quillon.plans.queries import _RECASED, GROUPED, query
 from quillon.plans.views import schools, staff, table, with_views
 from quillon.sources import sinks
+from quillon.streaming import ingest
 
 
 def people(spark, sf_dir) -> DataFrame:
@@ -114,3 +115,62 @@ def push_payloads(spark, sf_dir):
     s = schools(spark, sf_dir)
     r = staff(spark, sf_dir).filter("id % 3 = 0").join(s.select(F.col("id").alias("school_id"), "nces_id"), "school_id").select("nces_id", F.col("id").alias("pos"), F.col("teacher_name").alias("name"), "title")
     return sinks.payloads(s.withColumnRenamed("scrape_status", "status"), r)
+
+
+def payloads_of(rows: DataFrame, ord: int) -> DataFrame:
+    """Payloads of rows with ``nces_id``, ``school_name``, ``state``, ``status``, ``directory_url`` and ``records``."""
+    doc = F.struct(F.struct("nces_id", "school_name", F.lower("state").alias("state")).alias("school"), "status", "directory_url", F.struct(F.lit("SCHOOL").alias("entity_type"), (F.col("status") != "OK").alias("needs_human_review")).alias("resolution"), "records")
+    return rows.select(F.from_json(F.to_json(doc), ingest.PAYLOAD).alias("p"), F.col("nces_id").alias("n")).select("p.*", F.struct(F.lit(ord).alias("batch"), "n").alias("ord"))
+
+
+def batches(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Two batches of payloads: of every second school, and of every third under another name."""
+    s = schools(spark, sf_dir)
+    people = staff(spark, sf_dir).groupBy("school_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("id", F.col("teacher_name").alias("name"), "title", "email"))), lambda x: x.dropFields("id")).alias("records"))
+    s = s.join(people, s["id"] == people["school_id"], "left")
+    one = s.filter("id % 2 = 0").select("nces_id", "school_name", "state", F.lit("OK").alias("status"), F.col("website_url").alias("directory_url"), "records")
+    two = s.filter("id % 3 = 0").select(F.concat(F.lit(" "), "nces_id", F.lit(" ")).alias("nces_id"), F.concat("school_name", F.lit(" X")).alias("school_name"), "state", F.lit("TIMEOUT").alias("status"), F.lit("https://two.example.org").alias("directory_url"), "records")
+    return payloads_of(one, 1), payloads_of(two, 2)
+
+
+@query(with_views("SELECT nces_id, CASE WHEN id % 2 = 0 THEN school_name ELSE school_name || ' X' END AS school_name, upper(state) AS state, CASE WHEN id % 3 = 0 THEN 'TIMEOUT' ELSE 'OK' END AS status, CASE WHEN id % 3 = 0 THEN 'https://two.example.org' ELSE website_url END AS directory_url, CAST(1 AS INT) AS scraped, CASE WHEN id % 3 = 0 THEN 'TIMEOUT' ELSE 'OK' END AS scrape_status, CAST(CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS INT) AS needs_human_review, '[]' AS paths_attempted FROM schools WHERE id % 2 = 0 OR id % 3 = 0"))
+def school_upsert(spark, sf_dir):
+    """Schools after two batches: names are those of the first payload, the state of the crawl that of the last."""
+    one, two = batches(spark, sf_dir)
+    have = ingest.merge_schools(spark.createDataFrame([], "nces_id string"), one)
+    return ingest.merge_schools(have, two).select("nces_id", "school_name", "state", "status", "directory_url", "scraped", "scrape_status", "needs_human_review", "paths_attempted")
+
+
+@query(with_views(f"SELECT nces_id, teacher_name, title, resolution_method FROM (SELECT nces_id, {_RECASED} AS teacher_name, title, CASE WHEN coalesce(email, '') = '' THEN 'unresolved' WHEN email LIKE 'http%' THEN 'send_message_button' ELSE 'scraped' END AS resolution_method, row_number() OVER (PARTITION BY school_id, {_RECASED} ORDER BY t.id) AS n FROM staff t JOIN schools s ON t.school_id = s.id WHERE s.id % 2 = 0 OR s.id % 3 = 0) WHERE n = 1"))
+def staff_upsert(spark, sf_dir):
+    """Staff after two batches: the first of each school and name."""
+    one, two = batches(spark, sf_dir)
+    now = F.lit("2024-05-01T00:00:00+00:00")
+    have = ingest.merge_staff(spark.createDataFrame([], "nces_id string"), one, now)[0]
+    return ingest.merge_staff(have, two, now)[0].select("nces_id", "teacher_name", "title", "resolution_method")
+
+
+@query(with_views(f"SELECT nces_id, count(*) AS saved FROM (SELECT DISTINCT nces_id, {_RECASED} AS teacher_name FROM staff t JOIN schools s ON t.school_id = s.id WHERE s.id % 2 <> 0 AND s.id % 3 = 0) GROUP BY nces_id"))
+def staff_saved(spark, sf_dir):
+    """How many rows the second batch adds."""
+    one, two = batches(spark, sf_dir)
+    now = F.lit("2024-05-01T00:00:00+00:00")
+    have = ingest.merge_staff(spark.createDataFrame([], "nces_id string"), one, now)[0]
+    return ingest.merge_staff(have, two, now)[1]
+
+
+@query(with_views("SELECT id, school_name, count(*) OVER () AS total FROM schools WHERE state = 'NATION_4' AND (school_name ILIKE '%s%' OR city ILIKE '%s%' OR district_name ILIKE '%s%') AND website_url IS NOT NULL ORDER BY school_name, id LIMIT 50"))
+def schools_read(spark, sf_dir):
+    rows, total = reads.schools_page(schools(spark, sf_dir), 0, "nation_4", " s ", True)
+    return rows.select("id", "school_name").crossJoin(F.broadcast(total))  # one row
+
+
+@query(with_views("SELECT teacher_name, district_name, state, school_name, total FROM (SELECT *, count(*) OVER () AS total FROM g) ORDER BY state, first_school, teacher_name, district_name LIMIT 50 OFFSET 50", GROUPED.replace("FROM staff t JOIN schools s ON t.school_id = s.id)", "FROM staff t JOIN schools s ON t.school_id = s.id WHERE email <> '' AND added_at >= '2024-03-01' AND (teacher_name ILIKE '%an%' OR school_name ILIKE '%an%' OR city ILIKE '%an%'))", 1)))
+def teachers_read(spark, sf_dir):
+    rows, total = reads.teachers_page(staff(spark, sf_dir), schools(spark, sf_dir), 2, search="an", only_email=True, added="2024-03-01")
+    return rows.select("teacher_name", "district_name", "state", "school_name").crossJoin(F.broadcast(total))  # one row
+
+
+@query(with_views("SELECT teacher_name AS \"Teacher Name\", title AS \"Title\", CASE WHEN resolution_method IN ('send_message_button', 'contact_form') OR email LIKE 'http%' THEN 'contact on website' ELSE coalesce(email, '') END AS \"Email\", coalesce(resolution_method, '') AS \"Contact Method\", school_name AS \"School\", city AS \"City\", state AS \"State\", district_name AS \"District\", coalesce(nullif(directory_url, ''), nullif(website_url, ''), '') AS \"School Website\" FROM g", GROUPED))
+def teachers_sheet(spark, sf_dir):
+    return reads.teachers_sheet(staff(spark, sf_dir), schools(spark, sf_dir))

@@ -69,3 +69,19 @@ def test_stream_is_idempotent(spark, tmp_path):
     t = spark.read.parquet(str(tmp_path / "out" / "staff")).collect()
     assert [(r["nces_id"], r["state"]) for r in s] == [("7", "TX")]
     assert [(r["teacher_name"], r["resolution_method"]) for r in t] == [("Greta Holm", "scraped")]
+
+
+def test_stream_updates_schools(spark, tmp_path):
+    """A later payload changes what a crawl sets, and neither the school's name nor staff that is there."""
+    src = tmp_path / "in"
+    src.mkdir()
+    doc = {"school": {"nces_id": "7", "school_name": "North"}, "status": "TIMEOUT", "records": [{"name": "GRETA HOLM", "title": "Art"}]}
+    later = {"school": {"nces_id": "7", "school_name": "Other"}, "status": "OK", "directory_url": "https://n.example/staff", "resolution": {"entity_type": "SCHOOL", "resolution_confidence": 0.72}, "paths_attempted": [{"url": "u", "status": "403", "rejected_because": None}], "records": [{"name": "Greta Holm", "title": "Band"}, {"name": "hugo marsh", "title": "Art"}]}
+    for k, d in enumerate((doc, later, later)):
+        (src / f"{k}.json").write_text(json.dumps(d) + "\n")
+        ingest.run(spark, str(src), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    s = spark.read.parquet(str(tmp_path / "out" / "schools")).collect()
+    assert [(r["nces_id"], r["school_name"], r["status"], r["scrape_status"], r["scraped"], r["directory_url"], r["entity_type"], r["resolution_confidence"]) for r in s] == [("7", "North", "OK", "OK", 1, "https://n.example/staff", "SCHOOL", 0.72)]
+    assert json.loads(s[0]["paths_attempted"]) == [{"url": "u", "status": "403", "rejected_because": None}]
+    t = spark.read.parquet(str(tmp_path / "out" / "staff")).orderBy("teacher_name").collect()
+    assert [(r["teacher_name"], r["title"], r["email_verified"]) for r in t] == [("Greta Holm", "Art", 0), ("Hugo Marsh", "Art", 0)] and all(r["added_at"] for r in t)
