@@ -85,3 +85,38 @@ def test_stream_updates_schools(spark, tmp_path):
     assert json.loads(s[0]["paths_attempted"]) == [{"url": "u", "status": "403", "rejected_because": None}]
     t = spark.read.parquet(str(tmp_path / "out" / "staff")).orderBy("teacher_name").collect()
     assert [(r["teacher_name"], r["title"], r["email_verified"]) for r in t] == [("Greta Holm", "Art", 0), ("Hugo Marsh", "Art", 0)] and all(r["added_at"] for r in t)
+
+
+def test_html_rows_of_nested_and_open_tables():
+    page = b"<html><table><tr><th>A<th>B &lt;x&gt;<tr><td>1<td>two <table><tr><td>in</td></tr></table> more</td></tr><!-- <tr><td>no</td></tr> --><tr><td> </td></tr></table>"
+    assert list(readers.html_rows(page)) == [["A", "B <x>"], ["in"], ["1", "two  more"]]
+
+
+def test_files_with_different_headers(spark, tmp_path):
+    for k, head in enumerate((["School ID", "School Name"], ["School ID", "City", "STABR", "ST"])):
+        cells = "".join(f"<td>{h}</td>" for h in head)
+        (tmp_path / f"{k}.xls").write_text(f"<html><table><tr>{cells}</tr><tr>" + "".join(f"<td>{k}{i}</td>" for i in range(len(head))) + "</tr></table>")
+    got = readers._table(spark, str(tmp_path / "*.xls"), readers.html_rows)
+    assert sorted(tuple(r[c] for c in ("School ID", "SCH_NAME", "LCITY", "ST")) for r in got.collect()) == [("00", "01", None, None), ("10", None, "11", "12")]
+
+
+def test_two_state_columns(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("NCESSCH,ST,STABR\n1,TX,KS\n2,,KS\n")
+    assert sorted(tuple(r) for r in readers.read_csv(spark, str(tmp_path / "a.csv")).collect()) == [("1", "TX"), ("2", "KS")]
+
+
+def test_zip(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x.csv", "a,b\n")
+        z.writestr("y.csv", '\ufeffNCESSCH,SCH_NAME\n001,"North, ""N"""\n002\n')
+    assert sorted(tuple(r) for r in readers.read_directory(spark, str(tmp_path / "a.zip")).collect()) == [("001", 'North, "N"'), ("002", "")]
+
+
+def test_pdf_without_a_library(spark):
+    df = spark.createDataFrame([("a.pdf", b"no pdf"), ("b.pdf", None)], "path string, content binary")
+    assert {(r["path"], r["text"], r["method"]) for r in readers.pdf_texts(df).collect()} == {("a.pdf", "", "unavailable"), ("b.pdf", "", "unavailable")}
+
+
+def test_reference_index(spark):
+    rows = spark.createDataFrame([("1", "North H.S.", "North ISD", "9", "tx", "Open"), ("2", "South", "S", "8", "TX", "Open "), ("3", "East", "E", "7", "TX", None)], "NCESSCH string, SCH_NAME string, LEA_NAME string, LEAID string, ST string, SY_STATUS_TEXT string")
+    assert sorted((r["nces_id"], r["norm"], r["district_norm"], r["state"]) for r in readers.reference_index(rows).collect()) == [("1", "north h s", "north independent school district", "TX"), ("3", "east", "e", "TX")]
