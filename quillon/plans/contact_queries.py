@@ -7,7 +7,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions import email, rules, text, web
+from quillon.functions import blocks, email, rules, text, web
 from quillon.operators import contacts, crawl, merge, reads, upsert
 from quillon.plans.queries import _RECASED, GROUPED, query
 from quillon.plans.views import schools, staff, table, with_views
@@ -174,3 +174,27 @@ def teachers_read(spark, sf_dir):
 @query(with_views("SELECT teacher_name AS \"Teacher Name\", title AS \"Title\", CASE WHEN resolution_method IN ('send_message_button', 'contact_form') OR email LIKE 'http%' THEN 'contact on website' ELSE coalesce(email, '') END AS \"Email\", coalesce(resolution_method, '') AS \"Contact Method\", school_name AS \"School\", city AS \"City\", state AS \"State\", district_name AS \"District\", coalesce(nullif(directory_url, ''), nullif(website_url, ''), '') AS \"School Website\" FROM g", GROUPED))
 def teachers_sheet(spark, sf_dir):
     return reads.teachers_sheet(staff(spark, sf_dir), schools(spark, sf_dir))
+
+
+def school_pages(spark, sf_dir) -> DataFrame:
+    """A page of each school: cards with mail links, contact links or encoded addresses, or rows of a list, after the menu of a test page."""
+    s = staff(spark, sf_dir).filter("teacher_name <> 'FELIX VAN DOREN III'").withColumn("name", text.person_name(F.col("teacher_name")))
+    link = F.when(F.col("email").startswith("http"), F.format_string('<a href="%s">Send a Message</a>', "email")).when(F.col("email").contains("@"), F.format_string('<a href="mailto:%s">mail</a>', "email")).otherwise("")
+    card = F.format_string('<div class="staff-card"><div><h3 class="person-name">%s</h3><p class="job-title">%s</p></div>%s</div>', "name", "title", link)
+    row = F.format_string("<li>%s, %s %s</li>", "name", "title", link)
+    parts = s.groupBy("school_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", F.when(F.col("school_id") % 2 == 0, card).otherwise(row).alias("x")))), lambda y: y["x"]), "").alias("body"))
+    return parts.select(F.col("school_id").alias("page_id"), F.lit("https://s.example.org/staff").alias("url"), F.concat(F.lit("<html><head><title>T</title><script>var a = 'Art Teacher';</script></head><body><nav><a href=/>Home</a></nav><div id=list>"), "body", F.lit("</div></body></html>")).alias("html"))
+
+
+@query(with_views(f"""SELECT page_id, name, title, CASE WHEN email = '' THEN NULL ELSE email END AS email, strategy FROM (SELECT *, row_number() OVER (PARTITION BY page_id, name ORDER BY id) AS n FROM (SELECT school_id AS page_id, id, {_RECASED} AS name,
+ CASE WHEN title = 'Art Teacher. Send a Message' THEN 'Art Teacher.' ELSE title END AS title, email, 'semantic_card' AS strategy FROM staff WHERE school_id % 2 = 0 AND teacher_name <> 'FELIX VAN DOREN III' AND title NOT IN ('Language Arts Teacher', 'Special Education Teacher', 'Math Teacher') AND NOT regexp_matches(title, '(?i){rules.EXCLUDED_ROLE}'))) WHERE n = 1"""))
+def staff_from_pages(spark, sf_dir):
+    """From captured pages to staff rows: cards with their addresses."""
+    found = crawl.extract_staff(blocks.page_blocks(school_pages(spark, sf_dir).filter("page_id % 2 = 0")))
+    return found.select("page_id", "name", "title", "email", "strategy")
+
+
+@query()
+def page_blocks(spark, sf_dir):
+    """The blocks of all test pages; what is shown of a page is no SQL.  Tested by made pages."""
+    return blocks.page_blocks(table(spark, sf_dir, "pages")).select("page_id", "pos", "kind", F.size("lines").alias("n_lines"))
