@@ -57,7 +57,7 @@ _FSF_END = "This {0} is distributed in the hope that it will be useful, but WITH
 # Titles, usual headers, and the texts of the short licenses, whole and by the blocks that no other license shares.
 TEXTS = {
     "Apache-2.0": ("Apache License", "Apache License Version 2.0, January 2004", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", APACHE_HEADER[0], " ".join(APACHE_HEADER)),
-    "MIT": ("MIT License", "The MIT License (MIT)", MIT_TEXT[0], " ".join(MIT_TEXT), "MIT License Copyright (c) " + " ".join(MIT_TEXT)),
+    "MIT": ("MIT License", "The MIT License", MIT_TEXT[0], " ".join(MIT_TEXT), "MIT License Copyright (c) " + " ".join(MIT_TEXT)),
     "GPL-3.0": ("GNU General Public License Version 3", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "The GNU General Public License is a free, copyleft license for software and other kinds of works.", _FSF.format("program", ":", "General Public License", "3"), " ".join((_FSF.format("program", ":", "General Public License", "3"), _FSF_END.format("program", "General Public License")))),
     "CC-BY-NC-4.0": ("Creative Commons Attribution-NonCommercial 4.0 International", "Creative Commons Attribution-NonCommercial 4.0 International Public License", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC-BY-4.0": ("Creative Commons Attribution 4.0 International", "Creative Commons Attribution 4.0 International Public License", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -78,12 +78,16 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(plain), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def windows(text: Column) -> Column:
-    """The lines of a text, each two and three neighbouring ones, and the blocks between empty lines; shorter ones at the end."""
-    lines = F.split(text, "\n")
-    after = lambda x, n: F.zip_with(x, F.slice(lines, n, F.greatest(F.size(lines), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    two = after(lines, 2)
-    return F.concat(lines, two, after(two, 3), F.split(text, "\n(?:[^A-Za-z0-9\n]*\n)+"))
+def windows(files: DataFrame) -> DataFrame:
+    """``path``, ``k``, ``w``: the words of each line, of each two and three neighbouring ones, of each longer block between empty lines, and of a licence file's whole text."""
+    blocks = F.filter(F.split("text", "\n(?:[^A-Za-z0-9\n]*\n)+"), lambda b: b.rlike(r"\n[^\n]*\n[^\n]*\n"))
+    whole = F.when(F.col("path").rlike(LICENSE_FILE), F.array(F.col("text"))).otherwise(F.array().cast("array<string>"))
+    # Columns, as expressions would be worked out anew for each window.
+    d = files.select("path", F.transform(F.split("text", "\n"), tokens).alias("x"), F.transform(F.concat(blocks, whole), tokens).alias("y"))
+    few = lambda x, start, less: F.slice(x, start, F.greatest(F.size("x") - less, F.lit(0)))
+    two = lambda less: F.zip_with(few("x", 1, less), few("x", 2, less), lambda a, b: F.concat(a, b))
+    three = F.zip_with(two(2), few("x", 3, 2), lambda a, b: F.concat(a, b))
+    return d.select("path", F.posexplode(F.concat("x", two(1), three, "y")).alias("k", "w"))
 
 
 def vectors(df: dict[str, int], n: int, templates: dict[str, str]) -> tuple[dict[str, float], dict[str, dict[str, float]]]:
@@ -101,17 +105,38 @@ def vectors(df: dict[str, int], n: int, templates: dict[str, str]) -> tuple[dict
     return idf, unit
 
 
-def needed(unit: dict[str, dict[str, float]], least: float) -> list[str]:
-    """Words of which a text must have one for a cosine of ``least`` to any template."""
-    out = set()
+def gates(unit: dict[str, dict[str, float]], least: float, light: float = 0.1) -> list[tuple[dict[str, float], int, float]]:
+    """For each template: the squared weights of its heavy words, and how many of them, and what sum, a text must have for a cosine of ``least``.
+
+    A cosine is at most the root of the squares of the template's weights whose words the text has.
+    The lightest words, whose squares add up to ``light`` at most, are left out and taken to be there.
+    """
+    out = []
     for v in unit.values():
-        rest = 1.0
-        for w, x in sorted(v.items(), key=lambda p: (-p[1], p[0])):
-            if math.sqrt(max(rest, 0.0)) < least:
+        words = sorted(v, key=lambda w: (v[w], w))
+        rest = 0.0
+        while rest + v[words[0]] ** 2 <= light:
+            rest += v[words.pop(0)] ** 2
+        goal = least * least - rest - 1e-9
+        have, need = 0.0, 0
+        for w in reversed(words):
+            if have >= goal:
                 break
-            out.add(w)
-            rest -= x * x
-    return sorted(out)
+            have += v[w] ** 2
+            need += 1
+        out.append(({w: v[w] ** 2 for w in sorted(words)}, need, goal))
+    return out
+
+
+def gate(templates: list[tuple[dict[str, float], int, float]], w: Column) -> Column:
+    """Whether the words ``w`` hold enough heavy words of any template, by number and then by weight."""
+    strings, numbers = (lambda x: F.array(*map(F.lit, x))), (lambda x: F.array(*[F.lit(float(y)) for y in x]))
+    lists = F.array(*[F.struct(strings(words).alias("w"), numbers(words.values()).alias("y"), F.lit(need).alias("need"), F.lit(goal).alias("goal")) for words, need, goal in templates])
+    heavy = strings(sorted({x for words, _, _ in templates for x in words}))
+    weight = lambda held, t: F.aggregate(F.zip_with(t["w"], t["y"], lambda x, y: F.when(F.array_contains(held, x), y).otherwise(0.0)), F.lit(0.0), lambda a, y: a + y)
+    enough = lambda held, t: F.when(F.size(F.array_intersect(held, t["w"])) >= t["need"], weight(held, t) >= t["goal"]).otherwise(False)
+    # The variable of a lambda is worked out once; an expression would be for each template.
+    return F.get(F.transform(F.array(F.array_intersect(w, heavy)), lambda held: (F.size(held) > 0) & F.exists(lists, lambda t: enough(held, t))), F.lit(0))
 
 
 def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
@@ -137,11 +162,8 @@ def matches(files: DataFrame, least: float = LEAST, templates: dict[str, str] |
     df = {r["term"]: r["df"] for r in counts.filter(F.col("term").isin("", *vocabulary)).collect()}
     n = df.pop("", 0)
     idf, unit = vectors(df, n, templates)
-    must = F.array(*map(F.lit, needed(unit, least)))
-    whole = F.when(F.col("path").rlike(LICENSE_FILE), F.array(F.col("text"))).otherwise(F.array().cast("array<string>"))
-    some = files.filter(F.arrays_overlap(tokens(F.col("text")), must))
-    part = some.select("path", F.posexplode(F.array_distinct(F.concat(windows(F.col("text")), whole))).alias("k", "line"))
-    part = part.select("path", "k", tokens(F.col("line")).alias("w")).filter(F.arrays_overlap("w", must))
+    need = gates(unit, least)
+    part = windows(files.filter(gate(need, tokens(F.col("text"))))).filter(gate(need, F.col("w")))
     # ``words`` is counted here, as beside a generator it would be counted for each row that this makes.
     part = store.materialize(part.withColumn("words", F.size(F.array_distinct("w"))), "license-parts")
     # The products with the templates need the templates' words alone, so they are exact.

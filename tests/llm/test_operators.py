@@ -567,11 +567,65 @@ def test_license_texts(spark):
     assert {r["path"]: r["license"] for r in got} == {r[0]: r[2] for r in rows + more}
 
 
-def test_needed_words_lose_nothing():
-    _, unit = licenses.vectors({"the": 900, "license": 20}, 1000, licenses.TEMPLATES)
-    need = set(licenses.needed(unit, 0.7))
-    for name, v in unit.items():
-        assert sum(x * x for w, x in v.items() if w not in need) < 0.7**2, name
+def test_gates_lose_nothing():
+    """A text with fewer heavy words than a gate asks for, or lighter ones, can't reach the threshold, whatever else it has."""
+    rnd = random.Random(3)
+    for df in ({}, {"the": 900, "license": 20, "mit": 400}):
+        _, unit = licenses.vectors(df, 1000, licenses.TEMPLATES | {f"{k} text": " ".join(t) for k, t in licenses.TEXTS.items()})
+        for v, (words, need, goal) in zip(unit.values(), licenses.gates(unit, 0.7)):
+            assert 1 <= need <= len(words)
+            light = v.keys() - words.keys()
+            for _ in range(40):
+                held = set(rnd.sample(sorted(words), rnd.randint(0, len(words))))
+                if len(held) < need or sum(words[w] for w in held) < goal:
+                    assert sum(v[w] ** 2 for w in held | light) < 0.7**2
+
+
+def test_cosines_against_brute_force(spark):
+    """Every window of every file against every template."""
+    rnd = random.Random(12)
+    notices = [*licenses.TEMPLATES.values(), *(t for ts in licenses.TEXTS.values() for t in ts if len(t) < 400), "SPDX-License-Identifier: MIT", "# SPDX-License-Identifier: GPL-3.0-or-later"]
+    vocab = "the of and license software public general mit use source version free terms work copyright under is in to".split()
+    rows = []
+    for i in range(160):
+        lines = [" ".join(rnd.choices(vocab, k=rnd.randint(0, 9))) for _ in range(rnd.randint(1, 6))]
+        if i % 2:
+            words = rnd.choice(notices).split()
+            for _ in range(rnd.randint(0, 2)):
+                words.insert(rnd.randrange(len(words) + 1), rnd.choice(vocab))
+            cut = rnd.randint(1, len(words))
+            lines.insert(rnd.randrange(len(lines) + 1), " ".join(words[:cut]) + "\n" + " ".join(words[cut:]))
+        rows.append((f"d{i % 9}/{'LICENSE' if i % 20 == 3 else 'f'}{i}" if i % 20 != 3 else f"d{i % 9}/{i}/LICENSE", "\n".join(lines)))
+    rows.append(("none", None))
+
+    def words_of(t):
+        return [w for line in t.split("\n") for w in words_in(line)]
+
+    def words_in(t):
+        t = re.sub(licenses.SPDX_TAG, lambda m: "spdx" + "".join(m.groups("")) + " ", t, flags=re.IGNORECASE) if "spdx-" in t.lower() else t
+        return re.findall("[a-z0-9]+", t.lower())
+
+    df = collections.Counter(w for _, t in rows for w in set(words_of(t or "")))
+    idf = lambda w: math.log((1 + len(rows)) / (1 + df.get(w, 0))) + 1
+    vec = lambda ws: {w: (1 + math.log(m)) * idf(w) for w, m in collections.Counter(ws).items()}
+    templates = [(k, vec(words_of(t))) for k in licenses.TEMPLATES for t in [licenses.TEMPLATES[k], *licenses.TEXTS[k], *(f"spdx{x}" for x in licenses.SPDX[k])]]
+    want = {}
+    for path, t in rows:
+        lines = (t or "").split("\n")
+        parts = ["\n".join(lines[i : i + n]) for n in (1, 2, 3) for i in range(len(lines) - n + 1)] + re.split("\n(?:[^A-Za-z0-9\n]*\n)+", t or "") + [t or ""] * path.endswith("/LICENSE")
+        best = (0.0, "")
+        for v in map(vec, map(words_of, parts)):
+            for k, u in templates:
+                c = sum(x * u.get(w, 0.0) for w, x in v.items()) / math.sqrt(sum(x * x for x in v.values()) * sum(x * x for x in u.values())) if v else 0.0
+                c = round(c, 6)
+                if c >= licenses.LEAST and (c > best[0] or c == best[0] and k < best[1]):
+                    best = (c, k)
+        if best[0]:
+            want[path] = best
+    got = {r["path"]: (r["cosine"], r["license"]) for r in licenses.matches(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got.keys() == want.keys() and len(want) > 25
+    assert all(got[p][0] == pytest.approx(c, abs=2e-6) for p, (c, _) in want.items())
+    assert sum(got[p][1] == k for p, (_, k) in want.items()) >= len(want) - 1  # ties within rounding
 
 
 def test_pipeline(spark, sf):
