@@ -90,6 +90,7 @@ def train(docs: DataFrame, labels: DataFrame, features: Features, s: Settings) -
     few = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.rows)
 
     def rows(batches):
+        store.enter("ftrl")
         for b in batches:
             at = [features(t or b"", None) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([i.astype("<i4").tobytes() for i, _ in at], pa.binary()), pa.array([b"" if (x == 1).all() else x.astype("<f4").tobytes() for _, x in at], pa.binary())], ["doc_id", "label", "i", "x"])
@@ -137,6 +138,7 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], features: Fea
     schema = T.StructType([docs.schema[c] for c in columns]).add(name, "double")
 
     def run(batches):
+        store.enter("ftrl")
         w = np.zeros(1 << BITS)
         w[shared.value[0]] = shared.value[1]
         live = w != 0
@@ -155,9 +157,10 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], features: Fea
 class Ids(dict):
     """Word -> 64-bit id, kept between calls; emptied when it holds ``most`` words, and long ones aren't kept, so memory stays bounded."""
 
-    def __init__(self, make: Callable[[bytes], int], most: int = 400_000):
+    def __init__(self, make: Callable[[bytes], int], most: int = 100_000):
         super().__init__()
         self.make, self.most = make, most
+        store.caches("ftrl", self.clear)
 
     def __missing__(self, word: bytes) -> int:
         if len(word) > 64:

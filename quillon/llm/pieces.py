@@ -67,7 +67,7 @@ class Transducer:
     scores: list[float]
     kinds: list[int]
     prefix: bool = True
-    kept: int = 250_000
+    kept: int = 120_000
     ids: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -270,6 +270,7 @@ class Transducer:
 
 _PARTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _LOADED: dict[int, Transducer] = {}
+store.caches("pieces", _LOADED.clear)
 
 
 def _of(shared) -> Transducer:
@@ -293,6 +294,7 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        store.enter("pieces")
         t = _of(shared)
         for b in batches:
             for lo in range(0, b.num_rows, 512):

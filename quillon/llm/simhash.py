@@ -68,6 +68,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     store.workers(docs.sparkSession)
 
     def run(batches):
+        store.enter("simhash")
         for b in batches:
             fps = [simhash64(t, shingle) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"])
@@ -282,6 +283,7 @@ def sketches(docs: DataFrame, shingle: int, words: int) -> DataFrame:
     store.workers(docs.sparkSession)
 
     def run(batches):
+        store.enter("simhash")
         for b in batches:
             sets = [shingles(t.as_py(), shingle) for t in b.column(2)]
             s = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64).view(np.int64)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,3 +79,20 @@ def workers(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(":") if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = ":".join([ROOT, *paths])
+
+
+#: What clears the caches that a module keeps in its Python workers, by the module's part in a task.
+_CACHES: dict[str, list[Callable[[], None]]] = {}
+
+
+def caches(part: str, clear: Callable[[], None]) -> None:
+    """Say how the caches of ``part`` are cleared."""
+    _CACHES.setdefault(part, []).append(clear)
+
+
+def enter(part: str) -> None:
+    """Clear the caches of all other parts: a Python worker goes from one operator's tasks to another's."""
+    for name, clears in _CACHES.items():
+        if name != part:
+            for clear in clears:
+                clear()

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm import ftrl
+from quillon.llm import ftrl, store
 
 SETTINGS = ftrl.Settings(rows=16000, epochs=5, alpha=0.7, beta=1.0, l1=2.5, l2=0.5)
 #: Lower case; everything in ASCII but letters, digits and the apostrophe parts words.
@@ -33,9 +33,10 @@ _NONE = bytes(8 * len(HEADS))
 class _Heads(dict):
     """Word -> the 64-bit ids of its beginnings as bytes, 0 for none; emptied when it holds ``most`` words."""
 
-    def __init__(self, most: int = 150_000):
+    def __init__(self, most: int = 60_000):
         super().__init__()
         self.most = most
+        store.caches("ftrl", self.clear)
 
     def __missing__(self, word: bytes) -> bytes:
         if len(word) <= HEADS[0]:
