@@ -19,14 +19,17 @@ tables in the shared folder.
 
 Texts that share four fifths of their shingles differ in some ten of 64 bits, too many for
 a ball around one long fingerprint.  :func:`deduplicate` therefore takes balls around
-several short ones, and verifies what meets there.
+several short ones, and verifies what meets there.  Fingerprints find most links, not all:
+:func:`pairs_left` then lists every pair of texts that no link connects yet and that may
+still be similar enough, by the rarest shingles of each, so that no link is lost.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import accumulate, combinations
-from math import acos, comb, pi
+from math import acos, ceil, comb, pi
 
 import numpy as np
 import pyarrow as pa
@@ -278,8 +281,50 @@ def wide(h: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def sketches(docs: DataFrame, shingle: int, words: int) -> DataFrame:
-    """``doc_id``, ``h`` (hash of the text), ``s`` (hash of the set of shingles), ``fp`` (its wide fingerprint) of every row."""
+@dataclass(frozen=True)
+class Order:
+    """An order of all shingles: those of ``often`` (sorted hashes) come last, by ``count``; ties go by hash.
+
+    Any order gives the same links; with frequent shingles last, fewer pairs are to be verified.
+    """
+
+    often: np.ndarray
+    count: np.ndarray
+
+    def prefix(self, h: np.ndarray, similarity: float) -> np.ndarray:
+        """So many first shingles of a set (its sorted hashes) that those of any set of ``similarity`` have one of them."""
+        if len(self.often):
+            at = np.minimum(np.searchsorted(self.often, h), len(self.often) - 1)
+            h = h[np.argsort(np.where(self.often[at] == h, self.count[at], 0), kind="stable")]
+        return h[: len(h) - ceil(similarity * len(h) - 1e-9) + 1] if len(h) else h
+
+
+def shingle_order(docs: DataFrame, shingle: int, sample: int = 64 << 20, most: int = 100_000) -> Order:
+    """An :class:`Order` whose frequent shingles are the ``most`` frequent of those that three or more texts
+    of a sample of some ``sample`` bytes have."""
+    store.workers(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+    def run(batches):
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), shingle).view(np.int64))], ["x"])
+
+    texts = docs.select("text").filter(F.length("text") > 0)
+    if size > sample:
+        texts = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(int(sample / size * (1 << 20))))
+    counts = texts.distinct().select(F.col("text").cast("binary")).mapInArrow(run, "x long").groupBy("x").count()
+    got = counts.filter("count > 2").orderBy(F.desc("count"), "x").limit(most).toArrow()
+    h, count = got.column("x").to_numpy().view(np.uint64), got.column("count").to_numpy()
+    at = np.argsort(h)
+    return Order(h[at], count[at])
+
+
+def sketches(docs: DataFrame, shingle: int, words: int, similarity: float = 1.0, order: Order | None = None) -> DataFrame:
+    """``doc_id``, ``h`` (hash of the text), ``s`` (hash of the set of shingles), ``fp`` (its wide fingerprint) of every row.
+
+    With an ``order`` also ``n``, the number of shingles, and ``prefix``, the first of them.
+    """
     store.workers(docs.sparkSession)
 
     def run(batches):
@@ -287,9 +332,19 @@ def sketches(docs: DataFrame, shingle: int, words: int) -> DataFrame:
         for b in batches:
             sets = [shingles(t.as_py(), shingle) for t in b.column(2)]
             s = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array([wide(x, words).tobytes() for x in sets], pa.binary())], ["doc_id", "h", "s", "fp"])
+            out = [b.column(0), b.column(1), pa.array(s), pa.array([wide(x, words).tobytes() for x in sets], pa.binary())]
+            if order:
+                out += [pa.array([len(x) for x in sets], pa.int64()), _lists([order.prefix(x, similarity) for x in sets])]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "h", "s", "fp", "n", "prefix"][: len(out)])
+
+    schema = "doc_id long, h long, s long, fp binary" + (", n long, prefix array<long>" if order else "")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _known().alias("h"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _known().alias("h"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, h long, s long, fp binary")
+
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    """Arrays of hashes as an Arrow column of lists."""
+    flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, dtype=np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)), pa.array(flat))
 
 
 def _known() -> Column:
@@ -370,6 +425,8 @@ def _led(q: Plan, leaders: bool):
 def pairs_to_verify(nodes: DataFrame, q: Plan, members: int = 131_072) -> DataFrame:
     """Links ``u``, ``v`` (hashes of sets) of ``nodes`` that meet in a variant and whose wide fingerprints are close.
 
+    Not all similar pairs: some meet in no variant, and members are linked to leaders only.  :func:`pairs_left` lists the rest.
+
     Prefixes with more than ``members`` entries, such as those of a large group of near
     copies, are dealt anew by salt, so that no task holds them whole; then the leaders of
     all salts meet.
@@ -399,6 +456,127 @@ def pairs_to_verify(nodes: DataFrame, q: Plan, members: int = 131_072) -> DataFr
     return store.materialize(out.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "simhash-links")
 
 
+#: Pairs that a task looks at at once.
+_PAIRS = 1 << 21
+#: In the rounds of :func:`all_links`, so many rows at most that a row meets in a shingle; the last round has no limit.
+_EACH = (8, 64, None)
+
+
+def _apart(similarity: float, each: int | None = None):
+    """All pairs with a common shingle, of different groups, that may have ``similarity``.
+
+    With ``each``, a row meets so many others of a shingle at most, and shingles of which pairs are missing follow as ``u`` without ``v``.
+    """
+    share = similarity / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        x, s, root, n, at = (t.column(c).to_numpy() for c in ("x", "s", "root", "n", "at"))
+        # Groups, and rows of a group, have another order in each shingle.
+        salt = _mix(x.view(np.uint64))
+        turn = _mix(root.view(np.uint64) + salt)
+        order = np.lexsort((_mix(s.view(np.uint64) + salt), turn, x))
+        x, s, turn, n, left = x[order], s[order], turn[order], n[order], (n - at)[order]
+        block = t.column("block").to_numpy()[order] if "block" in t.column_names else None
+        ends = lambda new: np.append(np.flatnonzero(new)[1:], len(x))[np.cumsum(new) - 1]
+        new = np.concatenate([[True], x[1:] != x[:-1]])
+        # A row meets the rows of its shingle after those of its own group.
+        first = ends(new | np.concatenate([[True], turn[1:] != turn[:-1]]))
+        size = ends(new) - first
+        if each is not None:
+            cut = np.unique(x[size > each])
+            if len(cut):
+                yield pa.RecordBatch.from_arrays([pa.array(cut), pa.nulls(len(cut), pa.int64())], ["u", "v"])
+            size = np.minimum(size, each)
+        rows = np.flatnonzero(size)
+        total = np.cumsum(size[rows])
+        lo = 0
+        while lo < len(rows):
+            done = total[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(total, done + _PAIRS, side="right")))
+            some = size[rows[lo:hi]]
+            i = np.repeat(rows[lo:hi], some)
+            j = first[i] + np.arange(len(i)) - np.repeat(total[lo:hi] - some - done, some)
+            # At their first common shingle, so many must be left in both.
+            ok = np.minimum(left[i], left[j]) >= share * (n[i] + n[j]) - 1e-6
+            if block is not None:
+                ok &= block[i] != block[j]
+            a, b = s[i[ok]], s[j[ok]]
+            if len(a):
+                pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
+            lo = hi
+
+    return run
+
+
+def pairs_left(nodes: DataFrame, root: DataFrame, similarity: float, members: int = 131_072, each: int | None = None, among: DataFrame | None = None) -> DataFrame:
+    """All pairs ``u``, ``v`` of ``nodes`` (s, n, prefix) in different groups of ``root`` (s, root) that may have ``similarity``.
+
+    Two sets of a Jaccard similarity have a shingle in both prefixes, and at the first such one enough
+    others are left in both; what fails that is not similar.  Groups that earlier links connected are not
+    compared within.  Shingles that more than ``members`` nodes have are dealt as pairs of blocks.
+
+    With ``each``, a node meets so many others of a shingle at most, and the shingles of which pairs are
+    missing are ``u`` in rows without ``v``.  ``among`` (x): only pairs that meet in one of these shingles.
+    """
+    total = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    known = nodes.select("s", "n", "prefix").join(small(root), "s", "left").withColumn("root", F.coalesce("root", "s"))
+    posts = known.select("s", "root", "n", F.posexplode("prefix").alias("at", "x"))
+    if among is not None:
+        posts = posts.join(small(among), "x", "left_semi")
+    posts = posts.withColumn("bucket", F.pmod(F.xxhash64("x"), F.lit(ceil(2 * total / members) or 1)))
+    meet, pairs = _apart(similarity, each), "u long, v long"
+    # Few buckets are that full without a frequent shingle.
+    full = store.materialize(posts.groupBy("bucket").count().filter(F.col("count") > members).select("bucket"), "simhash-full")
+    if full.isEmpty():
+        out = posts.groupBy("bucket").applyInArrow(meet, pairs)
+    else:
+        often = posts.join(F.broadcast(full), "bucket").groupBy("x").agg(F.count("*").alias("count"), (F.min("root") < F.max("root")).alias("mixed"))
+        often = store.materialize(often.filter(F.col("count") > members), "simhash-often")
+        out = posts.join(F.broadcast(often), "x", "left_anti").groupBy("bucket").applyInArrow(meet, pairs)
+        mixed = often.filter("mixed").select("x", F.ceil(2 * F.col("count") / members).cast("long").alias("blocks"))
+        rows = posts.join(F.broadcast(mixed), "x").withColumn("own", F.pmod(F.xxhash64("s", "x"), F.col("blocks")))
+        if each is None:
+            out = out.unionAll(_blocks(rows).groupBy("x", "lo", "hi").applyInArrow(meet, pairs))
+        else:
+            out = out.unionAll(rows.groupBy("x", "own").applyInArrow(meet, pairs)).unionAll(mixed.select(F.col("x").alias("u"), F.lit(None).cast("long").alias("v")))
+    return store.materialize(out.distinct(), "simhash-left")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """``rows``, dealt into ``blocks`` by ``own``, once for every pair ``lo`` <= ``hi`` of blocks that has theirs.
+
+    ``block``: which of the two; in a pair of a block with itself, each row has its own.
+    """
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    block = F.when(F.col("own") == F.col("other"), F.col("s")).otherwise(F.col("own"))
+    return rows.select("x", "s", "root", "n", "at", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), block.alias("block"))
+
+
+def all_links(found: DataFrame, nodes: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int, similarity: float, members: int = 131_072) -> DataFrame:
+    """The groups (s, root) of all links of ``similarity``, of which ``found`` are some.
+
+    In the first rounds a node meets few others of a shingle, which joins most groups; the last one
+    verifies all pairs of different groups in the shingles of which pairs were missing, so none is lost.
+    """
+
+    def rooted() -> DataFrame:
+        return components(found).select(F.col("u").alias("s"), F.col("v").alias("root"))
+
+    root, among = rooted(), None
+    for each in _EACH:
+        left = pairs_left(nodes, root, similarity, members, each, among)
+        more = verified(left.filter("v IS NOT NULL"), rows, docs, shingle, similarity)
+        if not more.isEmpty():
+            found = found.unionAll(more)
+            root = rooted()
+        among = left.filter("v IS NULL").select(F.col("u").alias("x"))
+        if among.isEmpty():
+            break
+    return root
+
+
 def verified(links: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The rows of ``links`` whose sets of shingles have a Jaccard similarity of ``similarity`` or more."""
     asked = links.select(F.explode(F.array("u", "v")).alias("s")).distinct()
@@ -408,10 +586,7 @@ def verified(links: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int, s
 
     def run(batches):
         for b in batches:
-            sets = [shingles(t.as_py(), shingle).view(np.int64) for t in b.column(1)]
-            n = np.array([len(x) for x in sets], dtype=np.int64)
-            flat = np.concatenate(sets) if sets else np.empty(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))], ["s", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists([shingles(t.as_py(), shingle) for t in b.column(1)])], ["s", "x"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _known().alias("h"), "text").join(small(one), (F.col("h") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
     sets = texts.select("s", F.col("text").cast("binary").alias("text")).mapInArrow(run, "s long, x array<long>")
@@ -429,16 +604,19 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     of ``similarity`` or more; a group is what such links connect.  Links are searched by
     ball hashing of several short fingerprints (``plan``), of which each emits all variants
     within one bit, so that two meet if they differ in two or fewer; pairs that meet are
-    verified by wider fingerprints and then by the shingles themselves.
+    verified by wider fingerprints and then by the shingles themselves.  Of the groups that
+    this gives, every pair of texts in different ones that may be similar is then verified by
+    its shingles (:func:`all_links`), so that the groups are those of all links.
 
     A document is known by its id and its text's hash, so that rows of one id (or of
     none) with different texts stand for themselves; repeated rows are copies.  Null and
     empty texts have no shingles and are copies of one another.  An empty table gives none.
     """
     q = plan(max(1, docs.count()), similarity)
-    rows = store.materialize(sketches(docs, shingle, q.words), "sketches")
-    nodes = store.materialize(rows.groupBy("s").agg(F.first("fp").alias("fp")), "simhash-nodes")
-    root = components(verified(pairs_to_verify(nodes, q), rows, docs, shingle, similarity)).select(F.col("u").alias("s"), F.col("v").alias("root"))
+    rows = store.materialize(sketches(docs, shingle, q.words, similarity, shingle_order(docs, shingle)), "sketches")
+    nodes = store.materialize(rows.groupBy("s").agg(*[F.first(c).alias(c) for c in ("fp", "n", "prefix")]), "simhash-nodes")
+    found = verified(pairs_to_verify(nodes.select("s", "fp"), q), rows, docs, shingle, similarity)
+    root = all_links(found, nodes, rows, docs, shingle, similarity)
     known = rows.select("doc_id", "h", "s").join(small(root), "s", "left").select("doc_id", "h", F.coalesce("root", "s").alias("root"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     first = known.groupBy("root").agg(F.min(rank).alias("first"), F.count("*").alias("rows")).filter("rows > 1")

@@ -192,6 +192,87 @@ def test_near_copies_in_large_groups(spark, monkeypatch):
         assert max(groups.values()) >= 0.95 * 401 and len(groups) >= 41
 
 
+def near_chains(rnd, chains, steps):
+    """Texts in chains: each step changes some words of the one before, for a similarity of 0.8 and a little more or less."""
+    texts = []
+    for _ in range(chains):
+        words = [str(rnd.random()) for _ in range(rnd.choice((9, 14, 49, 94, 184)))]
+        for _ in range(steps):
+            texts.append(" ".join(words))
+            words = list(words)
+            for at in rnd.sample(range(len(words)), max(1, round(len(words) / 46))):
+                words[at] = str(rnd.random())
+            if rnd.random() < 0.5:
+                words.pop()
+    return texts
+
+
+def groups_of(sets):
+    """The least number of each set's group of links of 0.8, by brute force, and the links."""
+    by = collections.defaultdict(list)
+    for i, x in enumerate(sets):
+        for g in x:
+            by[g].append(i)
+    near = {(i, j) for v in by.values() for k, i in enumerate(v) for j in v[k + 1 :]}
+    near = {(i, j) for i, j in near if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    group = list(range(len(sets)))
+    for _ in sets:
+        was = list(group)
+        for i, j in near:
+            group[i] = group[j] = min(group[i], group[j])
+        if group == was:
+            break
+    return group, near
+
+
+def test_no_link_of_near_copies_is_lost(spark, monkeypatch):
+    """Of each group by brute force the least id stays, and nothing else goes."""
+    rnd = random.Random(9)
+    shared = " ".join(str(rnd.random()) for _ in range(30))
+    texts = near_chains(rnd, 150, 6) + [f"{t} {shared}" for t in near_chains(rnd, 30, 3)]
+    sets = sets_of(texts)
+    group, near = groups_of(sets)
+    assert len(near) > 200 and sum(5 * len(sets[i] & sets[j]) == 4 * len(sets[i] | sets[j]) for i, j in near) > 20
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(7)
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(df).collect()) == sorted(set(group))
+    # Without any link of the fingerprints, in rounds with little room.
+    monkeypatch.setattr(simhash, "_EACH", (1, 2, None))
+    rows = simhash.sketches(df, 5, 2, 0.8, simhash.shingle_order(df, 5, most=0)).cache()
+    ids = {r["s"]: r["doc_id"] for r in rows.collect()}
+    none = spark.createDataFrame([], "u long, v long")
+    root = {r["s"]: r["root"] for r in simhash.all_links(none, rows, rows, df, 5, 0.8, 40).collect()}
+    got = collections.defaultdict(list)
+    for s, i in ids.items():
+        got[root.get(s, s)].append(i)
+    assert sorted(min(v) for v in got.values()) == sorted(set(group))
+    rows.unpersist()
+
+
+@pytest.mark.parametrize("members", [40, 10**6])
+def test_pairs_left_are_all(spark, members, monkeypatch):
+    """Without fingerprints, all links of different groups are found, of frequent shingles too; those of one group are not asked."""
+    rnd = random.Random(10)
+    monkeypatch.setattr(simhash, "_PAIRS", 50)
+    shared = " ".join(str(rnd.random()) for _ in range(60))
+    texts = near_chains(rnd, 20, 5) + [f"{shared} {t}" for t in near_chains(rnd, 60, 2)]
+    sets = sets_of(texts)
+    _, near = groups_of(sets)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(7)
+    order = simhash.shingle_order(df, 5, most=30)
+    assert len(order.often) == 30 and order.count.max() >= 120
+    for o in (order, simhash.Order(order.often[:0], order.count[:0])):
+        rows = simhash.sketches(df, 5, 2, 0.8, o).cache()
+        ids = {r["s"]: r["doc_id"] for r in rows.collect()}
+        assert len(ids) == len(texts)
+        for joined in (set(), set(range(100, 160))):
+            root = spark.createDataFrame([(s, 1) for s, i in ids.items() if i in joined], "s long, root long")
+            left = {tuple(sorted((ids[r["u"]], ids[r["v"]]))) for r in simhash.pairs_left(rows, root, 0.8, members).collect()}
+            want = {(i, j) for i, j in near if not (i in joined and j in joined)}
+            assert want <= left and not any(i in joined and j in joined for i, j in left)
+        rows.unpersist()
+    assert simhash.pairs_left(rows.limit(0), root, 0.8).count() == 0
+
+
 def test_plan_grows_slowly():
     for n in (1, 1000, 10**6, 10**9, 10**11):
         q = simhash.plan(n)
