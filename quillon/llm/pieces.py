@@ -72,18 +72,20 @@ class Transducer:
 
     def __post_init__(self) -> None:
         self.ids = {w: i for i, (w, k) in enumerate(zip(self.words, self.kinds)) if k in (NORMAL, USER)}
-        self._trie: dict = {}  # a node has the nodes that follow by character, and its own piece under ""
+        self._trie: dict = {}  # a node has the nodes that follow by character, and its own piece's (length, id) under ""
         for word, i in self.ids.items():
             node = self._trie
             for c in word:
                 node = node.setdefault(c, {})
-            node[""] = i
+            node[""] = (len(word), i)
         self.fallback = {int(w[3:5], 16): i for i, (w, k) in enumerate(zip(self.words, self.kinds)) if k == BYTE}
         self.unknown = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
         self.raw = [bytes([int(w[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else w.replace(MARK, " ").encode() for w, k in zip(self.words, self.kinds)]
         self.crossing = any(re.search(f"[^{MARK}]{MARK}", w) for w in self.ids)
         self.rank = [-x for x in self.scores]
-        self._follows: dict[int, bool] = {}
+        self._follows: dict[int, dict[int, bool]] = {}  # by last piece, then by the piece that follows
+        self._met = 0
+        self._near: dict[str, tuple[list, dict | None]] = {}
         self._halves: dict[int, tuple[int, int]] = {}
         self._paths: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}  # what was kept before; what is used again moves on
@@ -183,55 +185,74 @@ class Transducer:
             else:
                 top, tie, b = rank[b], True, right
 
+    def near(self, head: str) -> tuple[list, dict | None]:
+        """The (length, id) of all pieces that ``head``, three characters or a text's last ones, begins with, and the node after it.
+
+        The longest come first.  No node: no longer piece begins so.  What is kept is dropped when it grows large.
+        """
+        if len(self._near) > self.kept // 4:
+            self._near.clear()
+        node, arcs = self._trie, []
+        for c in head:
+            node = node.get(c)
+            if node is None:
+                break
+            if "" in node:
+                arcs.append(node[""])
+        x = self._near[head] = (arcs[::-1], node if node and len(node) > ("" in node) else None)
+        return x
+
     def shortest(self, text: str) -> list[int]:
-        """The ids on the shortest path through the lattice of a normalised text."""
-        n, size, known, follows = len(text), len(self.words), self._follows, self.follows
-        states: list[list] = [[] for _ in range(n + 1)]  # (cost, last piece, state before, ids)
-        states[0].append((0, -1, None, None))
-        if len(known) > 4 * self.kept:
-            known.clear()
-        for i in range(n):
-            here = states[i]
-            if not here:
-                continue
-            node, j = self._trie, i
-            while j < n and (node := node.get(text[j])) is not None:
-                j += 1
-                p = node.get("")
-                if p is None:
-                    continue
-                at = states[j]
-                for state in here:
-                    key = state[1] * size + p
-                    ok = known.get(key)
-                    if ok is None:
-                        ok = known[key] = follows(state[1], p)
-                    if ok:
-                        new = (state[0] + 1, p, state, None)
-                        if at:
-                            self._relax(at, new)
-                        else:
-                            at.append(new)
-            if text[i] not in self.ids:
-                out = [self.fallback.get(b, self.unknown) for b in text[i].encode()]
-                for state in here:
-                    self._relax(states[i + 1], (state[0] + len(out), -1, state, out))
-        state, path = min(states[n], key=lambda x: x[0]) if len(states[n]) > 1 else states[n][0], []
-        while state[2] is not None:
-            path.extend((state[1],) if state[3] is None else reversed(state[3]))
-            state = state[2]
-        path.reverse()
-        return path
-
-    @staticmethod
-    def _relax(at: list, new: tuple) -> None:
-        """Keep of all ways to a (place, last piece) the cheapest."""
-        for k, old in enumerate(at):
-            if old[1] == new[1]:
-                if new[0] < old[0]:
-                    at[k] = new
-                return
-        at.append(new)
+        """The ids on the shortest path through the lattice of a normalised text.
+
+        Pieces of which every two neighbours come out as they are when the two are merged
+        come out of the whole text's merges, as the first merge across a border would have
+        crossed it in that pair, too.  So all paths of finite weight to a place are one, and
+        the first that gets to the end is the shortest.  States are gone through depth
+        first, by the longest arcs; one that leads nowhere isn't entered again.
+        """
+        n, ids, follows = len(text), self.ids, self.follows
+        if self._met > 4 * self.kept:
+            self._follows.clear()
+            self._met = 0
+        rows, near, dead = self._follows, self._near, set()
+        i, last, way, path = 0, -1, [], []  # the states before this one with the arcs not tried yet, and the piece of each arc taken
+        arcs = None
+        while i < n:
+            if arcs is None:
+                few, node = near.get(head := text[i : i + 3]) or self.near(head)
+                if node is not None:
+                    more, j = [], i + 3
+                    while j < n and (node := node.get(text[j])) is not None:
+                        j += 1
+                        if "" in node:
+                            more.append(node[""])
+                    if more:
+                        few = more[::-1] + few
+                arcs = iter(few if text[i] in ids else [*few, (1, -1)])
+            row = rows.get(last)
+            if row is None:
+                row = rows[last] = {-1: True}
+            for size, p in arcs:
+                ok = row.get(p)
+                if ok is None:
+                    ok = row[p] = follows(last, p)
+                    self._met += 1
+                if ok and (not dead or (i + size, p) not in dead):
+                    way.append((i, last, arcs))
+                    path.append(p)
+                    i, last, arcs = i + size, p, None
+                    break
+            else:
+                dead.add((i, last))
+                i, last, arcs = way.pop()
+                path.pop()
+        if -1 not in path:
+            return path
+        out: list[int] = []
+        for (i, _, _), p in zip(way, path):
+            out.extend([p] if p >= 0 else [self.fallback.get(b, self.unknown) for b in text[i].encode()])
+        return out
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids of a whole text as little-endian 32-bit integers; none for an empty one."""
@@ -242,19 +263,20 @@ class Transducer:
             text = MARK + text
         if self.crossing:
             return np.array(self.shortest(text), dtype="<i4").tobytes()
-        paths, out = self._paths, []
-        for part in _PARTS.findall(text):
-            x = paths.get(part)
+        parts = _PARTS.findall(text)
+        out = list(map(self._paths.get, parts))
+        for k in [k for k, x in enumerate(out) if x is None]:
+            part = parts[k]
+            x = self._paths.get(part)  # it may have come up since
             if x is None:
                 x = self._older.get(part)
                 if x is None:
                     x = array("i", self.shortest(part)).tobytes()
                 if len(part) <= 64:
-                    if len(paths) >= self.kept:
-                        self._older, self._paths = paths, {}
-                        paths = self._paths
-                    paths[part] = x
-            out.append(x)
+                    if len(self._paths) >= self.kept:
+                        self._older, self._paths = self._paths, {}
+                    self._paths[part] = x
+            out[k] = x
         return b"".join(out)
 
     def encode(self, text: str | None) -> list[int]:

@@ -470,6 +470,37 @@ def test_pieces_equal_the_library(spark, corpus):
     assert all(back[str(r["doc_id"])] == (r["text"] or "") for r in docs.collect())
 
 
+def test_shortest_paths_enter_few_states(monkeypatch):
+    """The paths are those of a search through the whole lattice, and fewer arcs are looked at."""
+    t = pieces.Transducer.load(queries.piece_model())
+    rnd, words, far = random.Random(7), [w for w in t.ids if pieces.MARK not in w], 1 + max(map(len, t.ids))
+    texts = [pieces.MARK + "".join(rnd.choice(words) for _ in range(rnd.randint(1, 6))) for _ in range(1500)]
+    texts += [pieces.MARK * 9, "a" * 300, "x🎉日本語y🎉", "🎉" * 3, *("".join(rnd.choice("abéß1.,🎉▁") for _ in range(12)) for _ in range(500))]
+    looked, real = [], t.follows
+    monkeypatch.setattr(t, "follows", lambda a, b: looked.append((a, b)) or real(a, b))
+
+    def whole(text):
+        states, arcs = [{-1: (0, [])}, *({} for _ in text)], set()
+        for i, c in enumerate(text):
+            for last, (cost, path) in states[i].items():
+                ways = [(j, t.ids[text[i:j]], 1, [t.ids[text[i:j]]]) for j in range(i + 1, min(len(text), i + far) + 1) if text[i:j] in t.ids]
+                arcs |= {(last, p) for _, p, _, _ in ways}
+                ways = [w for w in ways if real(last, w[1])]
+                if c not in t.ids:
+                    ways.append((i + 1, -1, len(c.encode()), [t.fallback[b] for b in c.encode()]))
+                for j, p, more, ids in ways:
+                    states[j][p] = min(states[j].get(p, (math.inf, [])), (cost + more, path + ids))
+        return min(states[-1].values())[1], len(arcs)
+
+    most = 0
+    for text in texts:
+        t._follows.clear()
+        want, n = whole(text)
+        most += n
+        assert t.shortest(text) == want, text
+    assert len(looked) < 0.85 * most
+
+
 def test_secrets():
     key = "A1b2C3d4E5f6G7h8"
     assert secrets.spans(f'token = "{key}"') == [(0, 9 + len(key), "assign")]
