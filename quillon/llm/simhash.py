@@ -21,7 +21,8 @@ Texts that share four fifths of their shingles differ in some ten of 64 bits, to
 a ball around one long fingerprint.  :func:`deduplicate` therefore takes balls around
 several short ones, and verifies what meets there.  Fingerprints find most links, not all:
 :func:`pairs_left` then lists every pair of texts that no link connects yet and that may
-still be similar enough, by the rarest shingles of each, so that no link is lost.
+still be similar enough, by the rarest shingles of each, so that no link is lost.  Numbers of
+shingles by hash (:func:`may_reach`) rule most of them out before whole sets are read.
 """
 
 from __future__ import annotations
@@ -306,6 +307,7 @@ def shingle_order(docs: DataFrame, shingle: int, sample: int = 64 << 20, most: i
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def run(batches):
+        store.enter("simhash")
         for b in batches:
             for t in b.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), shingle).view(np.int64))], ["x"])
@@ -323,7 +325,7 @@ def shingle_order(docs: DataFrame, shingle: int, sample: int = 64 << 20, most: i
 def sketches(docs: DataFrame, shingle: int, words: int, similarity: float = 1.0, order: Order | None = None) -> DataFrame:
     """``doc_id``, ``h`` (hash of the text), ``s`` (hash of the set of shingles), ``fp`` (its wide fingerprint) of every row.
 
-    With an ``order`` also ``n``, the number of shingles, and ``prefix``, the first of them.
+    With an ``order`` also ``n``, the number of shingles, ``prefix``, the first of them, and ``counts`` (:func:`counted`).
     """
     store.workers(docs.sparkSession)
 
@@ -334,13 +336,18 @@ def sketches(docs: DataFrame, shingle: int, words: int, similarity: float = 1.0,
             s = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64).view(np.int64)
             out = [b.column(0), b.column(1), pa.array(s), pa.array([wide(x, words).tobytes() for x in sets], pa.binary())]
             if order:
-                out += [pa.array([len(x) for x in sets], pa.int64()), _lists([order.prefix(x, similarity) for x in sets])]
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "h", "s", "fp", "n", "prefix"][: len(out)])
+                out += [pa.array([len(x) for x in sets], pa.int64()), _lists([order.prefix(x, similarity) for x in sets]), pa.array(map(counted, sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "h", "s", "fp", "n", "prefix", "counts"][: len(out)])
 
-    schema = "doc_id long, h long, s long, fp binary" + (", n long, prefix array<long>" if order else "")
+    schema = "doc_id long, h long, s long, fp binary" + (", n long, prefix array<long>, counts binary" if order else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _known().alias("h"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
+def counted(h: np.ndarray) -> bytes:
+    """For each value of a hash's first byte, the number of a set's hashes with it, 255 at most."""
+    return np.minimum(np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
 def _lists(sets: list[np.ndarray]) -> pa.ListArray:
     """Arrays of hashes as an Arrow column of lists."""
     flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, dtype=np.int64)
@@ -363,6 +370,7 @@ def _dealt(nodes: DataFrame, q: Plan) -> DataFrame:
     flips = np.concatenate([[0], 1 << np.arange(q.prefix)]).astype(np.uint64)
 
     def run(batches):
+        store.enter("simhash")
         for whole in batches:
             for lo in range(0, whole.num_rows, 2048):
                 part = whole.slice(lo, 2048)
@@ -457,7 +465,7 @@ def pairs_to_verify(nodes: DataFrame, q: Plan, members: int = 131_072) -> DataFr
 
 
 #: Pairs that a task looks at at once.
-_PAIRS = 1 << 21
+_PAIRS = 1 << 18
 #: In the rounds of :func:`all_links`, so many rows at most that a row meets in a shingle; the last round has no limit.
 _EACH = (8, 64, None)
 
@@ -488,6 +496,8 @@ def _apart(similarity: float, each: int | None = None):
             if len(cut):
                 yield pa.RecordBatch.from_arrays([pa.array(cut), pa.nulls(len(cut), pa.int64())], ["u", "v"])
             size = np.minimum(size, each)
+        # Equal pairs of a task have equal numbers, which sort in less memory than pairs do.
+        known, number = np.unique(s, return_inverse=True)
         rows = np.flatnonzero(size)
         total = np.cumsum(size[rows])
         lo = 0
@@ -501,11 +511,12 @@ def _apart(similarity: float, each: int | None = None):
             ok = np.minimum(left[i], left[j]) >= share * (n[i] + n[j]) - 1e-6
             if block is not None:
                 ok &= block[i] != block[j]
-            a, b = s[i[ok]], s[j[ok]]
+            a, b = number[i[ok]], number[j[ok]]
             if len(a):
-                pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
+                pairs = np.unique(np.maximum(a, b) * len(known) + np.minimum(a, b))
+                yield pa.RecordBatch.from_arrays([pa.array(known[pairs // len(known)]), pa.array(known[pairs % len(known)])], ["u", "v"])
             lo = hi
+        store.release()
 
     return run
 
@@ -567,7 +578,9 @@ def all_links(found: DataFrame, nodes: DataFrame, rows: DataFrame, docs: DataFra
     root, among = rooted(), None
     for each in _EACH:
         left = pairs_left(nodes, root, similarity, members, each, among)
-        more = verified(left.filter("v IS NOT NULL"), rows, docs, shingle, similarity)
+        # A pair of sets takes kilobytes in the join that verifies it, a pair of numbers by first byte 512 bytes.
+        near = store.materialize(may_reach(left.filter("v IS NOT NULL"), nodes, similarity), "simhash-near")
+        more = verified(near, rows, docs, shingle, similarity)
         if not more.isEmpty():
             found = found.unionAll(more)
             root = rooted()
@@ -577,6 +590,30 @@ def all_links(found: DataFrame, nodes: DataFrame, rows: DataFrame, docs: DataFra
     return root
 
 
+def may_reach(links: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``links`` whose sets may have ``similarity``, by the numbers of their shingles (``n``, ``counts``).
+
+    Two sets differ in as many shingles at least as their numbers do, added up over all first
+    bytes; capped numbers differ by no more than whole ones.  So no row of that similarity is left out.
+    """
+    store.workers(links.sparkSession)
+    share = similarity / (1 + similarity)
+
+    def run(batches):
+        store.enter("simhash")
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 4096):
+                b = whole.slice(lo, 4096)
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(-1, 256) for c in ("cu", "cv"))
+                both = b.column("nu").to_numpy() + b.column("nv").to_numpy()
+                common = (both - (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)) / 2
+                yield b.select(["u", "v"]).filter(pa.array(common >= share * both - 1e-6))
+
+    # Not broadcast: the numbers grow with the texts.
+    of = lambda c: nodes.select(F.col("s").alias(c), F.col("n").alias(f"n{c}"), F.col("counts").alias(f"c{c}")).hint("merge")
+    return links.join(of("u"), "u").join(of("v"), "v").mapInArrow(run, "u long, v long")
+
+
 def verified(links: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The rows of ``links`` whose sets of shingles have a Jaccard similarity of ``similarity`` or more."""
     asked = links.select(F.explode(F.array("u", "v")).alias("s")).distinct()
@@ -585,6 +622,7 @@ def verified(links: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int, s
     one = store.materialize(one.select("s", F.col("x.doc_id").alias("d"), F.col("x.h").alias("k")), "simhash-asked")
 
     def run(batches):
+        store.enter("simhash")
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), _lists([shingles(t.as_py(), shingle) for t in b.column(1)])], ["s", "x"])
 
@@ -614,7 +652,7 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     """
     q = plan(max(1, docs.count()), similarity)
     rows = store.materialize(sketches(docs, shingle, q.words, similarity, shingle_order(docs, shingle)), "sketches")
-    nodes = store.materialize(rows.groupBy("s").agg(*[F.first(c).alias(c) for c in ("fp", "n", "prefix")]), "simhash-nodes")
+    nodes = store.materialize(rows.groupBy("s").agg(*[F.first(c).alias(c) for c in ("fp", "n", "prefix", "counts")]), "simhash-nodes")
     found = verified(pairs_to_verify(nodes.select("s", "fp"), q), rows, docs, shingle, similarity)
     root = all_links(found, nodes, rows, docs, shingle, similarity)
     known = rows.select("doc_id", "h", "s").join(small(root), "s", "left").select("doc_id", "h", F.coalesce("root", "s").alias("root"))

@@ -6,12 +6,14 @@ the driver can reach, so that a lost executor costs only a re-read.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,8 +75,14 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
+#: Bytes of the batches that Python workers get, and what limits them; Spark's own limits let 10,000 texts through at once.
+BATCH_BYTES, BATCH_LIMIT = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def workers(spark: SparkSession) -> None:
-    """Let Python workers import this package where it isn't installed."""
+    """Let Python workers import this package where it isn't installed, and get small batches unless the session says how large."""
+    if spark.conf.get(BATCH_LIMIT, None) is None:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(":") if p]
     if ROOT not in paths:
@@ -96,3 +104,11 @@ def enter(part: str) -> None:
         if name != part:
             for clear in clears:
                 clear()
+    release()
+
+
+def release() -> None:
+    """Give a Python worker's free memory back to the system, as far as its allocators can."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -273,6 +274,37 @@ def test_pairs_left_are_all(spark, members, monkeypatch):
     assert simhash.pairs_left(rows.limit(0), root, 0.8).count() == 0
 
 
+def test_numbers_of_shingles_rule_out_unlike_pairs(spark):
+    """No pair of 0.8 is left out, of capped numbers neither, and few of those that only share some shingles are kept."""
+    rnd = random.Random(12)
+    base = [str(rnd.random()) for _ in range(70_000)]
+    texts = near_chains(rnd, 30, 4) + [" ".join(base), " ".join(base[:57_000]), " ".join(base[:50_000])]
+    texts += [" ".join(base[:80] + [str(rnd.random()) for _ in range(200)]) for _ in range(40)]
+    sets = sets_of(texts)
+    _, near = groups_of(sets)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(7)
+    rows = simhash.sketches(df, 5, 2, 0.8, simhash.shingle_order(df, 5)).cache()
+    ids = {r["s"]: r["doc_id"] for r in rows.collect()}
+    assert max(max(r["counts"]) for r in rows.collect()) == 255
+    pairs = rows.select(F.col("s").alias("u")).join(rows.select(F.col("s").alias("v")), F.col("u") > F.col("v"))
+    kept = {tuple(sorted((ids[r["u"]], ids[r["v"]]))) for r in simhash.may_reach(pairs, rows, 0.8).collect()}
+    assert near <= kept and len(kept - near) < 0.1 * len(texts) ** 2 / 2
+    rows.unpersist()
+
+
+def test_workers_get_small_batches(spark):
+    """Whatever the number of rows, a Python worker gets some megabytes at once, and gives back what it doesn't use."""
+    simhash.store.workers(spark)
+    df = spark.range(0, 9000, 1, 1).select(F.repeat(F.lit("0123456789"), 400).alias("text"))
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    got = [r["n"] for r in df.mapInArrow(run, "n long").collect()]
+    assert sum(got) >= 36_000_000 and max(got) < 5_000_000
+
+
 def test_plan_grows_slowly():
     for n in (1, 1000, 10**6, 10**9, 10**11):
         q = simhash.plan(n)
