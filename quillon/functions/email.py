@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillon.functions import rules
+from quillon.functions.bind import let
 
 FULL = rf"^(?:{rules.EMAIL})\z"
 def _found(email: Column, source: str) -> Column:
@@ -14,11 +15,11 @@ def _found(email: Column, source: str) -> Column:
 
 def cf_decode(hexed: Column) -> Column:
     """An address that is XOR-ed with its first byte, in hex; null if it isn't one."""
-    h = F.regexp_replace(hexed, r"\s", "")
-    ok = h.rlike(r"^(?:[0-9a-fA-F]{2}){2,}$")
-    h2 = F.when(ok, h)
-    text = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest((F.length(h2) / 2).cast("int") - 1, F.lit(1))), lambda i: F.char(F.conv(h2.substr(i * 2 + 1, F.lit(2)), 16, 10).cast("int").bitwiseXOR(F.conv(h2.substr(F.lit(1), F.lit(2)), 16, 10).cast("int")))), "")
-    return F.when(ok & text.rlike(FULL), text)
+    byte = lambda h, at: F.conv(h.substr(at, F.lit(2)), 16, 10).cast("int")
+    places = lambda h: F.sequence(F.lit(3), F.length(h) - 1, F.lit(2))
+    text = lambda h: let(byte(h, F.lit(1)), lambda key: F.array_join(F.transform(places(h), lambda at: F.char(byte(h, at).bitwiseXOR(key))), ""))
+    decoded = let(F.regexp_replace(hexed, r"\s", ""), lambda h: F.when(h.rlike(r"^(?:[0-9a-fA-F]{2}){2,}$"), text(h)))
+    return let(decoded, lambda t: F.when(t.rlike(FULL), t))
 
 
 def munge_decode(text: Column, compat: bool = False) -> Column:

@@ -70,6 +70,18 @@ def test_cf_round_trip(spark, cases):
     assert run(spark, coded, email.cf_decode) == [a for a, _ in cases]
 
 
+def uses(spark, f, kind="string"):
+    """How often the expression of ``f`` reads its column."""
+    import re
+
+    plan = spark.createDataFrame([], f"v {kind}").select(f(F.col("v")).alias("r"))._jdf.queryExecution().analyzed().toString()
+    return len(re.findall(r"\bv#", plan.split("\n")[0]))
+
+
+def test_cf_reads_its_text_once(spark):
+    assert uses(spark, email.cf_decode) == 1
+
+
 def test_domain(spark):
     assert run(spark, ["https://www.west.org:80/a", "west.org", "http://X.org?q"], web.domain) == ["west.org", "west.org", "x.org"]
     assert run(spark, ["west.org"], lambda c: web.domain(c, compat=True)) == ["est.org"]
