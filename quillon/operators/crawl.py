@@ -212,8 +212,9 @@ def enrich(staff: DataFrame, finder: DataFrame, candidates: DataFrame) -> DataFr
 
 
 def mx_top(records: DataFrame) -> DataFrame:
-    """``domain`` and ``exchange`` with the lowest preference, without its final dot."""
-    return records.groupBy("domain").agg(F.regexp_replace(F.min_by("exchange", F.struct("preference", "exchange")), r"\.$", "").alias("exchange"))
+    """``domain`` and ``exchange`` with the lowest preference, of equals the first by ``ord``, without its final dot; records without an exchange or a preference don't count."""
+    rank = F.when(F.col("exchange").isNotNull() & F.col("preference").isNotNull(), F.struct("preference", "ord"))
+    return records.groupBy("domain").agg(F.regexp_replace(F.min_by("exchange", rank), r"\.$", "").alias("exchange"))
 
 
 def planned_starts(fetches: DataFrame, delay: float = 2.5) -> DataFrame:

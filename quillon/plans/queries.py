@@ -332,7 +332,7 @@ def pattern_consensus(spark, sf_dir):
 @query("SELECT domain, arg_min(exchange, preference) AS exchange FROM (SELECT concat('d', CAST(s_nationkey AS STRING)) AS domain, concat('mx', CAST(s_suppkey AS STRING), '.example.org') AS exchange, s_suppkey * 37 % 1009 AS preference FROM supplier) GROUP BY domain")
 def mx_top1(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
-    return crawl.mx_top(s.select(F.concat(F.lit("d"), F.col("s_nationkey").cast("string")).alias("domain"), F.concat(F.lit("mx"), F.col("s_suppkey").cast("string"), F.lit(".example.org.")).alias("exchange"), (F.col("s_suppkey") * 37 % 1009).alias("preference")))
+    return crawl.mx_top(s.select(F.concat(F.lit("d"), F.col("s_nationkey").cast("string")).alias("domain"), F.concat(F.lit("mx"), F.col("s_suppkey").cast("string"), F.lit(".example.org.")).alias("exchange"), (F.col("s_suppkey") * 37 % 1009).alias("preference"), F.col("s_suppkey").alias("ord")))
 
 
 @query(with_views("SELECT id, CASE WHEN website_url IS NULL THEN NULL WHEN website_url LIKE 'http%' THEN website_url ELSE 'https://' || website_url END AS url FROM schools"))

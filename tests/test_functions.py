@@ -126,3 +126,10 @@ def test_arts_page_reads_words_as_sql_does(spark):
     texts = [f"{a} {s}" for a in arts for s in staff]
     sql = f"SELECT regexp_matches(t, '(?i){rules.ARTS_WORD}') AND (regexp_matches(t, '{rules.EMAIL}') OR regexp_matches(t, '(?i){rules.STAFF_WORD}')) FROM (SELECT unnest(?) AS t)"
     assert run(spark, [*texts, None], web.arts_page) == [*[r[0] for r in duckdb.execute(sql, [texts]).fetchall()], False]
+
+
+def test_mx_of_equal_preferences_is_the_first(spark):
+    from quillon.operators import crawl
+
+    rows = [("d", "mx9.", 1, 9), ("d", "mx10.", 1, 10), ("d", "mx1.", 2, 1), ("d", "mx0.", None, 0), ("e", None, 1, 0)]
+    assert {tuple(r) for r in crawl.mx_top(spark.createDataFrame(rows, "domain string, exchange string, preference int, ord int")).collect()} == {("d", "mx9"), ("e", None)}
