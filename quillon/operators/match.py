@@ -8,8 +8,11 @@ exploded keys, and a tier sees only inputs that the tiers before it left.
 from __future__ import annotations
 
 import difflib
+import heapq
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -65,38 +68,130 @@ def in_state(hits: DataFrame) -> DataFrame:
     return hits.filter(F.col("hint").isNull() | (F.col("state") == F.col("hint")))
 
 
-def _pieces(c: Column) -> Column:
-    """Numbered pairs of neighbouring characters: the n-th one of its kind is a piece of its own."""
-    two = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))
-    return F.transform(two, lambda x, i: F.concat(x, F.size(F.filter(F.slice(two, 1, i + 1), lambda y: y == x)).cast("string")))
+_ASKED, _NAMES = 1_000, 100_000  # Most names, about, that one task gets of either side at once.
+
+
+class _Closest:
+    """Names (``keys``) among which the closest to another are sought without a look at each.
+
+    The characters in blocks that match are a common subsequence, and that is a part of the
+    characters in common.  So a ratio has two bounds: the cheaper one is worked out once for
+    all names of the same characters, the other for what may be left.  Names are then
+    compared by falling bound until what is found can't be beaten.
+    """
+
+    def __init__(self, keys: list[str]) -> None:
+        self.keys = sorted(keys, reverse=True)
+        n = np.array([len(k) for k in self.keys])
+        flat = np.frombuffer("".join(self.keys).encode("utf-32-le", "surrogatepass"), np.uint32)
+        owner = np.repeat(np.arange(len(n)), n)
+        counts = np.zeros((len(n), 64), np.int32)  # Characters share 64 counters, which only raises the bound.
+        np.add.at(counts, (owner, flat % 64), 1)
+        seen: dict[bytes, int] = {}
+        kind = np.array([seen.setdefault(x.tobytes(), len(seen)) for x in counts])
+        kinds = np.frombuffer(b"".join(seen), np.int32).reshape(-1, 64)
+        self.members = np.argsort(kind, kind="stable")
+        self.ends = np.searchsorted(kind[self.members], np.arange(len(kinds) + 1))
+        self.kinds, self.kind_length = np.ascontiguousarray(kinds.T), kinds.sum(axis=1)
+        self.letters, code = np.unique(flat, return_inverse=True)
+        self.length = n
+        short = (n <= 64)[owner]
+        self.codes = np.full((int(min(n.max(initial=0), 64)), len(n)), len(self.letters), np.int32)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+        self.codes[place[short], owner[short]] = code.reshape(-1)[short]
+
+    def common(self, name: str, rows: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Lengths of longest common subsequences with ``rows``, in words of 64 bits; ``most`` where a name is longer."""
+        if len(name) > 64:
+            return most
+        masks = dict.fromkeys(name, 0)
+        for i, c in enumerate(name):
+            masks[c] |= 1 << i
+        at = np.zeros(len(self.letters) + 1, np.uint64)
+        for c, m in masks.items():
+            i = np.searchsorted(self.letters, ord(c))
+            if i < len(self.letters) and self.letters[i] == ord(c):
+                at[i] = m
+        v = np.full(len(rows), 0xFFFFFFFFFFFFFFFF, np.uint64)
+        for column in self.codes[: int(self.length[rows].max(initial=0))]:
+            u = v & at[column[rows]]
+            v = (v + u) | (v - u)
+        return np.where(self.length[rows] <= 64, np.minimum(np.bitwise_count(~v), most), most)
+
+    def closest(self, name: str, cutoff: float, most: int) -> list[tuple[float, str]]:
+        """(ratio, name) of the ``most`` closest names of ``cutoff`` or more, larger names first among equals."""
+        m = difflib.SequenceMatcher()
+        m.set_seq2(name)
+        flat = np.frombuffer(name.encode("utf-32-le", "surrogatepass"), np.uint32)
+        shared = np.zeros(self.kinds.shape[1], np.int64)
+        for c, k in zip(*np.unique(flat % 64, return_counts=True)):
+            shared += np.minimum(self.kinds[c], k)
+        total = self.kind_length + len(name)
+        bound = np.where(total > 0, 2.0 * shared / np.maximum(total, 1), 1.0)
+        near = np.flatnonzero(bound >= cutoff)
+        near = near[np.argsort(-bound[near], kind="stable")]
+        best: list[tuple[float, str]] = []
+        waiting: list[tuple[float, int]] = []  # Names by falling second bound and name.
+        i = 0
+        while i < len(near) or waiting:
+            level = bound[near[i]] if i < len(near) else -1.0
+            if waiting and -waiting[0][0] > level:
+                upper, row = heapq.heappop(waiting)
+                key = self.keys[row]
+                if len(best) == most and (-upper, key) < best[0]:
+                    break
+                m.set_seq1(key)
+                found = (m.ratio(), key)
+                if found[0] >= cutoff:
+                    (heapq.heappush if len(best) < most else heapq.heappushpop)(best, found)
+                continue
+            if len(best) == most and level < best[0][0]:
+                break
+            j = i
+            while j < len(near) and bound[near[j]] == level:
+                j += 1
+            rows = np.concatenate([self.members[self.ends[k] : self.ends[k + 1]] for k in near[i:j]])
+            upto = np.repeat(shared[near[i:j]], self.ends[near[i:j] + 1] - self.ends[near[i:j]])
+            both = self.length[rows] + len(name)
+            upper = np.where(both > 0, 2.0 * self.common(name, rows, upto) / np.maximum(both, 1), 1.0)
+            ok = upper >= max(cutoff, best[0][0] if len(best) == most else 0.0)
+            waiting += zip((-upper[ok]).tolist(), rows[ok].tolist())
+            heapq.heapify(waiting)
+            i = j
+        return sorted(best, reverse=True)
 
 
 def fuzzy(inputs: DataFrame, index: DataFrame, cutoff: float = rules.FUZZY, most: int = 5) -> DataFrame:
     """Rows of the ``most`` closest names of ``cutoff`` or more, in the hinted state; larger names first among equals.
 
-    Two names of together T characters with a ratio of c have M >= cT/2 characters in
-    blocks that match, and at most (1 - c)T others, so at most (1 - c)T + 1 blocks, and
-    thus (1.5c - 1)T - 1 pairs of neighbouring characters or more in common.  They then
-    share one of their rarest pairs: a name of n pairs that must share k takes the n - k + 1
-    rarest, which loses nothing.  Those meet by an equi-join.
+    Names are asked for within a pool, those of the hinted state or all.  A pool's names are
+    dealt to blocks and what is asked of it to chunks, so that a task holds one of each at a
+    time; :class:`_Closest` finds a block's closest names.
     """
-    low = cutoff / (2 - cutoff)
-    keys = keep(index.select(F.col("norm").alias("key"), "state").distinct(), "fuzzy-keys")
-    asked = keep(inputs.select("norm").distinct(), "fuzzy-names")
-    piece = lambda df, c: df.select(c, F.explode(_pieces(F.col(c))).alias("piece"))
-    names = keys.select("key").distinct()
-    rarity = piece(names, "key").groupBy("piece").agg(F.count("*").alias("df"))
-
-    def rarest(df: DataFrame, c: str) -> DataFrame:
-        must = F.greatest(F.floor((1.5 * cutoff - 1) * (1 + low) * F.length(c)) - 1, F.lit(1))
-        w = Window.partitionBy(c).orderBy(F.coalesce("df", F.lit(0)), "piece")
-        ranked = piece(df, c).join(rarity, "piece", "left").withColumn("r", F.row_number().over(w))
-        return ranked.filter(F.col("r") <= F.greatest(F.length(c) - 1, F.lit(1)) - must + 1).select(c, "piece")
-
-    size = F.least(F.length("norm"), F.length("key")) >= low * F.greatest(F.length("norm"), F.length("key"))
-    near = rarest(asked, "norm").join(rarest(names, "key"), "piece").filter(size).select("norm", "key").distinct()
-    near = near.withColumn("score", ratio("key", "norm")).filter(F.col("score") >= cutoff)
-    pairs = inputs.join(near, "norm").join(keys, "key").filter(F.col("hint").isNull() | (F.col("hint") == F.col("state"))).select("iid", "norm", "hint", "key", "score").distinct()
+    pool = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
+    keys = keep(index.select(F.col("norm").alias("key"), "state").filter("key IS NOT NULL").distinct(), "fuzzy-keys")
+    inputs = inputs.select("iid", "norm", "hint").distinct()
+    asked = keep(inputs.filter("norm IS NOT NULL").select("norm", pool("hint").alias("pool")).distinct(), "fuzzy-names")
+    names = keys.select("key", F.lit("").alias("pool")).distinct().unionAll(keys.filter("state IS NOT NULL").select("key", pool("state").alias("pool")))
+    parts = lambda df, size, c: df.groupBy("pool").agg(F.ceil(F.count("*") / size).cast("long").alias(c))
+    deal = F.broadcast(parts(asked, _ASKED, "chunks").join(parts(names, _NAMES, "blocks"), "pool"))  # Broadcast: a row for each state.
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    group = ["pool", "chunk", "block"]
+    left = asked.join(deal, "pool").select("pool", F.pmod(F.xxhash64("norm"), F.col("chunks")).alias("chunk"), every("blocks").alias("block"), "norm")
+    right = names.join(deal, "pool").select("pool", every("chunks").alias("chunk"), F.pmod(F.xxhash64("key"), F.col("blocks")).alias("block"), "key")
+    schema = pa.schema([("pool", pa.string()), ("norm", pa.string()), ("key", pa.string()), ("score", pa.float64())])
+
+    def search(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return schema.empty_table()
+        near = _Closest(b.column("key").to_pylist())
+        rows = [(key[0].as_py(), x, k, s) for x in a.column("norm").to_pylist() for s, k in near.closest(x, cutoff, most)]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema) if rows else schema.empty_table()
+
+    # The number of tasks is given, as their work isn't told by their bytes.
+    left, right = left.repartition(192, *group), right.repartition(192, *group)
+    near = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(search, "pool string, norm string, key string, score double")
+    pairs = inputs.withColumn("pool", pool("hint")).join(near, ["pool", "norm"]).select("iid", "norm", "hint", "key", "score")
     w = Window.partitionBy("iid").orderBy(F.desc("score"), F.desc("key"))
     best = pairs.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")
     return in_state(best.join(index.withColumnRenamed("norm", "key"), "key"))

@@ -52,3 +52,35 @@ def test_prefix_hits_of_other_states(spark, compat, want):
 def test_display_title(spark):
     got = spark.range(1).select(text.display_title(F.lit("TEXAS school OF the arts o'neil")).alias("t")).first()["t"]
     assert got == "Texas School Of The Arts O'Neil"
+
+
+def test_closest_names_equal_difflib():
+    import difflib
+    import random
+
+    random.seed(1)
+    for alphabet in ["ab", "abc 01", "abcdefghij ", "aéñ漢b\0"]:
+        for size in [3, 20, 70, 230]:
+            base = random.choices(alphabet, k=size)
+
+            def change():
+                x = list(base)
+                for _ in range(random.randint(0, 3)):
+                    x[random.randrange(len(x)) : random.randint(0, len(x))] = random.choices(alphabet, k=random.randint(0, 2))
+                    x = x or ["a"]
+                return "".join(x)
+
+            keys = sorted({change() for _ in range(60)} | {""})
+            near = match._Closest(keys)
+            for asked in [change(), change(), ""]:
+                assert [k for _, k in near.closest(asked, 0.82, 5)] == difflib.get_close_matches(asked, keys, 5, 0.82)
+
+
+def test_closest_names_need_few_ratios(monkeypatch):
+    import difflib
+
+    looks = []
+    ratio = difflib.SequenceMatcher.ratio
+    monkeypatch.setattr(difflib.SequenceMatcher, "ratio", lambda m: (looks.append(1), ratio(m))[1])
+    near = match._Closest([f"supplier {i:06d} high school" for i in range(5_000)])
+    assert [k for _, k in near.closest("subblier 001234 hiqh school", 0.82, 5)][0] == "supplier 001234 high school" and len(looks) < 50
