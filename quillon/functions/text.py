@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillon.functions import rules
+from quillon.functions.bind import let
 
 
 def trim_ws(c: Column) -> Column:
@@ -27,7 +28,7 @@ def _capital(w: Column) -> Column:
 
 
 def _mc(w: Column) -> Column:
-    return F.when(w.rlike("^Mc[a-z]"), F.concat(F.lit("Mc"), F.upper(F.substring(w, 3, 1)), F.substr(w, F.lit(4)))).otherwise(w)
+    return let(w, lambda w: F.when(w.rlike("^Mc[a-z]"), F.concat(F.lit("Mc"), F.upper(F.substring(w, 3, 1)), F.substr(w, F.lit(4)))).otherwise(w))
 
 
 def person_name(c: Column) -> Column:
@@ -77,35 +78,36 @@ def clean_title(c: Column) -> Column:
 
 def valid_title(c: Column) -> Column:
     """A short job title without page furniture."""
-    return F.coalesce((c != "") & ~c.rlike("(?i)" + rules.TITLE_JUNK) & (F.length(c) <= 100) & (F.size(words(c)) <= 12) & (F.length(c) - F.length(F.replace(c, F.lit("."), F.lit(""))) <= 1), F.lit(False))
+    ok = lambda c: (c != "") & (F.length(c) <= 100) & ~c.rlike("(?i)" + rules.TITLE_JUNK) & (F.size(words(c)) <= 12) & (F.length(c) - F.length(F.replace(c, F.lit("."), F.lit(""))) <= 1)
+    return F.coalesce(let(c, ok), F.lit(False))
 
 
 def valid_name(c: Column) -> Column:
     """Two to five name-like words and nothing of a menu or a notice."""
     from quillon.functions.classify import is_art
 
-    w = words(c)
-    bare = F.transform(w, lambda x: F.regexp_replace(x, r"^[.,]+|[.,]+$", ""))
-    shouted = F.size(F.filter(w, lambda x: (F.length(F.regexp_replace(x, r"^[.,]+|[.,]+$", "")) >= 2) & (x == F.upper(x)) & (x != F.lower(x))))
-    low = F.transform(bare, F.lower)
-    menu = F.array(*map(F.lit, rules.NAV_WORDS))
-    nav = F.arrays_overlap(low, menu) | F.arrays_overlap(F.transform(low, lambda x: F.regexp_replace(x, "s$", "")), menu)
-    shape = F.forall(w, lambda x: x.rlike(r"^[A-Z][A-Za-z]*(?:['\-][A-Z][A-Za-z]*)*\.?$"))
-    return F.coalesce(F.size(w).between(2, 5) & (F.length(c) <= 60) & ~c.rlike(r"[0-9&/:@|]") & ~is_art(c) & ((shouted == 0) | (shouted == F.size(w))) & ~nav & shape, F.lit(False))
+    def ok(c: Column, w: Column, bare: Column) -> Column:
+        shouted = F.size(F.filter(w, lambda x: (x == F.upper(x)) & (x != F.lower(x)) & (F.length(F.regexp_replace(x, r"^[.,]+|[.,]+$", "")) >= 2)))
+        nav = F.exists(bare, lambda x: let(F.lower(x), lambda y: y.isin(rules.NAV_WORDS) | F.regexp_replace(y, "s$", "").isin(rules.NAV_WORDS)))
+        shape = F.forall(w, lambda x: x.rlike(r"^[A-Z][A-Za-z]*(?:['\-][A-Z][A-Za-z]*)*\.?$"))
+        return F.size(w).between(2, 5) & (F.length(c) <= 60) & ~c.rlike(r"[0-9&/:@|]") & shape & ~is_art(c) & let(shouted, lambda n: (n == 0) | (n == F.size(w))) & ~nav
+
+    bare = lambda w: F.transform(w, lambda x: F.regexp_replace(x, r"^[.,]+|[.,]+$", ""))
+    return F.coalesce(let(c, lambda c: let(words(c), lambda w: let(bare(w), lambda b: ok(c, w, b)))), F.lit(False))
 
 
 def split_name_title(line: Column) -> Column:
     """struct(name, title) of a line like "Name, Title"; null unless the name is valid."""
-    p = F.split(line, r"\s*,\s*|\s*:\s*|\s+[-–—]\s+", 2)
-    name, title = trim_ws(p[0]), trim_ws(F.try_element_at(p, F.lit(2)))
-    return F.when((F.size(p) == 2) & valid_name(name) & (title != ""), F.struct(name.alias("name"), title.alias("title")))
+    pair = lambda p: F.struct(trim_ws(F.get(p, F.lit(0))).alias("name"), trim_ws(F.get(p, F.lit(1))).alias("title"))
+    whole = lambda p: F.when(F.size(p) == 2, let(pair(p), lambda x: F.when((x["title"] != "") & valid_name(x["name"]), x)))
+    return let(F.split(line, r"\s*,\s*|\s*:\s*|\s+[-–—]\s+", 2), whole)
 
 
 def last_first(c: Column) -> Column:
     """"Last, First" as "First Last"; anything else as it is."""
-    a = trim_ws(F.substring_index(c, ",", 1))
-    b = trim_ws(F.regexp_extract(c, r"^[^,]*,(.*)$", 1))
-    return F.when(c.contains(",") & (a != "") & (b != ""), F.concat(b, F.lit(" "), a)).otherwise(c)
+    parts = lambda c: F.struct(trim_ws(F.substring_index(c, ",", 1)).alias("a"), trim_ws(F.regexp_extract(c, r"^[^,]*,(.*)$", 1)).alias("b"))
+    turn = lambda c: let(parts(c), lambda p: F.when((p["a"] != "") & (p["b"] != ""), F.concat(p["b"], F.lit(" "), p["a"])).otherwise(c))
+    return let(c, lambda c: F.when(c.contains(","), turn(c)).otherwise(c))
 
 
 def display_title(c: Column) -> Column:
@@ -116,15 +118,14 @@ def display_title(c: Column) -> Column:
 
 def table_row(line: Column) -> Column:
     """struct(name, title) of a tab-separated row of two or more cells; null if either is not valid."""
-    cells = F.filter(F.transform(F.split(line, r"\t+"), trim_ws), lambda x: x != "")
-    name, title = last_first(F.try_element_at(cells, F.lit(1))), clean_title(F.try_element_at(cells, F.lit(2)))
-    return F.when((F.size(cells) >= 2) & valid_name(name) & valid_title(title), F.struct(name.alias("name"), title.alias("title")))
+    pair = lambda cells: F.struct(last_first(F.get(cells, F.lit(0))).alias("name"), clean_title(F.get(cells, F.lit(1))).alias("title"))
+    whole = lambda cells: F.when(F.size(cells) >= 2, let(pair(cells), lambda x: F.when(valid_title(x["title"]) & valid_name(x["name"]), x)))
+    return let(F.filter(F.transform(F.split(line, r"\t+"), trim_ws), lambda x: x != ""), whole)
 
 
 def table_rows(lines: Column) -> Column:
     """All rows of a table's lines; none unless two or more are valid."""
-    found = F.filter(F.transform(lines, table_row), lambda x: x.isNotNull())
-    return F.when(F.size(found) >= 2, found).otherwise(F.slice(found, 1, 0))
+    return let(F.filter(F.transform(lines, table_row), lambda x: x.isNotNull()), lambda found: F.when(F.size(found) >= 2, found).otherwise(F.slice(found, 1, 0)))
 
 
 def campus_tag(title: Column) -> Column:
@@ -146,8 +147,11 @@ def tag_matches(tag: Column, school: Column) -> Column:
 def email_matches_name(email: Column, name: Column) -> Column:
     """Whether an address's letters hold the first or last name, or initial and name."""
     local = F.lower(F.regexp_replace(F.substring_index(email, "@", 1), "[^A-Za-z]", ""))
-    w = F.transform(words(name), lambda x: F.lower(F.regexp_replace(x, "[^A-Za-z]", "")))
-    w = F.filter(w, lambda x: x != "")
-    first, last = F.try_element_at(w, F.lit(1)), F.try_element_at(w, F.lit(-1))
-    has = lambda x: (F.length(x) >= 3) & local.contains(x)
-    return F.coalesce((local != "") & (has(last) | has(first) | (local == F.concat(F.substring(first, 1, 1), last)) | (local == F.concat(first, F.substring(last, 1, 1)))), F.lit(False))
+    w = F.filter(F.transform(words(name), lambda x: F.lower(F.regexp_replace(x, "[^A-Za-z]", ""))), lambda x: x != "")
+    ends = let(w, lambda w: F.struct(F.try_element_at(w, F.lit(1)).alias("first"), F.try_element_at(w, F.lit(-1)).alias("last")))
+
+    def ok(local: Column, first: Column, last: Column) -> Column:
+        has = lambda x: (F.length(x) >= 3) & local.contains(x)
+        return (local != "") & (has(last) | has(first) | (local == F.concat(F.substring(first, 1, 1), last)) | (local == F.concat(first, F.substring(last, 1, 1))))
+
+    return F.coalesce(let(local, lambda x: let(ends, lambda e: ok(x, e["first"], e["last"]))), F.lit(False))

@@ -133,3 +133,7 @@ def test_mx_of_equal_preferences_is_the_first(spark):
 
     rows = [("d", "mx9.", 1, 9), ("d", "mx10.", 1, 10), ("d", "mx1.", 2, 1), ("d", "mx0.", None, 0), ("e", None, 1, 0)]
     assert {tuple(r) for r in crawl.mx_top(spark.createDataFrame(rows, "domain string, exchange string, preference int, ord int")).collect()} == {("d", "mx9"), ("e", None)}
+
+
+def test_table_rows_read_their_lines_once(spark):
+    assert uses(spark, text.table_rows, "array<string>") == uses(spark, text.table_row) == uses(spark, text.last_first) == uses(spark, text.valid_name) == 1
