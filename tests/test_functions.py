@@ -137,3 +137,8 @@ def test_mx_of_equal_preferences_is_the_first(spark):
 
 def test_table_rows_read_their_lines_once(spark):
     assert uses(spark, text.table_rows, "array<string>") == uses(spark, text.table_row) == uses(spark, text.last_first) == uses(spark, text.valid_name) == 1
+
+
+def test_split_name_title_reads_its_line_once(spark):
+    assert uses(spark, text.split_name_title) == 1
+    assert [tuple(x) if x else x for x in run(spark, ["Anna Lindqvist, Band", "Anna Lindqvist", "Anna Lindqvist : ", "Fine Arts, Band", None], text.split_name_title)] == [("Anna Lindqvist", "Band"), None, None, None, None]
