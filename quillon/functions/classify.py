@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillon.functions import rules
+from quillon.functions.bind import let
 
 
 def strip_excludes(c: Column) -> Column:
@@ -15,13 +16,15 @@ def strip_excludes(c: Column) -> Column:
 def classify(title: Column, department: Column | None = None) -> Column:
     """struct(is_art, discipline, matched_term): the first term of the list that occurs."""
     both = F.concat_ws(" ", title, department) if department is not None else F.coalesce(title, F.lit(""))
-    text = strip_excludes(both)
-    label, term = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for pattern, name in reversed(rules.DISCIPLINES):
-        whole = rf"(?i)\b({pattern})\b"
-        label = F.when(text.rlike(whole), name).otherwise(label)
-        term = F.when(text.rlike(whole), F.regexp_extract(text, whole, 1)).otherwise(term)
-    return F.struct(label.isNotNull().alias("is_art"), F.coalesce(label, F.lit("unknown")).alias("discipline"), term.alias("matched_term"))
+
+    def first(text: Column) -> Column:
+        out = F.lit(None).cast("struct<discipline:string,matched_term:string>")
+        for pattern, name in reversed(rules.DISCIPLINES):
+            whole = rf"(?i)\b({pattern})\b"
+            out = F.when(text.rlike(whole), F.struct(F.lit(name).alias("discipline"), F.regexp_extract(text, whole, 1).alias("matched_term"))).otherwise(out)
+        return out
+
+    return let(let(strip_excludes(both), first), lambda x: F.struct(x.isNotNull().alias("is_art"), F.coalesce(x["discipline"], F.lit("unknown")).alias("discipline"), x["matched_term"].alias("matched_term")))
 
 
 def is_art(c: Column) -> Column:

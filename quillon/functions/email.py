@@ -10,7 +10,7 @@ from quillon.functions.bind import let
 
 FULL = rf"^(?:{rules.EMAIL})\z"
 def _found(email: Column, source: str) -> Column:
-    return F.when(email.isNotNull() & (email != ""), F.struct(email.alias("email"), F.lit(source).alias("source")))
+    return let(email, lambda e: F.when(e.isNotNull() & (e != ""), F.struct(e.alias("email"), F.lit(source).alias("source"))))
 
 
 def cf_decode(hexed: Column) -> Column:
@@ -24,12 +24,15 @@ def cf_decode(hexed: Column) -> Column:
 
 def munge_decode(text: Column, compat: bool = False) -> Column:
     """struct(email, source) of a plain or spelt-out address."""
-    t = F.regexp_replace(text, "[​‌‍﻿]", "")
     p = rules.COMPAT if compat else rules.STRICT
-    plain = F.regexp_extract(t, f"({rules.EMAIL})", 1)
-    spelt = F.when(t.rlike(p), F.concat(F.regexp_extract(t, p, 1), F.lit("@"), F.regexp_extract(t, p, 2), F.lit("."), F.regexp_extract(t, p, 3)))
-    at = F.when(t.rlike(rules.AT_ONLY), F.concat(F.regexp_extract(t, rules.AT_ONLY, 1), F.lit("@"), F.regexp_extract(t, rules.AT_ONLY, 2)))
-    return F.coalesce(_found(plain, "MAILTO"), _found(spelt, "JS_DECODED"), _found(at, "JS_DECODED"))
+
+    def read(t: Column) -> Column:
+        plain = F.regexp_extract(t, f"({rules.EMAIL})", 1)
+        spelt = F.when(t.rlike(p), F.concat(F.regexp_extract(t, p, 1), F.lit("@"), F.regexp_extract(t, p, 2), F.lit("."), F.regexp_extract(t, p, 3)))
+        at = F.when(t.rlike(rules.AT_ONLY), F.concat(F.regexp_extract(t, rules.AT_ONLY, 1), F.lit("@"), F.regexp_extract(t, rules.AT_ONLY, 2)))
+        return F.coalesce(_found(plain, "MAILTO"), _found(spelt, "JS_DECODED"), _found(at, "JS_DECODED"))
+
+    return let(F.regexp_replace(text, "[​‌‍﻿]", ""), read)
 
 
 def onclick_decode(c: Column) -> Column:
@@ -42,9 +45,9 @@ def onclick_decode(c: Column) -> Column:
 
 def resolve_email(link: Column, hexed: Column, text: Column, compat: bool = False) -> Column:
     """struct(email, source): a link's address, else a decoded one, else the link as it is without a source."""
-    plain = F.regexp_replace(F.regexp_replace(link, "(?i)^mailto:", ""), r"\?.*$", "")
+    mail = let(F.regexp_replace(F.regexp_replace(link, "(?i)^mailto:", ""), r"\?.*$", ""), lambda x: F.when(x.rlike(FULL), x))
     raw = F.when(link.isNotNull() & (link != ""), F.struct(link.alias("email"), F.lit(None).cast("string").alias("source")))
-    return F.coalesce(_found(F.when(plain.rlike(FULL), plain), "MAILTO"), _found(cf_decode(hexed), "CF_DECODED"), munge_decode(text, compat), raw)
+    return F.coalesce(_found(mail, "MAILTO"), _found(cf_decode(hexed), "CF_DECODED"), munge_decode(text, compat), raw)
 
 
 def resolution_method(email: Column) -> Column:

@@ -99,7 +99,7 @@ def extract_staff(blocks: DataFrame, permissive: bool = False) -> DataFrame:
     tidy = F.filter(F.transform("lines", text.trim_ws), lambda x: x != "")
     b = blocks.select("page_id", "pos", "kind", tidy.alias("lines"), emails.alias("emails"), given("cfemail", "string").alias("cfemail"), given("link", "string").alias("link"), given("evidence_url", "string").alias("evidence_url"))
     # Columns, one after the other: as expressions they would be written out wherever they are used.
-    b = b.withColumn("cells", text.table_rows(F.col("lines"))).withColumn("l", F.transform("lines", lambda x: F.struct(x.alias("t"), text.valid_name(x).alias("is_name"), text.split_name_title(x).alias("s"), text.clean_title(x).alias("clean"), (classify.is_art(x) & text.valid_title(x)).alias("is_title"))))
+    b = b.withColumn("cells", F.when(F.col("kind") == "block", text.table_rows(F.col("lines")))).withColumn("l", F.transform("lines", lambda x: F.struct(x.alias("t"), text.valid_name(x).alias("is_name"), text.split_name_title(x).alias("s"), text.clean_title(x).alias("clean"), (classify.is_art(x) & text.valid_title(x)).alias("is_title"))))
     b = b.withColumn("l", F.transform("l", lambda x: F.struct(x["t"].alias("t"), x["is_name"].alias("is_name"), x["s"].alias("s"), x["clean"].alias("clean"), x["is_title"].alias("is_title"), classify.is_art(x["s"]["title"]).alias("s_art"), text.valid_title(x["s"]["title"]).alias("s_title"), (text.valid_title(x["clean"]) & (F.lit(True) if permissive else classify.is_art(x["clean"]))).alias("below"))))
     linked = F.get("emails", F.lit(0))
     b = b.withColumn("mail", F.coalesce(email.resolve_email(linked, F.col("cfemail"), F.array_join("lines", "\n")), F.when(F.nullif("link", F.lit("")).isNotNull(), F.struct(F.col("link").alias("email"), F.lit(None).cast("string").alias("source")))))

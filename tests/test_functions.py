@@ -142,3 +142,7 @@ def test_table_rows_read_their_lines_once(spark):
 def test_split_name_title_reads_its_line_once(spark):
     assert uses(spark, text.split_name_title) == 1
     assert [tuple(x) if x else x for x in run(spark, ["Anna Lindqvist, Band", "Anna Lindqvist", "Anna Lindqvist : ", "Fine Arts, Band", None], text.split_name_title)] == [("Anna Lindqvist", "Band"), None, None, None, None]
+
+
+def test_addresses_and_disciplines_read_their_text_once(spark):
+    assert uses(spark, email.munge_decode) == uses(spark, classify.classify) == uses(spark, lambda c: text.email_matches_name(c, F.lit("Ann Lee"))) == 1
