@@ -22,3 +22,14 @@ def test_blocks_of_a_page():
 def test_blocks_of_nothing():
     assert blocks_of(None) == blocks_of("") == []
     assert [b["kind"] for b in blocks_of("<div><p>open")] == ["body"]
+
+
+def test_pages_go_on_in_small_pieces():
+    import pyarrow as pa
+
+    from quillon.functions.blocks import pieces
+
+    html = ["x" * n if n is not None else None for n in (4, 4, 20, None, 3, 3, 3, 3)]
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(8)), "url": ["u"] * 8, "html": pa.array(html, pa.string())})
+    assert [x for b in pieces(batch, 10) for x in b.column(0).to_pylist()] == list(range(8)) and list(pieces(batch.slice(0, 0))) == []
+    assert all(b.num_rows == 1 or sum(len(x or "") for x in b.column(2).to_pylist()) <= 10 for b in pieces(batch, 10))
