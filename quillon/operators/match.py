@@ -68,6 +68,7 @@ def in_state(hits: DataFrame) -> DataFrame:
     return hits.filter(F.col("hint").isNull() | (F.col("state") == F.col("hint")))
 
 
+_PARTS = 64  # Parts of rows that share their initials.
 _ASKED, _NAMES = 1_000, 100_000  # Most names, about, that one task gets of either side at once.
 
 
@@ -206,8 +207,13 @@ def by_acronym(inputs: DataFrame, index: DataFrame) -> DataFrame:
     asked = inputs.filter(bare.rlike("^[a-z]{2,8}$")).select("*", bare.alias("initials")).withColumnRenamed("norm", "asked")
     first = index.groupBy("norm").agg(F.min_by("state", "nces_id").alias("first_state"))
     rows = index.join(first, "norm").withColumn("initials", acronym(F.col("norm"))).withColumnRenamed("norm", "key")
-    hits = asked.join(rows, "initials").filter(F.col("hint").isNull() | (F.col("first_state") == F.col("hint")))
-    return hits.drop("initials", "first_state").withColumnRenamed("asked", "norm")
+    # Initials are few and their rows many: the rows are dealt to parts, and what is asked goes to each part.
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("nces_id"), F.lit(_PARTS)))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_PARTS - 1).cast("long"))))
+    sure = asked.filter("hint IS NOT NULL").join(rows.withColumn("hint", F.col("first_state")), ["initials", "part", "hint"])
+    free = asked.filter("hint IS NULL").join(rows, ["initials", "part"])
+    hits = sure.select(*free.columns).unionByName(free)
+    return hits.drop("initials", "first_state", "part").withColumnRenamed("asked", "norm")
 
 
 def lookup(inputs: DataFrame, index: DataFrame, initials: bool = False, compat: bool = False) -> DataFrame:
@@ -256,7 +262,8 @@ def resolve(inputs: DataFrame, schools: DataFrame, parents: DataFrame | None = N
     if "city" not in inputs.columns:
         inputs = inputs.withColumn("city", F.lit(None).cast("string"))
     inputs = keep(inputs, "inputs")
-    bare = inputs.select("iid", "norm", "hint")
+    # Many inputs may ask the same, and each may have many hits: the tiers see every question once.
+    bare = keep(inputs.select("norm", "hint").distinct().withColumn("iid", F.struct("norm", "hint")), "questions")
     field = lambda df, c: F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c)
     none = spark.range(0).select(F.lit("").alias("norm"), F.lit("").alias("name"), F.lit("").alias("domain"))
     parents, programs = parents or none, programs or none
@@ -275,14 +282,17 @@ def resolve(inputs: DataFrame, schools: DataFrame, parents: DataFrame | None = N
     alone = d.filter("named OR names = 1").select("iid", "one.*")
     s = s.select("iid", *[c for c in ("nces_id", "school_name", "school_norm", "district_name", "district_norm", "lea_id", "state", "asked")]).unionByName(alone).dropDuplicates(["iid", "nces_id"])
     hint = bare.select("iid", "hint")
+    inputs = inputs.withColumn("_q", F.struct("norm", "hint"))
     rank = F.struct(F.coalesce(F.col("state") != F.col("hint"), F.lit(False)).alias("other"), "nces_id")
     s = s.join(hint, "iid").groupBy("iid").agg(F.min_by(row, rank).alias("s"), F.count_distinct("nces_id").alias("s_n"), F.count_distinct("state").alias("s_states"))
-    d = d.filter("NOT (named OR names = 1)").groupBy("iid").agg(F.min_by(F.struct("one", "children"), "first").alias("d"), F.count("*").alias("d_n"))
-    out = inputs.join(curated, "norm", "left").join(s, "iid", "left").join(d, "iid", "left")
+    kids = d.select(F.struct(F.col("iid").alias("q"), "lea_id").alias("_kin"), "children")  # Met at the end, as they are long.
+    d = d.filter("NOT (named OR names = 1)").groupBy("iid").agg(F.min_by(F.struct("one"), "first").alias("d"), F.count("*").alias("d_n"))
+    out = inputs.join(curated, "norm", "left").join(s.withColumnRenamed("iid", "_q"), "_q", "left").join(d.withColumnRenamed("iid", "_q"), "_q", "left")
     out = out.join(notes.select("norm", "note"), "norm", "left") if notes is not None else out.withColumn("note", F.lit(None).cast("string"))
     loose = F.col("hint").isNull() & F.col("city").isNull()
     kind = F.when(F.col("c").isNotNull(), F.col("c.c_type")).when(F.col("d").isNotNull(), F.when((F.col("d_n") > 1) & loose, "AMBIGUOUS").otherwise("DISTRICT")).when((F.col("s_n") > 1) & (F.col("s_states") > 1) & loose, "AMBIGUOUS").when(F.col("s").isNotNull(), "SCHOOL").otherwise("NOT_A_K12")
     out = out.withColumn("entity_type", kind)
+    out = out.withColumn("_kin", F.when(F.col("entity_type") == "DISTRICT", F.struct(F.col("_q").alias("q"), F.col("d.one.lea_id").alias("lea_id")))).join(kids, "_kin", "left")
     is_ = lambda *k: F.col("entity_type").isin(*k)
     pass_by = (district_parents or spark.range(0).select(F.lit("").alias("norm"), F.lit("").alias("name"), F.lit(True).alias("confirmed"))).select(F.col("norm").alias("p_norm"), F.col("name").alias("p_name"), "confirmed")
     lea = F.when(is_("SCHOOL"), F.col("s.district_norm")).when(is_("DISTRICT"), F.col("d.one.district_norm"))
@@ -293,7 +303,7 @@ def resolve(inputs: DataFrame, schools: DataFrame, parents: DataFrame | None = N
         "iid", "norm", "entity_type", F.when(is_("SCHOOL"), display_title(F.col("s.school_name"))).when(is_("DISTRICT"), display_title(F.col("d.one.district_name"))).when(is_("PARENT_ORG", "PROGRAM"), F.col("c.c_name")).alias("resolved_name"),
         F.when(is_("SCHOOL", "PROGRAM"), F.col("s.nces_id")).when(is_("DISTRICT"), F.col("d.one.lea_id")).alias("nces_id"), parent.alias("parent_entity"),
         F.when(F.col("p_name").isNotNull(), "PARENT_ORG").when(is_("SCHOOL"), "DISTRICT").alias("parent_entity_type"), F.col("c.c_domain").alias("domain"),
-        F.when(is_("DISTRICT"), F.col("d.children")).otherwise(F.array().cast("array<string>")).alias("children"), sure.alias("confidence"), "note", (is_("AMBIGUOUS", "NOT_A_K12") | F.coalesce(~F.col("confirmed"), F.lit(False))).alias("needs_review"),
+        F.when(is_("DISTRICT"), F.col("children")).otherwise(F.array().cast("array<string>")).alias("children"), sure.alias("confidence"), "note", (is_("AMBIGUOUS", "NOT_A_K12") | F.coalesce(~F.col("confirmed"), F.lit(False))).alias("needs_review"),
     )
 
 

@@ -84,3 +84,19 @@ def test_closest_names_need_few_ratios(monkeypatch):
     monkeypatch.setattr(difflib.SequenceMatcher, "ratio", lambda m: (looks.append(1), ratio(m))[1])
     near = match._Closest([f"supplier {i:06d} high school" for i in range(5_000)])
     assert [k for _, k in near.closest("subblier 001234 hiqh school", 0.82, 5)][0] == "supplier 001234 high school" and len(looks) < 50
+
+
+def test_rows_of_the_same_initials_are_dealt_to_parts(spark):
+    index = spark.createDataFrame([("high school", "KS" if i else "TX", f"{i:03d}") for i in range(200)], "norm string, state string, nces_id string")
+    asked = spark.createDataFrame([(1, "hs", "TX"), (2, "h s", None), (3, "hs", "KS"), (4, "ms", None)], "iid int, norm string, hint string")
+    hits = match.by_acronym(asked, index)
+    assert {(r["iid"], r["norm"], r["n"]) for r in hits.groupBy("iid", "norm").agg(F.count_distinct("nces_id").alias("n")).collect()} == {(1, "hs", 200), (2, "h s", 200)}
+    assert hits.count() == 400 and "part" in hits._jdf.queryExecution().analyzed().toString()
+
+
+def test_questions_are_asked_once(spark, monkeypatch):
+    asked = []
+    lookup = match.lookup
+    monkeypatch.setattr(match, "lookup", lambda rows, *a, **k: (asked.append(rows.count()), lookup(rows, *a, **k))[1])
+    got = run(spark, [("Union Schools", "KS", None)] * 3 + [("Union Schools", None, None)] * 2)
+    assert asked == [2, 2] and [(r["entity_type"], r["children"]) for r in got] == [("DISTRICT", ["Ash School", "Yew School"])] * 3 + [("AMBIGUOUS", [])] * 2
